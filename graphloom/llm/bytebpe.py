@@ -14,6 +14,7 @@ import base64
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,7 +163,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def _slices(batch: pa.RecordBatch, most: int = 8 << 20):
     """Parts of a batch of about ``most`` bytes, so that memory doesn't follow the batch."""
     start, size = 0, 0
-    lengths = pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()
+    lengths = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
     for i, n in enumerate(lengths):
         size += n
         if size >= most:
