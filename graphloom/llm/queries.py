@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bytebpe, exact, linefreq, mixing, probminhash, repair, secrets
+from graphloom.llm import bytebpe, exact, linefreq, mixing, outliers, probminhash, repair, secrets
 from graphloom.llm.common import shared_folder, table
 
 
@@ -59,7 +59,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_token_ids, op3_line_dedup, op4_exact_dedup, op6_near_dedup, op7_byte_bpe, op8_mixing)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_token_ids, op3_line_dedup, op4_exact_dedup, op6_near_dedup, op7_byte_bpe, op8_mixing, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": rf"""
