@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bytebpe, exact, linefreq, mixing, outliers, probminhash, repair, secrets
+from graphloom.llm import bytebpe, exact, linefreq, mixing, outliers, pii, probminhash, repair, secrets
 from graphloom.llm.common import shared_folder, table
 
 
@@ -59,11 +59,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select("doc_id", *[count_kind(base, k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_token_ids, op3_line_dedup, op4_exact_dedup, op6_near_dedup, op7_byte_bpe, op8_mixing, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_token_ids, op3_line_dedup, op4_exact_dedup, op6_near_dedup, op7_byte_bpe, op8_mixing, op9_personal_data, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": rf"""
