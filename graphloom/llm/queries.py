@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bytebpe, exact, linefreq, mixing, outliers, pii, probminhash, repair, secrets
+from graphloom.llm import bytebpe, exact, linefreq, mixing, outliers, pii, probminhash, quality_pu, repair, secrets
 from graphloom.llm.common import shared_folder, table
 
 
@@ -42,6 +42,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_token_ids, op3_line_dedup, op4_exact_dedup, op6_near_dedup, op7_byte_bpe, op8_mixing, op9_personal_data, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_token_ids, op3_line_dedup, op4_exact_dedup, op5_quality, op6_near_dedup, op7_byte_bpe, op8_mixing, op9_personal_data, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": rf"""
