@@ -10,6 +10,9 @@ range of ids in it, is decoded without the rest.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,30 +33,96 @@ _BLOCK = pa.schema(
 )
 
 
+def _byte_letters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+
+LETTERS = _byte_letters()
+SPOKEN = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]*)")
+
+
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+UNMARKED = bytes(b for b in range(256) if b not in MARKS)
+#: Marks become full stops and all else spaces, but for the apostrophe, which may begin a piece of letters.
+MARKED = bytes(39 if b == 39 else 46 if b in MARKS else 32 for b in range(256))
+
+
+class Stems(dict):
+    """Ids of words without marks around them."""
+
+    def __init__(self, words: WordIds):
+        self.words = words
+
+    def __missing__(self, word: bytes) -> bytes:
+        words = self.words
+        if word.isalpha():  # ASCII letters alone
+            got = array("H" if words.kind == "<u2" else "I", [t.id for t in words.merges(word.decode())]).tobytes()
+        else:
+            text = word.decode()
+            if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+                got = array("H" if words.kind == "<u2" else "I", [t.id for t in words.merges("".join([LETTERS[b] for b in word]))]).tobytes()
+            else:
+                got = words.whole(word)
+        if len(word) <= 64:
+            self[word] = got
+        return got
+
+
 class WordIds(dict):
-    """Ids of each white-space-separated word, found once by the tokenizer.
+    """Ids of each white-space-separated word, as bytes of unsigned integers, found by the tokenizer.
 
-    Exact for tokenizers whose pieces never cross ASCII white space and that drop it, as the one used here.
+    Exact for tokenizers whose pieces never cross ASCII white space and that drop it, that lower the case, and that part
+    letters from punctuation, as the one used here.  Where no two marks touch, marks are set apart first, so that far fewer
+    different words are met; elsewhere words are looked up as they stand.  Words of plain letters, that is ASCII ones or those that normalising
+    and lowering leave alone, are one piece and go straight to the tokenizer's merges; all others take its whole way.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000, most_stems: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
         self.size = self.tokenizer.get_vocab_size()
-        self.most = most
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.most, self.most_stems = most, most_stems
+        self.stems = Stems(self)
+
+    def whole(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
+        if len(word) > 64:
+            return self.whole(word)
+        if m := SPOKEN.fullmatch(word):
+            letters, marks = m.groups()
+            ids = self.stems[letters.lower() if letters.isascii() else letters]
+            if marks:
+                ids += self[marks]
+        else:
+            ids = self.whole(word)
+        self[word] = ids
         return ids
 
+    def end(self, i: int) -> np.ndarray:
+        return np.array([i], self.kind)
+
     def encode(self, text: str) -> np.ndarray:
         if len(self) > self.most:
             self.clear()
-        return np.frombuffer(b"".join(map(self.__getitem__, text.encode().split())), "<u4")
+        if len(self.stems) > self.most_stems:
+            self.stems.clear()
+        data = text.encode()
+        plain, known = data.lower(), self
+        marks = data.translate(MARKED)
+        if b".." not in marks and b"'" not in marks and (text.isascii() or all(unicodedata.is_normalized("NFC", x) for x in (text, plain.decode()))):
+            data, known = plain, self.stems
+            for mark in set(plain.translate(None, UNMARKED)):
+                data = data.replace(bytes([mark]), b" %c " % mark)
+        return np.frombuffer(b"".join(map(known.__getitem__, data.split())), self.kind)
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -65,40 +134,47 @@ def words_of(path: str) -> WordIds:
     return _WORDS[path]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 16, near: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols), the symbols that are left, and for each whether it ends a document.
 
-    In a round the pairs that occur at least a quarter as often as the most frequent one, and at least ``least`` times,
+    In a round the pairs that occur at least 1/``near`` as often as the most frequent one, and at least ``least`` times,
     become rules in order of frequency; a pair waits for a later round if one of its symbols is claimed on the other side
-    by a more frequent pair, so the rules of a round never overlap.
+    by a more frequent pair, so the rules of a round never overlap.  Symbols stay below 2**16 if the ids do: a block then
+    ends with its most frequent rules when these are used up.
     """
-    symbols, last = ids.astype(np.uint32), ends.copy()
+    small = base < 1 << 16
+    most = (1 << 16) - base if small else 1 << 24
+    kind, pair, shift = (np.uint16, np.uint32, 16) if small else (np.uint32, np.uint64, 32)
+    symbols, last = ids.astype(kind), ends.copy()
     rules: list[tuple[int, int]] = []
-    while len(symbols) > 1:
-        keys = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+    while len(symbols) > 1 and len(rules) < most:
+        keys = symbols[:-1].astype(pair)
+        keys <<= pair(shift)
+        keys |= symbols[1:]
         inner = np.sort(keys[~last[:-1]])
-        if not len(inner):
+        if len(inner) < least:
             break
-        edge = np.flatnonzero(np.concatenate(([True], inner[1:] != inner[:-1])))
-        counts = np.diff(np.append(edge, len(inner)))
-        floor = max(least, int(counts.max()) // 4)
-        frequent = np.flatnonzero(counts >= floor)
+        edge = np.flatnonzero(inner[1:] != inner[:-1]) + 1
+        edge = np.concatenate(([0], edge))
+        counts = np.diff(edge, append=len(inner))
+        frequent = np.flatnonzero(counts >= max(least, int(counts.max()) // near))
         if not len(frequent):
             break
-        frequent = frequent[np.lexsort((inner[edge[frequent]], -counts[frequent]))]
+        values, counts = inner[edge[frequent]], counts[frequent]
         left, right, chosen = set(), set(), {}
-        for key in inner[edge[frequent]].tolist():
-            a, b = key >> 32, key & 0xFFFFFFFF
+        for key in values[np.lexsort((values, -counts))].tolist():
+            a, b = key >> shift, key & ((1 << shift) - 1)
             if a in right or b in left or (a == b and (a in left or b in right)):
                 continue
             left.add(a)
             right.add(b)
             chosen[key] = base + len(rules)
             rules.append((a, b))
-        table = np.array(sorted(chosen), np.uint64)
-        number = np.array([chosen[k] for k in table.tolist()], np.uint32)
-        top = base + len(rules)
-        is_left, is_right = np.zeros(top, bool), np.zeros(top, bool)
+            if len(rules) == most:
+                break
+        table = np.array(sorted(chosen), pair)
+        number = np.array([chosen[k] for k in table.tolist()], kind)
+        is_left, is_right = np.zeros(base + len(rules), bool), np.zeros(base + len(rules), bool)
         is_left[list(left)] = True
         is_right[list(right)] = True
         at = np.flatnonzero(is_left[symbols[:-1]] & is_right[symbols[1:]] & ~last[:-1])
@@ -163,7 +239,7 @@ class Block:
         return self.expand(symbols[a:b])[start - skipped : stop - skipped]
 
 
-def pack(doc_ids: list, ids: list[np.ndarray], base: int, least: int = 8) -> dict:
+def pack(doc_ids: list, ids: list[np.ndarray], base: int, least: int = 16) -> dict:
     flat = np.concatenate(ids)
     tokens = np.array([len(x) for x in ids], np.int64)
     ends = np.zeros(len(flat), bool)
@@ -176,7 +252,7 @@ def pack(doc_ids: list, ids: list[np.ndarray], base: int, least: int = 8) -> dic
     }
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, block_ids: int = 1 << 20, least: int = 8) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, block_ids: int = 1 << 20, least: int = 16) -> None:
     """Writes the ids of ``docs`` to ``path``, in blocks of about ``block_ids`` ids of whole documents, in order of id.
 
     Each document ends with the id ``end``; a null or empty text is that id alone.  Null ids come first; equal ids are
@@ -196,7 +272,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(words.encode(text.as_py()), np.uint32(end)).astype("<u4")
+                ids = np.append(words.encode(text.as_py()), words.end(end))
                 names.append(doc)
                 held.append(ids)
                 size += len(ids)
