@@ -34,13 +34,9 @@ def joined(base: Column, relative: Column) -> Column:
 
 
 def language_of(path: Column) -> Column:
-    """The language of a path's extension; null if there is none."""
-    out = F.lit(None).cast("string")
-    low = F.lower(path)
-    for language, endings in reversed(EXTENSIONS.items()):
-        for ending in endings:
-            out = F.when(F.endswith(low, F.lit(ending)), F.lit(language)).otherwise(out)
-    return out
+    """The language of a path's ending; null if there is none."""
+    table = F.create_map(*[F.lit(x) for language, endings in EXTENSIONS.items() for e in endings for x in (e, language)])
+    return F.try_element_at(table, F.regexp_extract(F.lower(path), r"(\.[^./]+)$", 1))
 
 
 def glob_pattern(glob: str) -> str:
