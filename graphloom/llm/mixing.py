@@ -56,46 +56,72 @@ def trade(p: float, size: int, q: float, other: int, draw: float) -> tuple[float
     return (0.0, q + down / other) if down == p * size else (p - down / size, 1.0)
 
 
+def settled(row: list, p: float) -> list:
+    """A row with its fraction made whole."""
+    row[8] = int(row[8] or 0) + int(p > 0.5)
+    row[6] = 0.0
+    return row
+
+
+def round_bucket(rows: list[list], last: bool) -> list[list]:
+    """The rows of one bucket, largest first, all settled but one at most, and with ``last`` all of them.
+
+    The last open row of a source has no one to trade with: the words by which its rounding misses are evened out by
+    turning decisions of this bucket around, largest first, where that brings the source nearer to its target.  Both
+    sides, and each decision as the first to turn, are tried; the way that misses least is taken.
+    """
+    out, held = [], None
+    for row in rows:
+        if row[6] <= 0:
+            out.append(settled(row, 0.0))
+        elif row[2] <= 0:  # no words to trade
+            out.append(settled(row, float(row[7] < row[6])))
+        elif held is None:
+            held = row
+        else:
+            held[6], row[6] = trade(held[6], held[2], row[6], row[2], row[7])
+            still = [r for r in (held, row) if 0.0 < r[6] < 1.0]
+            out += [settled(r, r[6]) for r in (held, row) if not 0.0 < r[6] < 1.0]
+            held = still[0] if still else None
+    if held is None:
+        return out
+    if not last:
+        return [*out, held]
+    free = [(r, -r[2] if r[8] > int(r[9]) else r[2]) for r in sorted(out, key=lambda r: (-r[2], r[7])) if r[10] > 0]
+    best = None
+    for up in (0.0, 1.0):
+        for first in (None, *range(len(free))):
+            turned = [] if first is None else [first]
+            miss = (up - held[6]) * held[2] + sum(free[i][1] for i in turned)
+            for i, (_, words) in enumerate(free):
+                if i != first and abs(miss + words) < abs(miss):
+                    miss += words
+                    turned.append(i)
+            if best is None or (abs(miss), len(turned)) < best[:2]:
+                best = (abs(miss), len(turned), up, turned)
+    for row, words in map(free.__getitem__, best[3]):
+        row[8] += 1 if words > 0 else -1
+    return [*out, settled(held, best[2])]
+
+
 def _round(last: bool):
-    """Rows sorted by source and bucket: settles all but one of a bucket, and with ``last`` that one too."""
+    """Rows sorted by source and bucket, a bucket at a time; a bucket has about as many rows as the fan is wide."""
 
-    def settle(row: list, p: float) -> list:
-        row[8] = int(row[8] or 0) + int(p > 0.5)
-        row[6] = 0.0
-        return row
+    def batch(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = None, None
-        for batch in batches:
+        bucket, key = [], None
+        for part in batches:
             out = []
-            for row in map(list, zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            for row in map(list, zip(*(c.to_pylist() for c in part.columns), strict=True)):
                 if key != (row[1], row[5]):
-                    if held is not None:
-                        out.append(settle(held, float(held[7] < held[6])) if last else held)
-                    held, key = None, (row[1], row[5])
-                if row[6] <= 0:
-                    out.append(settle(row, 0.0))
-                elif row[2] <= 0:  # no words to trade
-                    out.append(settle(row, float(row[7] < row[6])))
-                elif held is None:
-                    held = row
-                else:
-                    p, q = trade(held[6], held[2], row[6], row[2], row[7])
-                    whole = lambda x: x <= 0.0 or x >= 1.0
-                    if whole(p):
-                        out.append(settle(held, p))
-                        held, row = None, row
-                    else:
-                        held[6] = p
-                    if whole(q):
-                        out.append(settle(row, q))
-                    else:
-                        row[6] = q
-                        held = row
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)] if out else [pa.array([], f.type) for f in _ARROW], schema=_ARROW)
-        if held is not None:
-            out = [settle(held, float(held[7] < held[6])) if last else held]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
+                    out += round_bucket(bucket, last)
+                    bucket, key = [], (row[1], row[5])
+                # What the row was before: its whole copies and its fraction.
+                bucket.append([*row, row[8], row[6]])
+            yield batch(out)
+        yield batch(round_bucket(bucket, last))
 
     return run
 
@@ -106,8 +132,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Sizes are words; null and empty texts have none and nothing of them is taken.  Null sources are a source.  All draws
     are hashes of ids, and buckets are dealt by hash, so neither partitions nor lost tasks change the result; rows that
     repeat id, source and size are interchangeable.  Buckets trade from the largest document to the smallest, so the one that
-    stays open, whose rounding is all that parts a source from its target, tends to be small.
-    A source of any size is dealt into buckets of about ``fan`` rows.
+    stays open tends to be small.  A source of any size is dealt into buckets of about ``fan`` rows.
     Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"))
