@@ -147,6 +147,8 @@ def fit(rows: DataFrame, prior: float, steps: int = 16, strength: float = 10.0,
     for _ in range(steps):
         sums = _collect(rows.select(*KNOTS, "positive"), weights)
         n, m = sums[0], max(sums[1], 1)
+        if not n:
+            break
         xp, sp, su = (sums[HEAD + i * WIDTH : HEAD + (i + 1) * WIDTH] / k for i, k in enumerate((m, m, n)))
         xx = sums[HEAD + 3 * WIDTH :].reshape(WIDTH, WIDTH) / n
         negative = sums[2] / n - prior * sums[3] / m
