@@ -46,8 +46,10 @@ SPOKEN = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]*)")
 
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 UNMARKED = bytes(b for b in range(256) if b not in MARKS)
-#: Marks become full stops and all else spaces, but for the apostrophe, which may begin a piece of letters.
-MARKED = bytes(39 if b == 39 else 46 if b in MARKS else 32 for b in range(256))
+#: Marks and control characters become full stops and all else spaces, but for the apostrophe, which may begin a piece.
+MARKED = bytes(39 if b == 39 else 46 if b in MARKS or b < 9 or 13 < b < 32 or b == 127 else 32 for b in range(256))
+#: Two neighbours that are neither letters, digits nor white space; some other characters count too, to be safe.
+TOUCHING = re.compile(r"(?:[^\w\s]|[_\x1c-\x1f]){2}")
 
 
 class Stems(dict):
@@ -97,7 +99,7 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(word) > 64:
             return self.whole(word)
-        if m := SPOKEN.fullmatch(word):
+        if (m := SPOKEN.fullmatch(word)) and (word.isascii() or m[1].decode().isalpha()):
             letters, marks = m.groups()
             ids = self.stems[letters.lower() if letters.isascii() else letters]
             if marks:
@@ -118,7 +120,7 @@ class WordIds(dict):
         data = text.encode()
         plain, known = data.lower(), self
         marks = data.translate(MARKED)
-        if b".." not in marks and b"'" not in marks and (text.isascii() or all(unicodedata.is_normalized("NFC", x) for x in (text, plain.decode()))):
+        if b".." not in marks and b"'" not in marks and (text.isascii() or (not TOUCHING.search(text) and all(unicodedata.is_normalized("NFC", x) for x in (text, plain.decode())))):
             data, known = plain, self.stems
             for mark in set(plain.translate(None, UNMARKED)):
                 data = data.replace(bytes([mark]), b" %c " % mark)
