@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import written
+
 #: Elements that end a line, as a pattern of their tags.
 BLOCK_TAG = r"(?i)</?(p|div|li|ul|ol|nav|h[1-6]|br|tr|td|th|table|article|section|header|footer|aside|main|title|head|body|html|blockquote|pre|hr|form|dl|dt|dd)([\x20/][^>]*)?>"
 HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
@@ -34,7 +36,8 @@ def drop_site_boilerplate(pages: DataFrame, id_col: str = "page_id", url_col: st
     host and text, and repeats of one page count once each.  Other columns are not read.
     """
     base = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), lines_of(F.col(html_col)).alias("_lines"))
-    hosts = pages.select(host_of(F.col(url_col)).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
+    base = written(base, "lines")  # pages are taken apart once
+    hosts = base.groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
     keys = base.select("_id", "host", F.explode(F.array_distinct(F.transform("_lines", lambda x: F.xxhash64(x)))).alias("_line"))
     counts = keys.groupBy("host", "_line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_pages)
     common = counts.join(hosts, "host").where(F.col("_n") > ratio * F.col("_pages")).select("host", "_line")
