@@ -78,15 +78,17 @@ def _ranked(parts: list[DataFrame]) -> DataFrame:
     return best.select("ref_id", F.col("_b.id").alias("id"), F.col("_b.strategy").alias("strategy"))
 
 
-def _named(defs: DataFrame) -> DataFrame:
-    return defs.select(F.col("id"), F.col("name").alias("_name"), F.col("file_path").alias("_file"), "kind")
+def _named(defs: DataFrame, fold: bool = False) -> DataFrame:
+    """(_name, _file, id): the first definition of each name in each file; no strategy takes a later one."""
+    name = F.lower("name") if fold else F.col("name")
+    return defs.groupBy(name.alias("_name"), F.col("file_path").alias("_file")).agg(F.min("id").alias("id"))
 
 
 def same_file(refs: DataFrame, defs: DataFrame, fold: bool = False) -> DataFrame:
     """(ref_id, id) of definitions in the reference's own file; with ``fold`` blind to case."""
-    spell = F.lower if fold else (lambda c: F.col(c) if isinstance(c, str) else c)
-    joined = refs.select("ref_id", spell("ref_name").alias("_ref"), F.col("file_path").alias("_at")).join(_named(defs.where(F.col("kind").isin(*CALL_KINDS))), (spell("_name") == F.col("_ref")) & (F.col("_file") == F.col("_at")))
-    return joined.select("ref_id", "id")
+    name = F.lower("ref_name") if fold else F.col("ref_name")
+    first = _named(defs.where(F.col("kind").isin(*CALL_KINDS)), fold)
+    return refs.select("ref_id", name.alias("_name"), F.col("file_path").alias("_file")).join(first, ["_name", "_file"]).select("ref_id", "id")
 
 
 def imported(refs: DataFrame, defs: DataFrame, imports: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ learns only whether a level is empty, or how large it is where a cap asks for it
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,21 +32,21 @@ def directed(edges: DataFrame, direction: str, kinds: tuple[str, ...] | None) ->
     return {"outbound": out, "inbound": back, "both": out.unionByName(back)}[direction]
 
 
-def search(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, direction: str = "outbound", kinds: tuple[str, ...] | None = None, nodes: DataFrame | None = None, max_nodes: int = 0, until: str | None = None) -> DataFrame:
-    """(seed, id, depth, parent, source, target, kind, line): everything that each seed reaches, seeds at depth 0.
+def levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, direction: str = "outbound", kinds: tuple[str, ...] | None = None, nodes: DataFrame | None = None, max_nodes: int = 0, until: str | None = None) -> list[DataFrame]:
+    """(seed, id, depth, parent, source, target, kind, line): what each seed reaches, a table for each depth from 0 on.
 
     The parent is the smallest id of the level before, and the edge the smallest between the two.  With ``nodes``, vertices
     without a row there are neither kept nor passed.  ``max_nodes`` bounds what a seed reaches, itself included: a level
     that would exceed it is cut in order of id and is the last.  ``until`` ends the search once that vertex is reached.
+    The last level that ``max_depth`` allows is not written: no round needs it again.
     """
     walk = directed(edges, direction, kinds)
     none = F.lit(None).cast("string")
     visited = seeds.select("seed", "id", F.lit(0).alias("depth"), none.alias("parent"), none.alias("source"), none.alias("target"), none.alias("kind"), F.lit(None).cast("int").alias("line"))
-    visited = written(visited, "level0")
-    frontier, depth = visited, 0
+    out, depth = [visited], 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        met = frontier.select("seed", F.col("id").alias("_from")).join(walk, "_from")
+        met = out[-1].select("seed", F.col("id").alias("_from")).join(walk, "_from")
         found = met.groupBy("seed", F.col("_to").alias("id")).agg(F.min(F.struct(F.col("_from").alias("parent"), "kind", "line", "source", "target")).alias("e"))
         fresh = found.join(visited.select("seed", "id"), ["seed", "id"], "left_anti")
         if nodes is not None:
@@ -54,13 +56,21 @@ def search(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, dir
             room = visited.groupBy("seed").agg((max_nodes - F.count(F.lit(1))).alias("_room"))
             place = F.expr("row_number() over (partition by seed order by id)")
             level = level.join(room, "seed").withColumn("_place", place).where("_place <= _room").drop("_room", "_place")
-        frontier = written(level, f"level{depth}")
-        if frontier.isEmpty():
+        if depth == max_depth and until is None:
+            return [*out, level]
+        level = written(level, f"level{depth}")
+        if level.isEmpty():
             break
-        visited = visited.unionByName(frontier)
-        if until is not None and not frontier.where(F.col("id") == until).isEmpty():
+        out.append(level)
+        visited = visited.unionByName(level)
+        if until is not None and not level.where(F.col("id") == until).isEmpty():
             break
-    return visited
+    return out
+
+
+def search(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, direction: str = "outbound", kinds: tuple[str, ...] | None = None, nodes: DataFrame | None = None, max_nodes: int = 0) -> DataFrame:
+    """All levels as one table."""
+    return reduce(DataFrame.unionByName, levels(edges, seeds, max_depth, direction, kinds, nodes, max_nodes))
 
 
 def impact_radius(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 2, kinds: tuple[str, ...] = IMPACT_KINDS) -> DataFrame:
@@ -89,10 +99,10 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int = 10) -
     spark = edges.sparkSession
     if start == end:
         return spark.createDataFrame([(0, start)], "pos int, id string").selectExpr("pos", "id", "cast(null as string) source", "cast(null as string) target", "cast(null as string) kind", "cast(null as int) line")
-    reached = search(edges, seeds_of(spark, [start]), max_depth, "outbound", until=end)
+    reached = levels(edges, seeds_of(spark, [start]), max_depth, "outbound", until=end)
     rows, at = [], end
-    while at is not None:  # at most max_depth rows, one for each step back
-        row = reached.where(F.col("id") == at).select("depth", "id", "source", "target", "kind", "line", "parent").first()
+    for level in reversed(reached):  # one row of each level, from the end backwards
+        row = level.where(F.col("id") == at).select("depth", "id", "source", "target", "kind", "line", "parent").first()
         if row is None:
             rows = []
             break
