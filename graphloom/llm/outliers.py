@@ -140,13 +140,14 @@ def _inner_share(cut: float, p: int) -> float:
     return NormalDist().cdf(z)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", alpha: float = 1e-9, least_rows: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", alpha: float = 1e-9, least_rows: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance,
     kept, and the columns named in ``carry``.
 
     Rows that pass the base rules are judged by the robust distance of their statistics from their language and source; a
     distance beyond the chi-square quantile of 1 - ``alpha`` rejects.  Sources with fewer than ``least_rows`` such rows in
-    a language are pooled for the language, small languages together, and a pool that is still smaller judges nothing.
+    a language are pooled for the language, small languages together; a pool that is still smaller joins the language's
+    largest group, or the largest of all, and without any group of that size nothing is rejected.
     Null texts count as empty, which fail the base rules; null languages and sources are groups of their own; ids may be
     null or repeat.  Other columns are not read.
     """
@@ -164,10 +165,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fine = F.col("_m") >= least_rows
     groups = sizes.join(pools, ["_lang", "_pool"]).select("_lang", "_source", F.when(fine, F.col("_lang")).otherwise("*").alias("_glang"), F.when(fine, F.col("_pool")).otherwise("*").alias("_gsource"), "_n")
     groups = written(groups, "groups")
-    large = groups.groupBy("_glang", "_gsource").agg(F.sum("_n").alias("_m")).where(F.col("_m") >= least_rows).drop("_m")
-    groups = written(groups.join(large, ["_glang", "_gsource"]).select("_lang", "_source", "_glang", "_gsource"), "groups")
-    xs = [f"x{i}" for i in range(len(names))]
     keys = ["_glang", "_gsource"]
+    large = groups.groupBy(*keys).agg(F.sum("_n").alias("_m")).where(F.col("_m") >= least_rows)
+    own = large.select(F.col("_glang").alias("_lang"), F.col("_gsource").alias("_of")).withColumn("_own", F.lit(True))
+    of_lang = large.groupBy("_glang").agg(F.max_by("_gsource", "_m").alias("_best")).withColumnRenamed("_glang", "_lang2")
+    top = large.orderBy(F.desc("_m"), *keys).select(*keys).first()  # one row
+    if top is None:
+        groups = groups.select("_lang", "_source", *keys).limit(0)
+    else:
+        near = groups.join(own.withColumnRenamed("_lang", "_of_lang"), (F.col("_glang") == F.col("_of_lang")) & (F.col("_gsource") == F.col("_of")), "left").join(of_lang, F.col("_lang") == F.col("_lang2"), "left")
+        here, there = F.col("_own").isNotNull(), F.col("_best").isNotNull()
+        groups = near.select("_lang", "_source", F.when(here, F.col("_glang")).when(there, F.col("_lang")).otherwise(top["_glang"]).alias("_glang"), F.when(here, F.col("_gsource")).when(there, F.col("_best")).otherwise(top["_gsource"]).alias("_gsource"))
+    groups = written(groups, "groups")
+    xs = [f"x{i}" for i in range(len(names))]
     estimate = robust_outliers(judged.join(groups, ["_lang", "_source"]).select(*keys, *xs), names, keys, SPREADS, alpha=alpha)
     known = groups.join(estimate, keys).drop(*keys)
     scored = _distance(counted.join(known, ["_lang", "_source"], "left"), len(names))
