@@ -50,6 +50,8 @@ UNMARKED = bytes(b for b in range(256) if b not in MARKS)
 MARKED = bytes(39 if b == 39 else 46 if b in MARKS or b < 9 or 13 < b < 32 or b == 127 else 32 for b in range(256))
 #: Two neighbours that are neither letters, digits nor white space; some other characters count too, to be safe.
 TOUCHING = re.compile(r"(?:[^\w\s]|[_\x1c-\x1f]){2}")
+#: A text of these alone has no such pair but of ASCII marks, which are looked for first.
+COMMON = frozenset(c for c in map(chr, range(0x250)) if c.isascii() or c.isalnum())
 
 
 class Stems(dict):
@@ -120,7 +122,7 @@ class WordIds(dict):
         data = text.encode()
         plain, known = data.lower(), self
         marks = data.translate(MARKED)
-        if b".." not in marks and b"'" not in marks and (text.isascii() or (not TOUCHING.search(text) and all(unicodedata.is_normalized("NFC", x) for x in (text, plain.decode())))):
+        if b".." not in marks and b"'" not in marks and (text.isascii() or ((COMMON.issuperset(set(text)) or not TOUCHING.search(text)) and all(unicodedata.is_normalized("NFC", x) for x in (text, plain.decode())))):
             data, known = plain, self.stems
             for mark in set(plain.translate(None, UNMARKED)):
                 data = data.replace(bytes([mark]), b" %c " % mark)
@@ -254,7 +256,7 @@ def pack(doc_ids: list, ids: list[np.ndarray], base: int, least: int = 16) -> di
     }
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, block_ids: int = 1 << 20, least: int = 16) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, block_ids: int = 1 << 21, least: int = 16) -> None:
     """Writes the ids of ``docs`` to ``path``, in blocks of about ``block_ids`` ids of whole documents, in order of id.
 
     Each document ends with the id ``end``; a null or empty text is that id alone.  Null ids come first; equal ids are
