@@ -146,30 +146,88 @@ def connected(links: DataFrame, left: str, right: str) -> DataFrame:
             return labels
 
 
-def _neighbours(window: int, least: float):
-    """Of rows (bucket, label, rep, sketch) in order: pairs of a row and the rows of its bucket that stand at most ``window``
-    places before it, have another label, and agree with it in a share of at least ``least`` of the registers."""
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many registers each row of ``a`` agrees with each row of ``b``."""
+    if len(a) * len(b) <= 1024:
+        return (a[:, None, :] == b[None, :, :]).sum(axis=2)
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for x, y in zip(a.T.copy(), b.T.copy(), strict=True):
+        out += x[:, None] == y[None, :]
+    return out
+
+
+def _adjacent(least: float):
+    """Of rows (bucket, label, rep, sketch) in order: pairs of a row and the one before it, if that is of its bucket and of
+    another label and agrees with it in a share of at least ``least`` of the registers."""
 
     def run(batches):
-        last: list[tuple[int, int, np.ndarray]] = []
-        bucket = None
+        before = (None, None, None, None)
         for batch in batches:
             left, right = [], []
             for b, label, rep, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != bucket:
-                    bucket, last = b, []
                 sketch = np.frombuffer(data, np.uint8)
-                for label2, rep2, sketch2 in last:
-                    if label2 != label and np.count_nonzero(sketch == sketch2) >= least * len(sketch):
-                        left.append(max(rep, rep2))
-                        right.append(min(rep, rep2))
-                last = [*last[-window + 1 :], (label, rep, sketch)] if window > 1 else [(label, rep, sketch)]
+                b2, label2, rep2, sketch2 = before
+                if b2 == b and label2 != label and np.count_nonzero(sketch == sketch2) >= least * len(sketch):
+                    left.append(max(rep, rep2))
+                    right.append(min(rep, rep2))
+                before = (b, label, rep, sketch)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["rep", "leader"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 25, rows: int = 5, window: int = 8) -> DataFrame:
+_BLOCK = "bucket long, block long, low long, high long, labels binary, reps binary, sketches binary"
+
+
+def _blocks(most: int):
+    """Of rows (bucket, label, rep, sketch) in order: blocks of at most ``most`` rows of one bucket, named by their first
+    row, with the range of their labels."""
+
+    def run(batches):
+        rows: list[tuple[int, int, int, bytes]] = []
+
+        def packed(done):
+            columns = [[], [], [], [], [], [], []]
+            for block in done:
+                labels, reps = np.array([r[1] for r in block], np.int64), np.array([r[2] for r in block], np.int64)
+                values = (block[0][0], block[0][2], int(labels.min()), int(labels.max()), labels.tobytes(), reps.tobytes(), b"".join(r[3] for r in block))
+                for column, v in zip(columns, values, strict=True):
+                    column.append(v)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.binary()) for c in columns[4:])], ["bucket", "block", "low", "high", "labels", "reps", "sketches"])
+
+        for batch in batches:
+            done = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and (rows[0][0] != row[0] or len(rows) == most):
+                    done.append(rows)
+                    rows = []
+                rows.append(row)
+            yield packed(done)
+        yield packed([rows] if rows else [])
+
+    return run
+
+
+def _across(least: float):
+    """Of pairs of blocks (labels, reps, sketches of one and of the other): all pairs of rows of different labels that agree
+    in a share of at least ``least`` of the registers.  A block paired with itself gives each pair of its rows."""
+
+    def run(batches):
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                labels, reps, data, labels2, reps2, data2 = (x.as_py() for x in row)
+                l1, l2 = np.frombuffer(labels, np.int64), np.frombuffer(labels2, np.int64)
+                r1, r2 = np.frombuffer(reps, np.int64), np.frombuffer(reps2, np.int64)
+                s1, s2 = np.frombuffer(data, np.uint8).reshape(len(r1), -1), np.frombuffer(data2, np.uint8).reshape(len(r2), -1)
+                same = agreeing(s1, s2)
+                i, j = np.nonzero((same >= least * s1.shape[1]) & (l1[:, None] != l2[None, :]))
+                columns = [np.maximum(r1[i], r2[j]), np.minimum(r1[i], r2[j]), np.maximum(l1[i], l2[j]), np.minimum(l1[i], l2[j]), same[i, j].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "leader", "l1", "l2", "same"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 25, rows: int = 5, block: int = 64) -> DataFrame:
     """One row per row of ``docs``: id, class_id (the smallest id of its class), n_links, kept (it has that id).
 
     Texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more; a shorter
@@ -178,10 +236,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     With 25 bands of 5 registers a pair at 0.8 meets in a bucket with probability 0.9999.
 
     In every bucket the members are first compared with its smallest id, which links most of a group at a cost that grows
-    with its size alone.  Buckets that still hold several classes are put in order of the registers of other bands, so that
-    the most similar members stand together, and each member is compared with those before it that are in other classes:
-    first with the last one, in the buckets of few bands, which links most; then with ``window`` in all buckets, which is
-    all where a bucket has no more members.  This goes on, in two orders by turns, until neither links anything new.  No task gathers a bucket: the order is dealt out by ranges that may cut it.
+    with its size alone.  The buckets of few bands that still hold several classes are then put in order of the registers of
+    other bands, so that the most similar members stand together, and each member is compared with the one before it.  What
+    several classes are left then goes through an exact rest: the members of a bucket are cut into blocks of at most
+    ``block`` rows, and every block meets itself and every other block of the bucket, unless both hold one and the same
+    class, so each pair of members in different classes is tested.  Of the pairs that pass the test of registers, the best
+    between two classes is compared first, then all that are still in different classes.  Blocks are dealt out in pairs, so
+    no task gathers a bucket; the work in a bucket of n unlinked members grows with n squared.
 
     Rows with a null id are returned with the class of their copies, else with none.  Repeated rows repeat their result.
     Other columns are not read.
@@ -206,31 +267,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = judge(crowd.where("rep <> leader").select("rep", "leader").distinct())
     found, tested = links.where(F.col("similarity") >= least), links.select("rep", "leader")
-    labels, linked, idle, turn = None, True, 0, 0
-    while not found.isEmpty() or not crowd.isEmpty() if turn == 0 else idle < 2:
-        if linked:
-            labels = connected(found, "rep", "leader")
-        order = (("k1", "k2"), ("k2", "k1"))[turn % 2]
-        reach, some = (1, max(1, bands // 6)) if not turn else (window, bands)
-        named = crowd.where(F.col("band") < some).select("bucket", "k1", "k2", "rep", "sketch").join(labels, F.col("rep") == F.col("node"), "left").select("bucket", *order, F.coalesce("label", "rep").alias("label"), "rep", "sketch")
-        dealt = named.repartitionByRange("bucket", *order, "rep").sortWithinPartitions("bucket", *order, "rep")
-        # Registers err by 0.036 at a similarity of 0.8: a share that is lower by four times that rules a pair out.
-        pairs = dealt.select("bucket", "label", "rep", "sketch").mapInArrow(_neighbours(reach, least - 0.15), "rep long, leader long").distinct()
-        pairs = written(pairs.join(tested, ["rep", "leader"], "left_anti"), "pairs")
-        turn += 1
+    labels = connected(found, "rep", "leader")
+    # Registers err by 0.036 at a similarity of 0.8: a share that is lower by four times that rules a pair out.
+    share = least - 0.15
+
+    def compare(pairs: DataFrame) -> bool:
+        """Judge pairs that were not compared before; whether they bring links, which labels then follow."""
+        nonlocal found, tested, labels
+        pairs = written(pairs.select("rep", "leader").distinct().join(tested, ["rep", "leader"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            linked, idle = False, idle + (reach == window)
-            continue
+            return False
         fresh = judge(pairs)
         good = fresh.where(F.col("similarity") >= least)
-        linked = not good.isEmpty()
-        idle = 0 if linked else idle + (reach == window)
         found, tested = found.unionByName(good), tested.unionByName(fresh.select("rep", "leader"))
+        if good.isEmpty():
+            return False
+        labels = connected(found, "rep", "leader")
+        return True
+
+    def mixed_buckets(of: DataFrame) -> DataFrame:
+        """Rows of the buckets that hold several classes, with their class."""
+        named = of.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
+        several = named.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("bucket")
+        return named.join(several, "bucket", "left_semi")
+
+    order = ["bucket", "k1", "k2", "rep"]
+    dealt = mixed_buckets(crowd.where(F.col("band") < max(1, bands // 6))).repartitionByRange(*order).sortWithinPartitions(*order)
+    compare(dealt.select("bucket", "label", "rep", "sketch").mapInArrow(_adjacent(share), "rep long, leader long"))
+    order = ["bucket", "label", "rep"]
+    dealt = mixed_buckets(crowd).select(*order, "sketch").repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = written(dealt.mapInArrow(_blocks(block), _BLOCK), "blocks")
+    inner = blocks.where("low <> high").select("labels", "reps", "sketches", F.col("labels").alias("labels2"), F.col("reps").alias("reps2"), F.col("sketches").alias("sketches2"))
+    heads = blocks.select("bucket", "block", "low", "high")
+    second = heads.toDF("bucket", "block2", "low2", "high2")
+    meet = heads.join(second, "bucket").where("block < block2 and least(low, low2) <> greatest(high, high2)").select("bucket", "block", "block2")
+    cross = meet.join(blocks.select("bucket", "block", "labels", "reps", "sketches"), ["bucket", "block"])
+    cross = cross.join(blocks.select("bucket", F.col("block").alias("block2"), F.col("labels").alias("labels2"), F.col("reps").alias("reps2"), F.col("sketches").alias("sketches2")), ["bucket", "block2"])
+    near = inner.unionByName(cross.select(inner.columns)).mapInArrow(_across(share), "rep long, leader long, l1 long, l2 long, same long")
+    near = written(near.distinct().join(tested, ["rep", "leader"], "left_anti"), "near")
+    if compare(near.groupBy("l1", "l2").agg(F.max_by(F.struct("rep", "leader"), F.struct("same", "rep", "leader")).alias("x")).select("x.rep", "x.leader")):
+        new = labels.select("node", "label")
+        near = near.join(new.toDF("rep", "_l1"), "rep", "left").join(new.toDF("leader", "_l2"), "leader", "left").where("coalesce(_l1, rep) <> coalesce(_l2, leader)")
+    compare(near)
     rows_out = signed.select("id", "same").join(stand.select("same", "rep"), "same", "left")
-    if labels is None:
-        classes = rows_out.select("id", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    else:
-        counted = found.select(F.col("rep").alias("node")).unionByName(found.select(F.col("leader").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-        known = written(labels.join(counted, "node"), "classes")
-        classes = rows_out.join(known, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    counted = found.select(F.col("rep").alias("node")).unionByName(found.select(F.col("leader").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    known = written(labels.join(counted, "node"), "classes")
+    classes = rows_out.join(known, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     return classes.select(F.col("id").alias(id_col), "class_id", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))

@@ -81,3 +81,24 @@ def test_awkward_rows(spark, awkward, nothing):
     assert out == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 5), (6, 5), (7, 7), (8, 8), (None, None), (None, 2)}
     assert probminhash.near_duplicates(awkward).count() == awkward.count()
     assert probminhash.near_duplicates(nothing).count() == 0
+
+
+def test_near_copies_apart_in_a_crowded_bucket(spark):
+    """Pages of one template, unlike each other, with pairs of near copies among them: every pair of a bucket is tested."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    template, texts = [word() for _ in range(160)], {}
+    for i in range(400):
+        own = template + [word() for _ in range(50)]
+        texts[i] = " ".join(own)
+        if i % 4 == 0:
+            own[-9] = word()
+            own[0] = word()
+            texts[10_000 - i] = " ".join(own)
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    want = classes(texts)
+    assert len(set(want.values())) == 400
+    # Bands of one register put nearly all rows in one bucket, so the comparison within buckets decides.
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(df, bands=125, rows=1).collect()}
+    assert got == want
+    assert {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(df, block=16).collect()} == want
