@@ -2,8 +2,8 @@
 
 Each distinct shingle of a text sends points of a Poisson process whose rate is its weight, every point to a random
 register; a register keeps its earliest point, and a shingle stops once its next point comes after the latest register.
-Two texts agree in a register with the probability Jaccard similarity of their weighted shingles.  Bands of registers give
-buckets; bucket members are compared with the bucket's leader on their whole shingle sets; links give classes.
+Two texts agree in a register with the probability Jaccard similarity of their weighted shingles.  All weights are 1, for
+which that is the Jaccard similarity of the sets, by which links are defined.  Bands of registers give buckets; bucket members are compared with the bucket's leader on their whole shingle sets; links give classes.
 """
 
 from __future__ import annotations
@@ -47,18 +47,16 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
 def signatures(flat: np.ndarray, offsets: np.ndarray, width: int, registers: int) -> tuple[np.ndarray, np.ndarray]:
     """For each text, words flat[offsets[i]:offsets[i + 1]]: its registers and its number of distinct shingles.
 
-    Weights are 1 + ln(times the shingle occurs).  Texts without words have empty (0) registers and no shingle.
+    A shingle has weight 1 however often it occurs.  Texts without words have empty (0) registers and no shingle.
     """
     n = len(offsets) - 1
     parts = [shingles(flat[a:b], width) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     doc = np.repeat(np.arange(n, dtype=np.uint64), [len(p) for p in parts])
     keys = np.sort((doc << np.uint64(50)) | (np.concatenate(parts) & _MASK)) if n else np.zeros(0, np.uint64)
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    times = np.diff(np.append(first, len(keys)))
     keys = keys[first]
     doc = (keys >> np.uint64(50)).astype(np.int64)
     element = mixed(keys & _MASK)
-    rate = 1 + np.log(times)
     distinct = np.bincount(doc, minlength=n)
     best = np.full(n * registers, np.inf)
     owner = np.zeros(n * registers, np.uint64)
@@ -67,7 +65,7 @@ def signatures(flat: np.ndarray, offsets: np.ndarray, width: int, registers: int
     while len(element):
         step += 1
         noise = mixed(element + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        clock = clock - np.log1p(-(noise >> np.uint64(11)).astype(float) * 2.0**-53) / rate
+        clock = clock - np.log1p(-(noise >> np.uint64(11)).astype(float) * 2.0**-53)
         slot = doc * registers + (mixed(noise) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(best, slot, clock)
         won = best[slot] == clock
@@ -75,7 +73,7 @@ def signatures(flat: np.ndarray, offsets: np.ndarray, width: int, registers: int
         going = doc[np.concatenate(([True], doc[1:] != doc[:-1]))]
         latest[going] = best.reshape(n, registers)[going].max(axis=1)
         alive = clock < latest[doc]
-        element, doc, rate, clock = element[alive], doc[alive], rate[alive], clock[alive]
+        element, doc, clock = element[alive], doc[alive], clock[alive]
     return owner.reshape(n, registers), distinct
 
 

@@ -87,18 +87,31 @@ def test_near_copies_apart_in_a_crowded_bucket(spark):
     """Pages of one template, unlike each other, with pairs of near copies among them: every pair of a bucket is tested."""
     rng = random.Random(11)
     word = lambda: f"w{rng.randrange(100_000)}"
-    template, texts = [word() for _ in range(160)], {}
-    for i in range(400):
-        own = template + [word() for _ in range(50)]
+    template, texts = [word() for _ in range(180)], {}
+    for i in range(200):
+        own = template + [word() for _ in range(26)]
         texts[i] = " ".join(own)
         if i % 4 == 0:
-            own[-9] = word()
-            own[0] = word()
+            for j in (20, 60, 100, 140):
+                own[j] = word()
             texts[10_000 - i] = " ".join(own)
     df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
     want = classes(texts)
-    assert len(set(want.values())) == 400
+    assert len(set(want.values())) == 200
     # Bands of one register put nearly all rows in one bucket, so the comparison within buckets decides.
     got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(df, bands=125, rows=1).collect()}
     assert got == want
-    assert {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(df, block=16).collect()} == want
+
+
+def test_repeated_passages_do_not_hide_near_copies(spark):
+    """Texts with nearly the same shingles, of which one repeats a passage 500 times."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(1_000_000)}"
+    texts = {}
+    for i in range(0, 60, 2):
+        own, passage = [word() for _ in range(104)], [word() for _ in range(30)]
+        texts[i], texts[i + 1] = " ".join(own + passage), " ".join(own + passage * 500)
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    want = classes(texts)
+    assert len(set(want.values())) == 30
+    assert {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(df).collect()} == want
