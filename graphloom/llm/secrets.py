@@ -2,9 +2,9 @@
 
 A worklist starts with the text itself.  Each layer is scanned, then unwrapped: percent escapes, Unicode escapes and
 look-alike characters give a copy of the layer with those parts replaced; every base64 token that decodes to text, or to
-a gzip, zlib, bzip2 or xz stream of text, gives a layer of its own.  New layers join the worklist until none is new; a
-layer equal to one seen before in the document is not queued again, so cycles end.  Spans found in a layer are mapped
-back through the layers to code points of the document.
+a gzip, zlib, bzip2 or xz stream of text, gives a layer of its own.  New layers join the worklist until none is new.  Equal
+layers are scanned once, but every place that holds one is kept, and spans found in a layer are mapped back through all
+of its places to code points of the document.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import re
 import unicodedata
 import zlib
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -195,15 +196,15 @@ def scan(text: str | None, most_bytes: int = 1 << 26) -> tuple[list[tuple[str, i
     """
     if not text:
         return [], 0
-    found: dict[tuple[str, int, int], tuple[str, bool]] = {}
-    work, seen, layers = [(text, (), "")], {text}, 0
+    spans: dict[str, dict[tuple[str, int, int], str]] = {text: {}}
+    parents: dict[str, list[tuple[str, str, object]]] = {text: []}
+    work, queue = [text], deque()
     while work:
-        layer, maps, path = work.pop()
-        layers += 1
-        for kind, start, end in detect(layer):
-            for m in reversed(maps):
-                start, end = m.outer(start, end)
-            found.setdefault((kind, start, end), (path, not maps))
+        layer = work.pop()
+        for span in detect(layer):
+            if span not in spans[layer]:
+                spans[layer][span] = ""
+                queue.append((layer, span))
         children = []
         if "%" in layer:
             children.append(("url", _splice(layer, PERCENT, _unpercent)))
@@ -214,11 +215,22 @@ def scan(text: str | None, most_bytes: int = 1 << 26) -> tuple[list[tuple[str, i
         inner = [(name, made) for name, made in children if made]
         inner += [(name, (plain, mapping)) for name, plain, mapping in _tokens(layer, most_bytes)]
         for name, (plain, mapping) in inner:
-            if plain and plain not in seen:
-                seen.add(plain)
-                work.append((plain, (*maps, mapping), f"{path}/{name}"))
+            if plain and plain != layer:
+                if plain not in spans:
+                    spans[plain], parents[plain] = {}, []
+                    work.append(plain)
+                parents[plain].append((layer, name, mapping))
+    # A span goes up to every place that holds its layer; each is taken once, so this ends even where layers hold each other.
+    while queue:
+        layer, span = queue.popleft()
+        for parent, name, mapping in parents[layer]:
+            up = (span[0], *mapping.outer(span[1], span[2]))
+            if up not in spans[parent]:
+                spans[parent][up] = f"/{name}{spans[layer][span]}"
+                queue.append((parent, up))
+    found = spans[text]
     order = {k: i for i, k in enumerate(KINDS)}
-    return [(*key, *found[key]) for key in sorted(found, key=lambda k: (k[1], order[k[0]], k[2]))], layers
+    return [(*key, found[key], not found[key]) for key in sorted(found, key=lambda k: (k[1], order[k[0]], k[2]))], len(spans)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = 1 << 26) -> DataFrame:

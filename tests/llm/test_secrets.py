@@ -60,6 +60,17 @@ def test_layers_and_their_spans():
     assert added(f"a {base64.urlsafe_b64encode(b'key ' + SECRET.encode()).decode().rstrip('=')} b")
 
 
+def test_equal_layers_are_mapped_to_every_place():
+    b64 = base64.b64encode(SECRET.encode()).decode()
+    token = b64.rstrip("=")
+    text = f"a {b64} b\nc {b64} d\ne {b64} f"
+    assert [s[1] for s in scan(text)[0]] == [m.start() for m in re.finditer(re.escape(token), text)]
+    twice = base64.b64encode(f"x {b64} y".encode()).decode()
+    assert len({s[1] for s in scan(f"{twice} {b64} {twice}")[0]}) == 3
+    packed = base64.b64encode(gzip.compress(SECRET.encode(), mtime=0)).decode()
+    assert added(f"{packed} {packed}") == [("assign", packed, "/packed")] * 2
+
+
 def test_fixpoint_ends_and_bombs_stay_packed():
     text = "%2525252541KIA1234567890ABCD %41 \\u0025\\u0034\\u0031"
     assert scan(text)[1] > 1
