@@ -35,6 +35,10 @@ ASSIGN_LEAST = 8
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+BREAK = re.compile(r"\s+")
+#: Where a compressed stream may start inside a token; zlib has no mark that is long enough and is looked for at the start alone.
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
 URL_SAFE = str.maketrans("-_", "+/")
 
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int,layer:string,base:boolean>>"
@@ -83,19 +87,24 @@ class Spliced:
 
 
 class Base64Token:
-    """Maps characters of a decoded token to the base64 digits that carry their bytes."""
+    """Maps characters of a decoded token to the base64 digits that carry their bytes; ``runs`` are (digit, its place)."""
 
-    def __init__(self, at: int, text: str):
-        self.at = at
+    def __init__(self, runs: list[tuple[int, int]], phase: int, text: str, codec: str):
+        self.runs, self.phase = runs, phase
         self.bytes_before = None
-        if not text.isascii():
+        if codec != "utf-8" or not text.isascii():
             self.bytes_before = [0]
             for c in text:
-                self.bytes_before.append(self.bytes_before[-1] + len(c.encode()))
+                self.bytes_before.append(self.bytes_before[-1] + len(c.encode(codec, "surrogateescape" if codec == "utf-8" else "surrogatepass")))
 
     def outer(self, start: int, end: int) -> tuple[int, int]:
         a, b = (start, end) if self.bytes_before is None else (self.bytes_before[start], self.bytes_before[end])
-        return self.at + a * 8 // 6, self.at + -(-b * 8 // 6)
+        return _place(self.runs, self.phase + a * 8 // 6), _place(self.runs, self.phase + -(-b * 8 // 6) - 1) + 1
+
+
+def _place(runs: list[tuple[int, int]], digit: int) -> int:
+    first, at = runs[bisect_right(runs, (digit, 1 << 62)) - 1]
+    return at + digit - first
 
 
 class Packed:
@@ -148,45 +157,85 @@ def _splice(text: str, pattern: re.Pattern, put) -> tuple[str, Spliced] | None:
 
 
 def _unpack(data: bytes, most: int) -> bytes | None:
-    """The content of a compressed stream, nothing if it is none or is larger than ``most`` bytes."""
-    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0):
-        reader = zlib.decompressobj(47)
-        read = lambda: reader.decompress(data, most + 1)
-    elif data[:3] == b"BZh":
-        read = lambda: bz2.BZ2Decompressor().decompress(data, most + 1)
-    elif data[:6] == b"\xfd7zXZ\x00":
-        read = lambda: lzma.LZMADecompressor().decompress(data, most + 1)
-    else:
-        return None
-    try:
-        out = read()
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    return out if len(out) <= most else None
-
-
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and text.translate({9: None, 10: None, 13: None}).isprintable() else None
+    """The content of all members of a compressed stream, as far as it can be read; None if it is none, nothing if it is
+    larger than ``most`` bytes."""
+    out, made = [], 0
+    while data:
+        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0):
+            reader = zlib.decompressobj(47)
+        elif data[:3] == b"BZh":
+            reader = bz2.BZ2Decompressor()
+        elif data[:6] == b"\xfd7zXZ\x00":
+            reader = lzma.LZMADecompressor()
+        else:
+            break
+        try:
+            # In small pieces, so that what precedes an error is kept.
+            for i in range(0, len(data), 256):
+                part = reader.decompress(data[i : i + 256], most + 1 - made)
+                made += len(part)
+                out.append(part)
+                if made > most:
+                    return b""
+                if reader.eof:
+                    data = reader.unused_data + data[i + 256 :]
+                    break
+            else:
+                break
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            break
+    return b"".join(out) if made else None
+
+
+def _readings(data: bytes) -> Iterator[tuple[str, str]]:
+    """Texts that ``data`` may hold, and their codecs: bytes that are not UTF-8 stay as single characters."""
+    if data:
+        yield data.decode("utf-8", "surrogateescape"), "utf-8"
+        if 0 in data or data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            for codec in ("utf-16-le", "utf-16-be"):
+                yield data[: len(data) // 2 * 2].decode(codec, "surrogatepass" if len(data) > 1 else "replace"), codec
 
 
 def _tokens(text: str, most: int):
-    for m in BASE64.finditer(text):
-        token = m.group().rstrip("=")
-        if len(token) % 4 == 1:
-            continue
-        try:
-            data = binascii.a2b_base64(token.translate(URL_SAFE) + "=" * (-len(token) % 4))
-        except binascii.Error:
-            continue
-        if (inner := _unpack(data, most)) is not None:
-            if (plain := _readable(inner)) is not None:
-                yield "packed", plain, Packed(m.start(), m.end())
-        elif (plain := _readable(data)) is not None:
-            yield "base64", plain, Base64Token(m.start(), plain)
+    """Of every run of base64 digits, and of every such run over line ends: what it decodes to from each of the four
+    positions that a group of digits may start at, so that a token behind a path, a mark or a word is read as well."""
+    for pattern in (BASE64, WRAPPED):
+        if pattern is WRAPPED and "\n" not in text:
+            break
+        for m in pattern.finditer(text):
+            runs, digits, at = [], 0, m.start()
+            token = m.group().rstrip("=")
+            parts = []
+            for gap in BREAK.finditer(token):
+                runs.append((digits, at))
+                parts.append(token[at - m.start() : gap.start()])
+                digits += len(parts[-1])
+                at = m.start() + gap.end()
+            runs.append((digits, at))
+            parts.append(token[at - m.start() :])
+            whole = "".join(parts).translate(URL_SAFE)
+            for phase in range(4):
+                part = whole[phase:]
+                part = part[:-1] if len(part) % 4 == 1 else part
+                data = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+                inner = _unpack(data, most)
+                if inner == b"":
+                    break
+                if inner is not None:
+                    for plain, _ in _readings(inner):
+                        yield "packed", plain, Packed(m.start(), m.end())
+                    continue
+                for mark in MAGIC.finditer(data):
+                    for plain, _ in _readings(_unpack(data[mark.start() :], most) or b""):
+                        yield "packed", plain, Packed(_place(runs, phase + mark.start() * 8 // 6), m.end())
+                for plain, codec in _readings(data):
+                    if _enough(plain):
+                        yield "base64", plain, Base64Token(runs, phase, plain, codec)
+
+
+def _enough(text: str) -> bool:
+    """Whether a secret, or a token with one, may be in a text: it takes some characters that show or fold to ASCII."""
+    return sum(c.isprintable() or c in FOLD for c in text[:4096]) >= 4 or len(text) > 4096
 
 
 def scan(text: str | None, most_bytes: int = 1 << 26) -> tuple[list[tuple[str, int, int, str, bool]], int]:

@@ -71,6 +71,21 @@ def test_equal_layers_are_mapped_to_every_place():
     assert added(f"{packed} {packed}") == [("assign", packed, "/packed")] * 2
 
 
+def test_layers_that_are_not_plain_utf8_or_not_one_run():
+    b64 = lambda data: base64.b64encode(data).decode()
+    for data in ("\u00a0" + SECRET, "\ufeff" + SECRET, "x\x0c " + SECRET, "pass\u200bword=hunter2hunter2"):
+        assert any(a[0] == "assign" for a in added(f"a {b64(data.encode())} b")), data
+    for data in (b"caf\xe9 " + SECRET.encode(), SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), gzip.compress(b"caf\xe9 " + SECRET.encode()), gzip.compress(b"first ") + gzip.compress(SECRET.encode()), gzip.compress(SECRET.encode())[:-6]):
+        assert any(a[0] == "assign" for a in added(f"a {b64(data)} b")), data
+    token = b64(SECRET.encode()).rstrip("=")
+    assert any(token in a[1] for a in added(f"https://host/path/{token} b"))
+    noise = "".join(hashlib.md5(bytes([i])).hexdigest()[:7] + " " for i in range(60))
+    wrapped = base64.encodebytes(zlib.compress((noise + SECRET).encode())).decode()
+    assert ("assign", wrapped.rstrip("\n")) in {a[:2] for a in added(f"a\n{wrapped}")}
+    lines = base64.encodebytes(b"-" * 50 + b" " + SECRET.encode()).decode()
+    assert any(a[0] == "assign" for a in added(f"-----BEGIN CERTIFICATE-----\n{lines}"))
+
+
 def test_fixpoint_ends_and_bombs_stay_packed():
     text = "%2525252541KIA1234567890ABCD %41 \\u0025\\u0034\\u0031"
     assert scan(text)[1] > 1
