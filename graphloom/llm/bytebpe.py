@@ -14,12 +14,11 @@ import base64
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import text_or_empty
+from graphloom.llm.common import slices, text_or_empty
 
 #: A space before something that is no white space always begins a piece, so texts may be cut there.
 CHUNK = regex.compile(r"(?= [^\s\x1c-\x1f])")
@@ -160,19 +159,6 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype("int32")))
 
 
-def _slices(batch: pa.RecordBatch, most: int = 8 << 20):
-    """Parts of a batch of about ``most`` bytes, so that memory doesn't follow the batch."""
-    start, size = 0, 0
-    lengths = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
-    for i, n in enumerate(lengths):
-        size += n
-        if size >= most:
-            yield batch.slice(start, i + 1 - start)
-            start, size = i + 1, 0
-    if start < len(lengths):
-        yield batch.slice(start)
-
-
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, ``ids`` array<int>, and with ``decoded`` also the bytes that the ids decode to.
 
@@ -183,7 +169,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     def run(batches):
         bpe = coder(vocabulary, pattern)
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 ids = [bpe.encode(t) if t else np.zeros(0, "<u4") for t in part.column(1).to_pylist()]
                 columns = [part.column(0), _lists(ids)]
                 if decoded:

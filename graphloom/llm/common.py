@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.storage import shared_folder, written
 
-__all__ = ["GAP", "WORD", "shared_folder", "table", "text_or_empty", "written"]
+__all__ = ["GAP", "WORD", "shared_folder", "slices", "table", "text_or_empty", "written"]
 
 #: Words everywhere are maximal runs of other characters than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,3 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``most`` bytes in its second column, so that memory doesn't follow the batch."""
+    start, size = 0, 0
+    lengths = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
+    for i, n in enumerate(lengths):
+        size += n
+        if size >= most:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < len(lengths):
+        yield batch.slice(start)

@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 
 import numpy as np
@@ -38,11 +39,52 @@ def test_words_as_the_tokenizer_has_them(texts):
         assert words.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text(max_size=60))
-def test_words_of_any_text(text):
+def assert_as_the_library(texts):
     words = repair.words_of(PATH)
-    assert words.encode(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    ids, at = words.encode_all(texts)
+    for text, a, b, want in zip(texts, at[:-1], at[1:], words.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids[a:b].tolist() == want.ids, repr(text)
+
+
+#: Characters that composing or lowering changes, that may compose with another, and marks of many kinds.
+CHANGED = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000), *range(0x10400, 0x10450), *range(0x1D160, 0x1D170)]) if unicodedata.normalize("NFC", c) != c or c.lower() != c or unicodedata.category(c) in ("Mc", "Lm", "Nl", "No")]
+JOINING = "\u0300\u0307\u0323\u0338\u0345\u05bc\u09be\u1161\u11a8\u3099\u200d\ufe0f\x85\xa0\u2028\x1c\x00_'\u2019\u00b7\u2026-,.!"
+
+
+def test_words_of_characters_that_change():
+    assert len(CHANGED) > 2000
+    assert_as_the_library([f"x {c}, y{c}.{c}z {c}'s" for c in CHANGED])
+    assert_as_the_library([f"{c}{j}. a{j}{c}" for c in CHANGED[::7] for j in JOINING])
+    assert_as_the_library([f"x{a}{b}y ,{a},{b}" for a in JOINING for b in JOINING])
+    assert_as_the_library(["x İ, y", "İ.Ö. 300", "क़. x", "फ़!", "בּ בּ,", "ΌΣ. ΟΣ, ΣΑΣ", "\u1112\u1161\u11ab. \ud55c\u11ab,"])
+
+
+MIXED = st.text(st.one_of(st.sampled_from("abzAZ019 \n\t" + JOINING), st.sampled_from(CHANGED), st.characters(exclude_categories=("Cs",))), max_size=40)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(MIXED, min_size=1, max_size=8))
+def test_words_of_any_text(texts):
+    assert_as_the_library(texts)
+
+
+def test_the_table_of_words_may_be_emptied_at_any_time(texts):
+    words, whole = repair.WordIds(PATH, most=50), Tokenizer.from_file(PATH)
+    some = [*list(texts.values())[:40], "y" * 500, "", " \n"]
+    for i in range(0, len(some), 5):
+        ids, at = words.encode_all(some[i : i + 5])
+        for text, a, b in zip(some[i : i + 5], at[:-1], at[1:], strict=True):
+            assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_rules_go_on_beyond_16_bits():
+    ids = np.tile(np.arange(300, dtype=np.uint32), 60)
+    ends = np.zeros(len(ids), bool)
+    ends[-1] = True
+    rules, symbols, last = repair.compress(ids, ends, (1 << 16) - 20, least=2)
+    assert len(rules) > 20 and symbols.dtype == np.uint32 and last[-1]
+    row = repair.pack([0], [np.append(ids, 1)], (1 << 16) - 20, least=2)
+    assert row["wide"] and repair.Block(row).document(0).tolist() == [*ids.tolist(), 1]
 
 
 def test_query_against_brute_force(spark, small, texts):
