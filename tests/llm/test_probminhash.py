@@ -1,41 +1,54 @@
+import heapq
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.llm import probminhash, queries
 
 
 def classes(texts, least=0.8, width=5):
-    """Of {id: text}: the smallest id that links and copies lead to, by comparing all pairs that share a shingle."""
-    sets = {}
-    for i, t in texts.items():
-        w = t.encode().split()
-        sets[i] = {tuple(w[j : j + width]) for j in range(max(1, len(w) - width + 1))} if w else {()}
+    """Of {id: text}: the smallest id that links and copies lead to.
+
+    All pairs of different sets that share one of their rarest shingles are compared: sets that are similar by ``least``
+    must share one among the first 1 - ``least`` of each, in any common order.
+    """
+    sets, copies = {}, {}
+    for i in sorted(texts):
+        w = texts[i].encode().split()
+        key = frozenset(tuple(w[j : j + width]) for j in range(max(1, len(w) - width + 1))) if w else frozenset()
+        if w:
+            sets[copies.setdefault(key, i)] = key
+        copies.setdefault(key, i)
+        copies[i] = copies[key]
+    times = Counter(x for s in sets.values() for x in s)
     at = defaultdict(list)
     for i, s in sets.items():
-        for x in s:
+        for x in heapq.nsmallest(len(s) - math.ceil(least * len(s)) + 1, s, key=lambda x: (times[x], x)):
             at[x].append(i)
-    up = {i: i for i in texts}
+    up = {i: copies[i] for i in texts}
 
     def top(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    same = defaultdict(int)
-    for ids in at.values():
-        for a in range(len(ids)):
-            for b in range(a):
-                same[ids[b], ids[a]] += 1
-    for (a, b), n in same.items():
+    for a, b in {(ids[b], ids[a]) for ids in at.values() for a in range(len(ids)) for b in range(a)}:
+        n = len(sets[a] & sets[b])
         if n / (len(sets[a]) + len(sets[b]) - n) >= least:
             x, y = sorted((top(a), top(b)))
             up[y] = x
     return {i: top(i) for i in texts}
 
 
+def as_table(spark, texts):
+    return spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+
+
 def test_query_against_brute_force(spark, small, texts):
     got = {r["doc_id"]: r["class_id"] for r in queries.op6_near_dedup(spark, small).collect()}
     want = classes(texts)
@@ -56,8 +69,7 @@ def test_families_and_common_passages(spark):
     passage = " ".join(word() for _ in range(50))
     for _ in range(60):
         texts[len(texts)] = passage + " " + " ".join(word() for _ in range(100))
-    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
-    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(df).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(as_table(spark, texts)).collect()}
     assert got == classes(texts)
 
 
@@ -66,7 +78,7 @@ def test_registers_estimate_probability_jaccard():
     a = rng.integers(0, 1 << 60, 400)
     b = np.concatenate((a[:340], rng.integers(0, 1 << 60, 60)))
     flat, offsets = np.concatenate((a, b)), np.array([0, 400, 800])
-    registers, distinct = probminhash.signatures(flat, offsets, 5, 2000)
+    registers, distinct, _ = probminhash.signatures(flat, offsets, 5, 2000)
     want = probminhash.jaccard(*(np.unique(probminhash.shingles(x, 5)) for x in (a, b)))
     assert distinct.tolist() == [396, 396] and abs((registers[0] == registers[1]).mean() - want) < 0.04
 
@@ -96,17 +108,57 @@ def test_near_copies_apart_in_a_crowded_bucket(spark):
             for j in (20, 60, 100, 140):
                 own[j] = word()
             texts[10_000 - i] = " ".join(own)
-    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
     want = classes(texts)
     assert len(set(want.values())) == 200
-    # Five bands of one register make crowded buckets; of the registers four must agree.
+    # Five bands of one register make crowded buckets; a pair that agrees in none of them never meets.
+    df = as_table(spark, texts)
     words = {r["doc_id"]: np.array(r["w"]) for r in df.select("doc_id", probminhash.words_hashed(F.col("text")).alias("w")).collect()}
-    signed = {i: probminhash.signatures(w, np.array([0, len(w)]), 5, 5)[0][0].astype(np.uint8) for i, w in words.items()}
-    want = {i: c if (signed[i] == signed[c]).sum() >= 4 else i for i, c in want.items()}
-    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(df, bands=5, rows=1).collect()}
+    signed = {i: probminhash.signatures(w, np.array([0, len(w)]), 5, 5)[0][0] for i, w in words.items()}
+    want = {i: c if (signed[i] == signed[c]).any() else i for i, c in want.items()}
+    assert len(set(want.values())) < 205
+    for block in (7, 128):
+        got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(df, bands=5, rows=1, block=block).collect()}
+        assert got == want
+
+
+def test_large_family_around_the_threshold(spark):
+    """Copies of one text that share a half to nine tenths with each other: classes that only chains of links make, and
+    outliers that must be told from all of them."""
+    rng = random.Random(21)
+    base, texts = [f"w{rng.randrange(5000)}" for _ in range(150)], {}
+    for i in range(700):
+        own = list(base)
+        for _ in range(rng.choice((2, 4, 6, 9, 12))):
+            own[rng.randrange(150)] = f"w{rng.randrange(5000)}"
+        texts[i] = " ".join(own)
+    want = classes(texts)
+    assert 50 < len(set(want.values())) < 650
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(as_table(spark, texts), block=32).collect()}
     assert got == want
 
 
+def test_recall_on_the_larger_table(spark):
+    """Every class of 10,000 documents, against brute force."""
+    path = "/root/testdata/sf0.1"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["class_id"] for r in queries.op6_near_dedup(spark, path).collect()}
+    want = classes(texts)
+    assert sum(got[i] != want[i] for i in texts) == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2000), st.integers(0, 400), st.integers(0, 400), st.integers(0, 1 << 30))
+def test_sketches_never_rule_out_a_link(common, only_a, only_b, seed):
+    rng = np.random.default_rng(seed)
+    x = np.unique(rng.integers(0, 1 << 50, common + only_a + only_b).astype(np.uint64))
+    common, only_a = min(common, len(x)), min(only_a, max(0, len(x) - common))
+    sets = [x[: common + only_a], np.concatenate((x[:common], x[common + only_a :]))]
+    one, two = (probminhash.Members(np.array([k]).tobytes(), np.array([k]).tobytes(), np.array([len(s)], np.int32).tobytes(), probminhash.parity(s, probminhash.sketch_bits(len(s)))) for k, s in enumerate(sets))
+    true = probminhash.jaccard(*sets)
+    i, _, most = probminhash.bounds(one, two, 0.8)
+    assert (len(i) == 1 and most[0] >= true - 1e-12) if true >= 0.8 else (len(i) == 0 or most[0] >= true - 1e-12)
+
+
 def test_repeated_passages_do_not_hide_near_copies(spark):
     """Texts with nearly the same shingles, of which one repeats a passage 500 times."""
     rng = random.Random(3)
@@ -115,7 +167,6 @@ def test_repeated_passages_do_not_hide_near_copies(spark):
     for i in range(0, 60, 2):
         own, passage = [word() for _ in range(104)], [word() for _ in range(30)]
         texts[i], texts[i + 1] = " ".join(own + passage), " ".join(own + passage * 500)
-    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
     want = classes(texts)
     assert len(set(want.values())) == 30
-    assert {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(df).collect()} == want
+    assert {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(as_table(spark, texts)).collect()} == want
