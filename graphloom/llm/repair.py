@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import slices, text_or_empty, written
+from graphloom.llm.common import Lookup, data_of, places_of, slices, text_or_empty, written
 
 #: Id that ends each document.
 END = 1
@@ -88,12 +88,8 @@ class WordIds:
         self.merges = self.tokenizer.model.tokenize
         self.size = self.tokenizer.get_vocab_size()
         self.kind, self.code = (np.dtype("<u2"), "H") if self.size <= 1 << 16 else (np.dtype("<u4"), "I")
-        self.most = most
         self.plain = Plain(self.tokenizer)
-        self.forget()
-
-    def forget(self) -> None:
-        self.words, self.ids = (pa.array([b""], t) for t in (pa.string(), pa.binary()))
+        self.known = Lookup(self.learn, most)
 
     def letters(self, word: bytes) -> bool:
         """Whether a word is one piece of letters."""
@@ -140,31 +136,12 @@ class WordIds:
         known |= dict(zip(marks, self.whole(marks), strict=True))
         return [known[w] if w in known else known[joined[w][0]] + known[joined[w][1]] for w in words]
 
-    def places(self, words: pa.Array) -> pa.Array:
-        """Where each word stands in the table; new words are put there."""
-        if len(self.words) > self.most or self.words.nbytes > 64 << 20:
-            self.forget()
-        at = pc.index_in(words, value_set=self.words)
-        if at.null_count:
-            unknown = at.is_null()
-            missed = words.filter(unknown)
-            new = missed.unique()
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), new), " ")[0].as_py()
-            ids = pa.array(self.learn(joined.encode().split(b" ")), pa.binary())
-            at = pc.replace_with_mask(at, unknown, pc.add(pc.index_in(missed, value_set=new), pa.scalar(len(self.words), pa.int32())))
-            self.words, self.ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, ids])
-        return at
-
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and the places at which those of each text begin and end."""
         parts = pc.ascii_split_whitespace(pa.array([self.separated(t) for t in texts], pa.binary()).cast(pa.string()))
-        words = parts.flatten()
-        if not len(words):
-            return np.zeros(0, self.kind), np.zeros(len(texts) + 1, np.int64)
-        at = self.places(words)
-        _, places, data = self.ids.take(at).buffers()
-        at = np.frombuffer(places, np.int32)[parts.offsets.to_numpy()] // self.kind.itemsize
-        return np.frombuffer(data or b"", self.kind)[: at[-1]], at
+        ids = self.known.take(parts.flatten())
+        at = places_of(ids)[parts.offsets.to_numpy()] // self.kind.itemsize
+        return np.frombuffer(data_of(ids), self.kind)[: at[-1]], at
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers as P
 import pytest
@@ -37,6 +38,38 @@ def test_any_text(text):
     assert bpe.encode(text).tolist() == lib.encode_ordinary(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("aZé1日 \t\n\0.,'(_-\u2019\xa0", max_size=25), max_size=6))
+def test_texts_are_cut_where_pieces_begin(some):
+    bpe, lib = bytebpe.coder(PATHS[0], P.PATTERN), library(PATHS[0])
+    ids, at = bpe.encode_all(some)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [lib.encode_ordinary(t) for t in some]
+    assert bpe.decode_all(ids, at).to_pylist() == [t.encode() for t in some]
+
+
+def test_neighbours_as_the_merges_have_them(both):
+    bpe, _ = both
+    rng = random.Random(7)
+    entries = list(bpe.ranks)
+    pairs = [(rng.choice(entries), rng.choice(entries)) for _ in range(1500)]
+    for whole in rng.sample(entries, 1500):
+        k = rng.randrange(len(whole))
+        pairs += [(whole[:k], whole[k:])] * (whole[:k] in bpe.ranks and whole[k:] in bpe.ranks)
+    # Short ones, whose edges meet in many entries.
+    short = [x for x in entries if len(x) < 4][:4000]
+    pairs += [(rng.choice(short), rng.choice(short)) for _ in range(3000)]
+    for a, b in pairs:
+        assert bpe.may_follow(bpe.ranks[a], bpe.ranks[b]) == (bpe.merged(a + b)[0] == [bpe.ranks[a], bpe.ranks[b]])
+
+
+def test_tokens_that_their_bytes_do_not_merge_to():
+    """Ranks that no merging has made: parts later than the whole, and an entry that is never reached."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"bc": 257, b"ab": 258, b"xyz": 259, b"cd": 260, b"bcd": 261}
+    bpe, lib = bytebpe.ByteBPE(ranks, P.PATTERN), tiktoken.Encoding("odd", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for text in ("abc", "abcd", "xyz", "aabcbcdab", "bcbcd", "ab cd", "abababcd", "cdcdbcd"):
+        assert bpe.encode(text).tolist() == lib.encode_ordinary(text)
+
+
 def test_memo_tables_stay_bounded():
     bpe = bytebpe.ByteBPE(bytebpe.read_ranks(PATHS[0]), P.PATTERN, memo=50)
     for i in range(300):
