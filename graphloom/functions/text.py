@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,15 +12,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Accented letters of Latin languages and what the tokenizer folds them to.
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
-#: Words that never name a symbol; callers may pass their own.
-STOP_WORDS = tuple(
-    "the a an is are was were be been being have has had do does did will would could should may might must shall can need "
-    "to of in for on with at by from as into through during before after above below between under and but or yet so if because "
-    "although though while where when that which who whom whose what how all each every both few more most other some such no nor "
-    "not only own same than too very just now then here there up out about against down off over again further once it its itself "
-    "they them their this these those i me my we our you your he him his she her am get got go make made take use look find give "
-    "tell ask call work want like help show write way number".split()
-)
+#: English function words by class, and verbs of asking: words of a question that name no symbol.  Callers may pass their own.
+FUNCTION_WORDS = {
+    "articles and determiners": "a all an another any both each either every neither no some that the these this those",
+    "pronouns": "anyone anything everything he her him his i it its me mine my nobody none nothing our ours she somebody someone something their them they us we you your",
+    "auxiliaries": "am are be been being can cannot could did do does doing had has have having is may might must shall should was were will would",
+    "prepositions": "about across after against along among around at before behind below beside between by down during except for from in inside into like near of off on onto out over past since through to toward under until up upon with within without",
+    "conjunctions": "although and as because but if nor or so than though unless whereas whether while yet",
+    "questions": "how what when where which who whom whose why",
+    "adverbs": "again also always ever here just maybe never not now often only quite rather soon still then there too very",
+    "asking": "ask describe explain find give help know look need please show tell understand want",
+}
+STOP_WORDS = tuple(word for words in FUNCTION_WORDS.values() for word in words.split())
 
 
 def ascii_lower(x: Column) -> Column:
@@ -67,29 +71,39 @@ def matches_terms(columns: list[Column], query: str) -> Column:
     return hit
 
 
-#: Identifier shapes, in the order in which they are looked for; the last is any word.
+# Identifier shapes, in the order in which they are looked for; the last is any word.  They stand between
+# characters that are no ASCII word characters.
 SHAPES = (
-    r"\b[A-Z][a-zA-Z0-9]*[a-z]+[A-Z][a-zA-Z0-9]*\b",
-    r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b",
-    r"\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b",
-    r"\b[a-zA-Z][a-zA-Z0-9]*(?:\.[a-zA-Z][a-zA-Z0-9]*)+\b",
-    r"\b[a-zA-Z][a-zA-Z0-9_]{2,}\b",
+    r"[A-Z][a-zA-Z0-9]*[a-z]+[A-Z][a-zA-Z0-9]*",
+    r"[a-z][a-z0-9]*(?:_[a-z0-9]+)+",
+    r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+",
+    r"[a-zA-Z][a-zA-Z0-9]*(?:\.[a-zA-Z][a-zA-Z0-9]*)+",
+    r"[a-zA-Z][a-zA-Z0-9_]{2,}",
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def symbol_tokens(x: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Words of a text that may name symbols, shape by shape; of spellings that differ in case the first stays."""
-    found = [F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(p), F.lit(0)) for p in SHAPES]
+    """Words of a text that may name symbols, shape by shape; of spellings that differ in case the first stays.
+
+    The first spellings are found by sorting, so the work grows as n log n with the text.
+    """
+    found = [F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(rf"(?<![A-Za-z0-9_]){p}(?![A-Za-z0-9_])"), F.lit(0)) for p in SHAPES]
     found[-1] = F.filter(found[-1], lambda w: ~F.lower(w).isin(*stop_words))
-    every = F.concat(*found)
-    return F.filter(F.transform(every, lambda w, i: F.when(F.array_position(F.transform(every, F.lower), F.lower(w)) == i + 1, w)), lambda w: w.isNotNull())
+    placed = F.array_sort(F.transform(F.concat(*found), lambda w, i: F.struct(F.lower(w).alias("low"), i.alias("at"), w.alias("word"))))
+    first = let(placed, lambda s: F.filter(s, lambda t, j: (j == 0) | (F.get(s, j - 1)["low"] != t["low"])))
+    return F.transform(F.array_sort(F.transform(first, lambda t: F.struct(t["at"].alias("at"), t["word"].alias("word")))), lambda t: t["word"])
 
 
 def symbol_tokens_of(text: str, stop_words: tuple[str, ...] = STOP_WORDS) -> list[str]:
     """The same for one text on the driver."""
     seen, out = set(), []
     for i, shape in enumerate(SHAPES):
-        for word in re.findall(shape, text, flags=re.ASCII):
+        for word in re.findall(rf"\b{shape}\b", text, flags=re.ASCII):
             low = word.lower()
             if low not in seen and not (i == len(SHAPES) - 1 and low in stop_words):
                 seen.add(low)

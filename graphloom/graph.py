@@ -114,7 +114,11 @@ class CodeGraph:
         return tables
 
     def index_all(self) -> IndexResult:
-        """Reads, extracts and links the whole tree into a new snapshot."""
+        """Reads, extracts and links the whole tree into a new snapshot; one index or sync runs at a time."""
+        with self.store.lock():
+            return self._index_all()
+
+    def _index_all(self) -> IndexResult:
         everything = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root).where(~F.col("path").contains(f"/{FOLDER}/")).count()
         texts = written(files.sources(self._scan()), "sources")
         made = files.extract_all(texts)
@@ -126,9 +130,13 @@ class CodeGraph:
     def sync(self) -> dict[str, int]:
         """Brings the snapshot up to the tree: only new and changed files are parsed, and only new or changed nodes are
         embedded; the result equals that of a full index.  Counts by status."""
+        with self.store.lock():
+            return self._sync()
+
+    def _sync(self) -> dict[str, int]:
         old = self.store.table("files")
         if old is None:
-            return {"added": self.index_all().files_indexed}
+            return {"added": self._index_all().files_indexed}
         texts = written(files.sources(self._scan()), "sources")
         status = written(sync.file_status(old, texts), "status")
         counts = {r["status"]: r["n"] for r in sync.status_counts(status).collect()}

@@ -7,7 +7,7 @@ what an earlier one could not.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
@@ -65,11 +65,16 @@ def source_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     endings = F.array(F.lit(""))
     for language, some in LANGUAGE_ENDINGS.items():
         endings = F.when(F.col("language") == language, F.array(*map(F.lit, some))).otherwise(endings)
-    keyed = imports.where(~outside).withColumn("_key", F.xxhash64("file_path", "language", "local", "module"))
+    keyed = imports.where(~outside).withColumn("_key", _identity("file_path", "language", "local", "module"))
     every = keyed.select("_key", F.posexplode(F.flatten(F.transform(starts, lambda s: F.transform(endings, lambda e: F.concat(s, e))))).alias("ord", "path"))
     return keyed.join(first_existing(every, files, "_key"), "_key").drop("_key")
 
 
+def _identity(*columns: str) -> Column:
+    """128 bits of some columns, nulls told from empty texts."""
+    return F.md5(F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in columns]))
+
+
 def _ranked(parts: list[DataFrame]) -> DataFrame:
     whole = parts[0].select("ref_id", "id", "strategy")
     for part in parts[1:]:
@@ -81,7 +86,8 @@ def _ranked(parts: list[DataFrame]) -> DataFrame:
 def _named(defs: DataFrame, fold: bool = False) -> DataFrame:
     """(_name, _file, id): the first definition of each name in each file; no strategy takes a later one."""
     name = F.lower("name") if fold else F.col("name")
-    return defs.groupBy(name.alias("_name"), F.col("file_path").alias("_file")).agg(F.min("id").alias("id"))
+    order = F.struct(*[F.col(c) for c in ("start_line", "start_column") if c in defs.columns], F.col("id"))
+    return defs.groupBy(name.alias("_name"), F.col("file_path").alias("_file")).agg(F.min_by("id", order).alias("id"))
 
 
 def same_file(refs: DataFrame, defs: DataFrame, fold: bool = False) -> DataFrame:
@@ -139,7 +145,7 @@ def inheritance(refs: DataFrame, defs: DataFrame, imports: DataFrame | None = No
 
 def resolve_all(refs: DataFrame, nodes: DataFrame, files: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """(source, target, kind, line, column): the edges of all references that can be resolved."""
-    keyed = refs.withColumn("ref_id", F.xxhash64("source_id", "ref_name", "ref_kind", "file_path", "line", "column"))
+    keyed = refs.withColumn("ref_id", _identity("source_id", "ref_name", "ref_kind", "file_path", "line", "column"))
     spec = keyed.withColumn("spec", F.col("ref_name"))
     file_nodes = nodes.where("kind = 'file'").select(F.col("file_path").alias("target_file"), "id")
     to_file = lambda df: df.join(file_nodes, "target_file").select("ref_id", "id")

@@ -24,8 +24,13 @@ def status_counts(status: DataFrame) -> DataFrame:
 
 
 def upsert(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``new`` in place of the rows with its keys; of several new rows with a key, any one."""
-    return base.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.dropDuplicates(keys), allowMissingColumns=True)
+    """``new`` in place of the rows with its keys; of several new rows with a key, the largest by its other columns in turn."""
+    rest = [c for c in new.columns if c not in keys]
+    if rest:
+        last = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_last")).select(*keys, "_last.*").select(*new.columns)
+    else:
+        last = new.distinct()
+    return base.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def delete_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, incoming: bool, embeddings: DataFrame | None = None) -> tuple:

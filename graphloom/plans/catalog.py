@@ -321,14 +321,14 @@ p(path, tail) AS (SELECT [source, target], target FROM e WHERE source < target
 SELECT array_to_string(path, '>') AS cycle, len(path) AS length FROM p JOIN e ON source = tail AND target = path[1]"""
 
 
-@query(_cycles_sql(TRADE_EDGES, 12))
+@query(_cycles_sql(TRADE_EDGES, 50))
 def cycles_trade(spark, d):
-    return cycles.simple_cycles(views.trade_edges(spark, d), 12).select(F.array_join("path", ">").alias("cycle"), F.col("length").cast("long").alias("length"))
+    return cycles.simple_cycles(views.trade_edges(spark, d)).select(F.array_join("path", ">").alias("cycle"), F.col("length").cast("long").alias("length"))
 
 
-@query(_cycles_sql(SESSION_EDGES, 12))
+@query(_cycles_sql(SESSION_EDGES, 50))
 def cycles_sessions(spark, d):
-    return cycles.simple_cycles(views.session_edges(spark, d), 12).select(F.array_join("path", ">").alias("cycle"), F.col("length").cast("long").alias("length"))
+    return cycles.simple_cycles(views.session_edges(spark, d)).select(F.array_join("path", ">").alias("cycle"), F.col("length").cast("long").alias("length"))
 
 
 @query("SELECT event_id, CASE WHEN b || ',' || c || ',' || a < a || ',' || b || ',' || c AND b || ',' || c || ',' || a <= c || ',' || a || ',' || b THEN b || ',' || c || ',' || a WHEN c || ',' || a || ',' || b < a || ',' || b || ',' || c THEN c || ',' || a || ',' || b ELSE a || ',' || b || ',' || c END AS canonical FROM (SELECT event_id, event_type AS a, 'k' || user_id % 10 AS b, 'z' || event_id % 7 AS c FROM events)")
@@ -337,11 +337,11 @@ def canonical_rotation(spark, d):
     return events.select("event_id", F.array_join(cycles.canonical_rotation(F.col("path")), ",").alias("canonical"))
 
 
-@query(f"WITH {TRADE_EDGES}, e AS (SELECT DISTINCT source, target FROM edges WHERE CAST(source AS INT) < 12 AND CAST(target AS INT) < 12) SELECT CASE WHEN EXISTS (SELECT 1 FROM e r WHERE r.source = e.target AND r.target = e.source) AND CAST(source AS INT) > CAST(target AS INT) THEN target ELSE source END AS source, CASE WHEN EXISTS (SELECT 1 FROM e r WHERE r.source = e.target AND r.target = e.source) AND CAST(source AS INT) > CAST(target AS INT) THEN source ELSE target END AS target FROM e GROUP BY ALL")
+@query(f"WITH {TRADE_EDGES}, e AS (SELECT DISTINCT source, target FROM edges) SELECT CASE WHEN EXISTS (SELECT 1 FROM e r WHERE r.source = e.target AND r.target = e.source) AND CAST(source AS INT) > CAST(target AS INT) THEN target ELSE source END AS source, CASE WHEN EXISTS (SELECT 1 FROM e r WHERE r.source = e.target AND r.target = e.source) AND CAST(source AS INT) > CAST(target AS INT) THEN source ELSE target END AS target FROM e GROUP BY ALL")
 def relationship_map(spark, d):
-    """Among nations 0 to 11, the earlier nation's direction where both exist."""
+    """Among all nations, the earlier nation's direction where both exist."""
     nodes, edges = trade(spark, d)
-    chosen = nodes.select("id", F.col("id").cast("int").alias("entry")).where("entry < 12")
+    chosen = nodes.select("id", F.col("id").cast("int").alias("entry"))
     return traversal.relationships(edges, chosen, ("imports",))
 
 
@@ -444,10 +444,9 @@ def search_tiered(spark, d):
     return search.tiered(nodes, "NATION_1", 14).select("id", "name", "score", "tier")
 
 
-@query("SELECT conv_id, turn, string_agg(w, ' ' ORDER BY i) AS tokens FROM (SELECT conv_id, turn, w, i, row_number() OVER (PARTITION BY conv_id, turn, lower(w) ORDER BY i) AS r FROM (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT conv_id, turn, list_concat(list_concat(list_concat(list_concat(regexp_extract_all(text, '\\b[A-Z][a-zA-Z0-9]*[a-z]+[A-Z][a-zA-Z0-9]*\\b'), regexp_extract_all(text, '\\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\\b')), regexp_extract_all(text, '\\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\\b')), regexp_extract_all(text, '\\b[a-zA-Z][a-zA-Z0-9]*(?:\\.[a-zA-Z][a-zA-Z0-9]*)+\\b')), list_filter(regexp_extract_all(text, '\\b[a-zA-Z][a-zA-Z0-9_]{2,}\\b'), lambda w: NOT list_contains(" + str(list(text.STOP_WORDS)) + ", lower(w)))) AS ws FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*')))) WHERE r = 1 GROUP BY conv_id, turn")
+@query("SELECT conv_id, turn, string_agg(w, ' ' ORDER BY i) AS tokens FROM (SELECT conv_id, turn, w, i, row_number() OVER (PARTITION BY conv_id, turn, lower(w) ORDER BY i) AS r FROM (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT conv_id, turn, list_concat(list_concat(list_concat(list_concat(regexp_extract_all(text, '\\b[A-Z][a-zA-Z0-9]*[a-z]+[A-Z][a-zA-Z0-9]*\\b'), regexp_extract_all(text, '\\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\\b')), regexp_extract_all(text, '\\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\\b')), regexp_extract_all(text, '\\b[a-zA-Z][a-zA-Z0-9]*(?:\\.[a-zA-Z][a-zA-Z0-9]*)+\\b')), list_filter(regexp_extract_all(text, '\\b[a-zA-Z][a-zA-Z0-9_]{2,}\\b'), lambda w: NOT list_contains(" + str(list(text.STOP_WORDS)) + ", lower(w)))) AS ws FROM conversations))) WHERE r = 1 GROUP BY conv_id, turn")
 def symbol_tokens(spark, d):
-    """Of conversation turns in ASCII, where both engines' word boundaries agree."""
-    turns = views.table(spark, d, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    turns = views.table(spark, d, "conversations")
     return turns.select("conv_id", "turn", F.array_join(text.symbol_tokens(F.col("text")), " ").alias("tokens")).where("tokens <> ''")
 
 
@@ -522,7 +521,7 @@ def vector_norms(spark, d):
 
 # References by part: a name in a brand.  Ids keep the order of definition.
 _DEFS = "defs AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS id, 'function' AS kind, p_type AS name, p_brand AS file_path FROM part)"
-_REFS = "refs AS (SELECT c_custkey AS ref_id, (SELECT list(p_type ORDER BY p_partkey) FROM part WHERE p_partkey <= 50)[c_custkey % 50 + 1] AS ref_name, (SELECT list(p_brand ORDER BY p_partkey) FROM part WHERE p_partkey <= 50)[c_custkey % 7 + 1] AS file_path FROM customer)"
+_REFS = "refs AS (SELECT c_custkey AS ref_id, a.p_type AS ref_name, b.p_brand AS file_path FROM customer JOIN part a ON a.p_partkey = c_custkey JOIN part b ON b.p_partkey = c_custkey % 7 + 1)"
 
 
 def _definitions(spark, d):
@@ -530,10 +529,11 @@ def _definitions(spark, d):
 
 
 def _references(spark, d):
-    parts = views.table(spark, d, "part").where("p_partkey <= 50").select((F.rank().over(Window.orderBy("p_partkey")) - 1).alias("i"), "p_type", "p_brand")
-    customers = views.table(spark, d, "customer").select(F.col("c_custkey").alias("ref_id"), (F.col("c_custkey") % 50).alias("i"), (F.col("c_custkey") % 7).alias("j"))
-    named = customers.join(parts.select("i", F.col("p_type").alias("ref_name")), "i")
-    return named.join(parts.select(F.col("i").alias("j"), F.col("p_brand").alias("file_path")), "j").select("ref_id", "ref_name", "file_path")
+    """Every customer refers to the type of the part of the same key, from one of seven files."""
+    parts = views.table(spark, d, "part")
+    customers = views.table(spark, d, "customer").select(F.col("c_custkey").alias("ref_id"))
+    named = customers.join(parts.select("p_partkey", F.col("p_type").alias("ref_name")), F.col("ref_id") == F.col("p_partkey")).drop("p_partkey")
+    return named.join(parts.select("p_partkey", F.col("p_brand").alias("file_path")), F.col("ref_id") % 7 + 1 == F.col("p_partkey")).select("ref_id", "ref_name", "file_path")
 
 
 @query(f"WITH {_DEFS}, {_REFS} SELECT ref_id, min(id) AS id FROM refs JOIN defs ON name = ref_name AND defs.file_path = refs.file_path GROUP BY ref_id")

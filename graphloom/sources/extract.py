@@ -30,6 +30,7 @@ class Extraction:
     refs: list[dict] = field(default_factory=list)
     imports: list[dict] = field(default_factory=list)
     error: str | None = None
+    known: set[str] = field(default_factory=set)
 
     @property
     def file_id(self) -> str:
@@ -38,8 +39,9 @@ class Extraction:
     def add(self, kind: str, name: str, line: int, end: int, id_name: str | None = None, **more) -> str:
         """A node and its edge from the file; the first definition of an id wins."""
         i = node_id(kind, self.path, id_name or name, line)
-        if any(n["id"] == i for n in self.nodes):
+        if i in self.known:
             return i
+        self.known.add(i)
         row = dict.fromkeys(NODE_FIELDS) | {"id": i, "kind": kind, "name": name, "file_path": self.path, "start_line": line, "end_line": end, "start_column": 0, "end_column": 0, "language": self.language}
         row |= dict.fromkeys(("is_exported", "is_async", "is_static", "is_abstract"), False) | more
         self.nodes.append(row)
@@ -190,6 +192,8 @@ class Grammar:
 _ID = r"[A-Za-z_$][\w$]*"
 _GEN = r"(?:<[^<>{}()]*(?:<[^<>]*>[^<>{}()]*)*>)?"
 _MODS = r"(?P<mods>(?:\b(?:export|default|public|private|protected|internal|static|async|abstract|final|override|virtual|sealed|readonly|partial|synchronized|open|data|pub(?:\([^)]*\))?|const|unsafe|extern|inline|suspend|mutating|fileprivate|declare|native|default)\s+)*)"
+#: The rest of a parameter list, brackets in balance to a depth of three.
+_ARGS = r"(?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
 _TS_DEFS = (
     ("function", rf"{_MODS}\bfunction\b\s*\*?\s*(?P<name>{_ID})\s*{_GEN}\s*(?P<params>\()"),
     ("arrow", rf"{_MODS}\b(?:const|let|var)\s+(?P<name>{_ID})\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?=(?:\([^()]*(?:\([^()]*\)[^()]*)*\)|{_ID})\s*(?::[^=\n]+?)?=>)"),
@@ -197,10 +201,13 @@ _TS_DEFS = (
     ("interface", rf"{_MODS}\binterface\s+(?P<name>{_ID})\s*{_GEN}(?P<bases>[^{{;]*)\{{"),
     ("type_alias", rf"{_MODS}\btype\s+(?P<name>{_ID})\s*{_GEN}\s*="),
     ("enum", rf"{_MODS}\benum\s+(?P<name>{_ID})\s*\{{"),
-    ("method", rf"(?m)(?:^|(?<=[{{}};]))[ \t]*{_MODS}(?:get\s+|set\s+)?\*?(?P<name>#?{_ID})\s*{_GEN}\s*(?P<params>\()(?=[^;{{}}]*(?:\{{|;))"),
+    ("method", rf"(?m)(?:^|(?<=[{{}};]))[ \t]*{_MODS}(?:get\s+|set\s+)?\*?(?P<name>#?{_ID})\s*{_GEN}\s*(?P<params>\()(?={_ARGS}\s*(?::[^;={{}}]+)?(?:\{{|(?<=[^)\s])\s*;))"),
+    ("field", rf"(?m)(?:^|(?<=[{{}};]))[ \t]*{_MODS}(?P<name>#?{_ID})[?!]?\s*(?::[^;=(){{}}\n]+)?(?=\s*(?:=[^=>]|;))"),
     ("variable", rf"{_MODS}\b(?:const|let|var)\s+(?P<name>{_ID})\s*(?::[^=;\n]+)?="),
 )
-_C_FUNC = rf"(?m)^[ \t]*{_MODS}(?!return\b|else\b|new\b|throw\b|case\b|typedef\b)(?:[\w:<>,*&\[\]?.]+[ \t*&]+)+(?P<name>~?{_ID})\s*(?P<params>\()(?=[^;{{}}]*\{{)"
+_C_FUNC = rf"(?m)^[ \t]*{_MODS}(?!return\b|else\b|new\b|throw\b|case\b|typedef\b)(?:[\w:<>,*&\[\]?.]+[ \t*&]+)+(?:(?P<owner>{_ID})::)?(?P<name>~?{_ID})\s*(?P<params>\()(?={_ARGS}[^;{{}}()]*[{{;])"
+_C_FIELD = rf"(?m)(?:^|(?<=[{{}};]))[ \t]*{_MODS}(?!return\b|else\b|typedef\b|using\b|goto\b|public\b|private\b|protected\b)(?:[\w:<>,]+[ \t*&]+)+(?P<name>{_ID})\s*(?:\[[^\]]*\]\s*)*(?:=[^;{{}}]*)?(?=;)"
+_C_TYPEDEF = rf"\btypedef\s+(?:struct|union)\s*(?:{_ID}\s*)?\{{[^{{}}]*(?:\{{[^{{}}]*\}}[^{{}}]*)*\}}\s*(?P<name>{_ID})(?=\s*;)"
 GRAMMARS = {
     "typescript": Grammar(_TS_DEFS, arrow="=>", exported="export"),
     "javascript": Grammar(_TS_DEFS, arrow="=>", exported="export"),
@@ -211,6 +218,7 @@ GRAMMARS = {
             ("class", rf"\btype\s+(?P<name>{_ID})\s+struct\s*\{{"),
             ("interface", rf"\btype\s+(?P<name>{_ID})\s+interface\s*\{{"),
             ("constant", rf"(?m)^const\s+(?P<name>{_ID})\b"),
+            ("constant", rf"(?m)(?:^const\s*\(|(?<=\n))[ \t]*(?P<name>{_ID})\b(?=[^\n():{{}}]*(?:=[^=]|$))"),
             ("variable", rf"(?m)^var\s+(?P<name>{_ID})\b"),
         ),
         quotes='"`',
@@ -240,9 +248,9 @@ GRAMMARS = {
         arrow="->",
         exported="public",
     ),
-    "c": Grammar((("function", _C_FUNC), ("class", rf"\b(?:struct|union)\s+(?P<name>{_ID})\s*\{{"), ("enum", rf"\benum\s+(?P<name>{_ID})\s*\{{")), quotes="\"'", exported="*"),
+    "c": Grammar((("class", rf"\b(?:struct|union)\s+(?P<name>{_ID})\s*\{{"), ("enum", rf"\benum\s+(?P<name>{_ID})\s*\{{"), ("typedef", _C_TYPEDEF), ("function", _C_FUNC), ("field", _C_FIELD)), quotes="\"'", exported="*"),
     "cpp": Grammar(
-        (("enum", rf"\benum\s+(?:class\s+)?(?P<name>{_ID})[^{{;]*\{{"), ("class", rf"\b(?:class|struct|namespace)\s+(?P<name>{_ID})(?P<bases>[^{{;()]*)\{{"), ("function", _C_FUNC)),
+        (("enum", rf"\benum\s+(?:class\s+)?(?P<name>{_ID})[^{{;]*\{{"), ("class", rf"\b(?:class|struct|namespace)\s+(?P<name>{_ID})(?P<bases>[^{{;()]*)\{{"), ("typedef", _C_TYPEDEF), ("function", _C_FUNC), ("field", _C_FIELD)),
         quotes="\"'",
         arrow="[](",
         exported="*",
@@ -264,7 +272,7 @@ GRAMMARS = {
     "kotlin": Grammar((("class", rf"{_MODS}\b(?:class|object)\s+(?P<name>{_ID})[^{{\n]*"), ("interface", rf"{_MODS}\binterface\s+(?P<name>{_ID})[^{{\n]*"), ("function", rf"{_MODS}\bfun\s+{_GEN}\s*(?:{_ID}\.)?(?P<name>{_ID})\s*(?P<params>\()")), quotes='"', exported="!private"),
     "ruby": Grammar((("class", r"(?m)^[ \t]*(?:class|module)\s+(?P<name>[A-Z]\w*)"), ("function", r"(?m)^[ \t]*def\s+(?:self\.)?(?P<name>[a-z_]\w*[?!=]?)(?P<params>\()?")), line="#", quotes="\"'", exported="*", ruby=True),
 }
-NOT_CALLS = frozenset("if for while switch catch return function sizeof new throw else do await typeof super constructor match fn func def elif and or not with in is import require_relative class struct enum interface foreach using lock when where guard defer async unless until case print_r isset empty array list".split())
+NOT_CALLS = frozenset("if for while switch catch return function sizeof new throw else do await typeof super constructor match fn func def elif and or not with in is import require_relative class struct enum interface foreach using lock when where guard defer async unless until case print_r isset empty array list const var type import package".split())
 CALL = re.compile(rf"(?<![\w$])(?P<name>{_ID})\s*{_GEN}\s*\(")
 BLOCK_KINDS = ("class", "interface", "enum", "impl")
 
@@ -285,13 +293,20 @@ class Braces:
 
     def __init__(self, plain: str):
         self.close, stack = {}, []
+        self.inner = []  # (place, the bracket that opens around what follows it)
         for m in re.finditer(r"[{}()]", plain):
             if m[0] in "{(":
                 stack.append((m[0], m.start()))
             elif stack and stack[-1][0] == {"}": "{", ")": "("}[m[0]]:
                 self.close[stack.pop()[1]] = m.start()
+            self.inner.append((m.start(), stack[-1][1] if stack else -1))
         self.length = len(plain)
 
+    def holds(self, at: int, openings: set[int]) -> bool:
+        """Whether the innermost bracket around a place is one of ``openings``."""
+        i = bisect_right(self.inner, (at, -2)) - 1
+        return i >= 0 and self.inner[i][1] in openings
+
     def end(self, at: int) -> int:
         return self.close.get(at, max(at, self.length - 1))
 
@@ -363,11 +378,15 @@ def _scan(out: Extraction, text: str) -> None:
     at, braces = Places(text), Braces(plain)
     found: list[tuple[int, int, int, str, str, re.Match]] = []  # start, end, body start, kind, name, match
     taken: set[int] = set()
+    class_bodies: set[int] = set()
+    const_groups = {m.end() - 1 for m in re.finditer(r"(?m)^const\s*\(", plain)} if out.language == "go" else set()
     for kind, pattern in grammar.defs:
         for m in re.finditer(pattern, plain):
             if m.start("name") in taken or m["name"] in NOT_CALLS and m["name"] != "constructor":
                 continue
-            if kind == "method" and out.language in ("typescript", "javascript") and not any(k in ("class", "interface") and a < m.start() < b for a, b, _, k, _, _ in found):
+            if kind == "constant" and m.re.pattern.startswith("(?m)(?:^const") and not braces.holds(m.start("name"), const_groups):
+                continue
+            if kind in ("method", "field") and out.language in ("typescript", "javascript", "c", "cpp") and not braces.holds(m.start("name"), class_bodies):
                 continue
             start = m.start("name")
             if grammar.ruby:
@@ -378,7 +397,9 @@ def _scan(out: Extraction, text: str) -> None:
                 body = opening.start() if opening else len(plain)
                 end = braces.end(body) if opening and opening.group() == "{" else body
             taken.add(m.start("name"))
-            found.append((start, end, body, kind, m["name"], m))
+            if kind in ("class", "interface"):
+                class_bodies.add(body)
+            found.append((start, end, body, "property" if kind == "field" else kind, m["name"], m))
     found.sort(key=lambda f: f[0])
     blocks = [f for f in found if f[3] in BLOCK_KINDS]
     owners: list[tuple[int, int, str]] = []
@@ -390,7 +411,7 @@ def _scan(out: Extraction, text: str) -> None:
         head = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
         owner = m.groupdict().get("owner") or (around[-1][4] if around else None)
         inner = any(s < start and start < e and k in ("function", "method", "arrow") for s, e, _, k, _, _ in found)
-        node_kind = {"arrow": "function", "impl": "class"}.get(kind, kind)
+        node_kind = {"arrow": "function", "impl": "class", "typedef": "class"}.get(kind, kind)
         if kind in ("function", "arrow") and owner and kind == "function" and not inner:
             node_kind = "method"
         if kind == "variable":

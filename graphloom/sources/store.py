@@ -1,12 +1,16 @@
 """A graph's tables on disk: snapshots, and a manifest that names the current one.
 
-A snapshot is written whole into its own folder; only then is the manifest replaced, so readers see the old tables or the
-new ones and never a mixture.  An old snapshot is removed once the next one is current and kept snapshots exceed ``keep``.
+A snapshot is written whole into its own folder; only then a manifest of its own appears beside it under a new name, and the
+one with the largest number counts, so readers see the old tables or the new ones and never a mixture or nothing.  An old snapshot is removed once the next one is current and kept snapshots exceed ``keep``.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,8 +63,29 @@ class Store:
             self._fs.delete(final, False)
         self._fs.rename(part, final)
 
+    def _manifests(self) -> list[int]:
+        """Numbers of the snapshots that have a manifest."""
+        folder = self._path(self.path)
+        names = [x.getPath().getName() for x in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"manifest-([0-9]+)\.json", n)))
+
+    @contextmanager
+    def lock(self, stale_s: float = 3600) -> Iterator[None]:
+        """Held by one writer at a time; another one's raises.  A lock that is older than ``stale_s`` is its owner's no more."""
+        at = self._path(f"{self.path}/.lock")
+        if self._fs.exists(at) and time.time() - self._fs.getFileStatus(at).getModificationTime() / 1000 > stale_s:
+            self._fs.delete(at, False)
+        try:
+            self._fs.create(at, False).close()
+        except Exception as e:
+            raise RuntimeError(f"another index or sync is writing to {self.path}") from e
+        try:
+            yield
+        finally:
+            self._fs.delete(at, False)
+
     def exists(self) -> bool:
-        return self._fs.exists(self._path(f"{self.path}/manifest.json"))
+        return bool(self._manifests())
 
     def config(self) -> Config:
         known = Config().__dict__
@@ -70,7 +95,7 @@ class Store:
         self._write("config.json", asdict(config))
 
     def version(self) -> int:
-        return (self._read("manifest.json") or {"snapshot": 0})["snapshot"]
+        return max(self._manifests(), default=0)
 
     def table(self, name: str) -> DataFrame | None:
         version = self.version()
@@ -84,10 +109,11 @@ class Store:
             if name in PARTITIONED:
                 writer = writer.partitionBy(*PARTITIONED[name])
             writer.parquet(f"{self.path}/snapshot={version}/{name}")
-        self._write("manifest.json", {"schema_version": 2, "snapshot": version, "tables": sorted(tables)})
-        old = version - self.keep
-        if old > 0:
-            self._fs.delete(self._path(f"{self.path}/snapshot={old}"), True)
+        self._write(f"manifest-{version}.json", {"schema_version": 2, "snapshot": version, "tables": sorted(tables)})
+        for old in self._manifests():
+            if old <= version - self.keep:
+                self._fs.delete(self._path(f"{self.path}/manifest-{old}.json"), False)
+                self._fs.delete(self._path(f"{self.path}/snapshot={old}"), True)
         return version
 
     def clear(self) -> None:

@@ -27,6 +27,43 @@ def test_typescript():
     assert [x["name"] for x in out.nodes if x["kind"] == "enum_member"] == ["RED", "GREEN"]
 
 
+def test_calls_inside_methods_are_no_methods():
+    out, n = found("a.ts", "class Job {\n  count: number = 0;\n  static limit = 5;\n  run() {\n    begin();\n    this.stop(1);\n    if (ready) {\n      helper(2);\n    }\n    total = 3;\n  }\n  later(a: string): void;\n  async load(id: string, done: Done): Promise<void> {\n    await get(id);\n  }\n}\ninterface Doer {\n  act(name: string): void;\n  id: string;\n}\n")
+    kinds = [(x["kind"], x["name"]) for x in out.nodes if x["kind"] in ("method", "property")]
+    assert kinds == [("property", "count"), ("property", "limit"), ("method", "run"), ("method", "later"), ("method", "load"), ("method", "act"), ("property", "id")]
+    assert [(r["ref_name"], r["source_id"]) for r in out.refs] == [("begin", n["run"]["id"]), ("stop", n["run"]["id"]), ("helper", n["run"]["id"]), ("get", n["load"]["id"])]
+    assert n["run"]["end_line"] == 11
+
+
+def test_go_constant_groups():
+    out, n = found("m.go", "package m\n\nconst (\n\tLow = 1\n\tHigh\n)\n\nfunc Run() {\n\tstart()\n}\n")
+    assert [x["name"] for x in out.nodes if x["kind"] == "constant"] == ["Low", "High"] and [r["ref_name"] for r in out.refs] == ["start"]
+
+
+def test_c_prototypes_fields_and_typedefs():
+    out, n = found("a.c", "int twice(int a);\ntypedef struct { int x; char *label; } Point;\nstruct Item {\n  int value;\n  struct Item *next;\n};\nint main(void) {\n  int y = 2;\n  return twice(y);\n}\n")
+    assert n["Point"]["kind"] == n["Item"]["kind"] == "class" and n["twice"]["kind"] == "function"
+    assert [x["name"] for x in out.nodes if x["kind"] == "property"] == ["value", "next"] and [r["ref_name"] for r in out.refs] == ["twice"]
+
+
+def test_cpp_methods_outside_their_class():
+    out, n = found("a.cpp", "class Lamp {\n public:\n  int level = 0;\n};\nvoid Lamp::dim() {\n  lower(1);\n}\n")
+    assert n["dim"]["kind"] == "method" and n["dim"]["qualified_name"] == "Lamp.dim" and n["level"]["kind"] == "property"
+    assert [(r["ref_name"], r["source_id"]) for r in out.refs] == [("lower", n["dim"]["id"])]
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def go():\n    pass\n")
+    graph = CodeGraph.init(spark, str(tmp_path))
+    with graph.store.lock(), pytest.raises(RuntimeError):
+        graph.index_all()
+    graph.index_all()
+    before = graph.store.version()
+    (tmp_path / "b.py").write_text("def come():\n    pass\n")
+    graph.sync()
+    assert graph.store.version() == before + 1 and graph.store.exists()
+
+
 def test_anonymous_functions_own_their_calls():
     out, n = found("n.ts", "function outer() {\n  const arr = [1, 2];\n  arr.map(x => helper(x));\n}\nfunction helper(v: number) { return v; }\n")
     assert next(r for r in out.refs if r["ref_name"] == "helper")["source_id"] == n["anonymous_at_line_3"]["id"]
