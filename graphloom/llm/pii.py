@@ -268,7 +268,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: id and ``spans`` (kind, start, end, base, p) by start, kind and end.
 
     Base spans stay, with p = 1.  Of the proposed spans (what fails a base test, and what the further generators find) those
-    that the trees choose are added, unless a base span or a span with a higher probability overlaps.  Null and empty texts
+    that the trees choose are added, the most probable first, unless a base span or one added before overlaps.  Null and empty texts
     have no span; ids may be null or repeat; other columns are not read.
     """
     judge = judge or judge_for(docs.sparkSession)
@@ -280,20 +280,18 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tried = F.concat(F.flatten(F.transform("_base", lambda b: b["failed"])), F.col("_more"))
     scored = F.transform(tried, lambda s: shape(s, F.lit(False), judge.probability(s["f"])))
     added = F.filter(scored, lambda s: judge.chosen(s["kind"], s["p"]))
-    out = rows.select("_id", F.array_sort(F.concat(sure, added)).alias("_all"))
-
-    def apart(spans: Column) -> Column:
-        """Without the added spans that a neighbour with more weight overlaps; base spans always stay."""
-
-        def beaten(x: Column, j: Column, by: int) -> Column:
-            y = F.get(spans, j + by)
-            meets = (y["start"] < x["end"]) & (x["start"] < y["end"])
-            return F.coalesce(meets & (y["base"] | (y["p"] > x["p"]) | ((y["p"] == x["p"]) & F.lit(by < 0))), F.lit(False))
+    out = rows.select("_id", F.array_sort(sure).alias("_sure"), added.alias("_added"))
+    settled = F.when(F.size("_added") > 0, F.array_sort(F.concat("_sure", apart(F.col("_sure"), F.col("_added"))))).otherwise(F.col("_sure"))
+    return out.select(F.col("_id").alias(id_col), F.transform(settled, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["p"].alias("p"))).alias("spans"))
 
-        return F.filter(spans, lambda x, j: x["base"] | ~(beaten(x, j, -1) | beaten(x, j, 1)))
 
-    settled = let(F.col("_all"), lambda a: let(apart(a), lambda b: let(apart(b), apart)))
-    return out.select(F.col("_id").alias(id_col), F.transform(settled, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["p"].alias("p"))).alias("spans"))
+def apart(sure: Column, added: Column) -> Column:
+    """Of the added spans, from the most probable to the least, those that meet no span of ``sure`` and none taken before;
+    of equally probable ones the first comes first."""
+    meets = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"])
+    free = F.filter(added, lambda x: ~F.exists(sure, lambda y: meets(x, y)))
+    ranked = F.transform(F.array_sort(F.transform(free, lambda x: F.struct((-x["p"]).alias("less"), x.alias("span")))), lambda x: x["span"])
+    return F.aggregate(ranked, F.slice(added, 1, 0), lambda taken, x: F.when(F.exists(taken, lambda y: meets(x, y)), taken).otherwise(F.concat(taken, F.array(x))))
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -87,6 +88,22 @@ def test_thresholds_hold_their_precision(spark, judge):
         assert n(kind=kind, chosen=True, label=1.0) >= 0.95 * n(kind=kind, chosen=True) > 0
 
 
+def test_overlaps_are_settled_as_by_brute_force(spark):
+    rng = random.Random(4)
+    kind = "array<struct<start:int,rank:int,end:int,kind:string,base:boolean,p:double>>"
+    rows = []
+    for i in range(300):
+        span = lambda base: (a := rng.randrange(60), 0, a + rng.randint(1, 25), "card", base, 1.0 if base else rng.choice([0.6, 0.7, 0.8]))
+        rows.append((i, sorted(span(True) for _ in range(rng.randrange(3))), [span(False) for _ in range(rng.randrange(9))]))
+    got = {r["i"]: [tuple(s) for s in r["out"]] for r in spark.createDataFrame(rows, f"i int, sure {kind}, added {kind}").select("i", pii.apart(F.col("sure"), F.col("added")).alias("out")).collect()}
+    for i, sure, added in rows:
+        taken = []
+        for x in sorted(added, key=lambda x: (-x[5], x)):
+            if not any(y[0] < x[2] and x[0] < y[2] for y in sure + taken):
+                taken.append(x)
+        assert got[i] == taken
+
+
 def test_redaction(spark, judge):
     df = spark.createDataFrame([(1, "a \U0001f600 me@x.org b +1 (988) 555-2485."), (2, None), (3, "none")], "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in pii.redact(df, pii.find_personal_data(df, judge=judge)).collect()}
