@@ -16,36 +16,75 @@ from graphloom.llm.queries import bpe_digests
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _numbered(docs: DataFrame, nulls: str) -> DataFrame:
+    """``docs`` with ``_row``, a number of its own for each row, in the order of ids.
+
+    Where ids are unique and none is null they are the numbers.  Otherwise the rows are sorted by id, null ids coming
+    ``first`` or ``last``, and then by their other columns, numbered, and written, so that all readers see the same numbers.
+    """
+    docs = docs.select(COLUMNS)
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    by_id = F.col("doc_id").asc_nulls_first() if nulls == "first" else F.col("doc_id").asc_nulls_last()
+    # The place breaks ties of rows that are equal in all columns, so that a range of the sort never has to hold them all.
+    placed = docs.withColumn("_place", F.monotonically_increasing_id()).withColumn("_sha", F.sha2("text", 256))
+    order = placed.orderBy(by_id, "_sha", "lang", "source", "n_chars", "_place").select(COLUMNS)
+    return written(order.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def _those(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is chosen; a null id may be chosen too."""
-    ids = chosen.select(F.col("doc_id").alias("_chosen")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_chosen")), "left_semi").select(COLUMNS)
+    """The rows of ``docs`` whose number is chosen."""
+    return docs.join(chosen.select("_row"), "_row", "left_semi").select(COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the base rules or the outlier verdict reject."""
+    """Without the documents that the base rules or the outlier verdict reject.
+
+    Null and empty texts have too few words and go.  Null and repeated ids, repeated rows and ties change nothing: every row
+    is judged by its own text.  A very long text is judged whole.  An empty table stays empty.  Extra columns are left out.
+    """
     judged = outliers.quality_rules(docs, carry=("text", "lang", "source", "n_chars"))
     return judged.where("kept").select(COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    return _those(docs, exact.exact_dedup(docs, keep="largest").where("kept"))
+    """Of equal texts, the document with the largest id: one row, even if rows repeat.
+
+    Null texts equal empty ones.  A null id is smaller than any other.  Of one text's rows with one id, the one that is last
+    by language, source and length stays.  Rows that share an id and not the text are documents of their own.  An empty
+    table stays empty.  Extra columns are left out.
+    """
+    docs = _numbered(docs, "first")
+    return _those(docs, exact.exact_dedup(docs, id_col="_row", keep="largest").where("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest id."""
-    return _those(docs, probminhash.near_duplicates(docs).where("kept"))
+    """Of each class of near duplicates, the document with the smallest id: one row, even if rows repeat.
+
+    Texts without words, null ones among them, are copies of each other.  A null id is larger than any other.  Of one class's
+    rows with the smallest id, the first by a hash of the text, language, source and length stays.  An empty table stays
+    empty.  Extra columns are left out.
+    """
+    docs = _numbered(docs, "last")
+    return _those(docs, probminhash.near_duplicates(docs, id_col="_row").where("kept"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_taken"), F.explode(F.sequence(F.lit(1), "copies")).alias("_copy"))
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_taken"))).select(COLUMNS)
+    """Each row as many times as the mix takes it, twice at most.
+
+    Null and empty texts have no words and are not taken.  Rows that repeat an id or everything are taken each for itself.
+    Null sources are a source.  An empty table stays empty.  Extra columns are left out.
+    """
+    docs = _numbered(docs, "last")
+    copies = mixing.mix(docs, id_col="_row").where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy"))
+    return docs.join(copies, "_row").select(COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of each row, and what they decode to, as digests."""
+    """Byte-level BPE ids of each row, and what they decode to, as digests: a row for each row, whatever its id.
+
+    Null and empty texts have no id.  An empty table gives no row.  Extra columns are not read.
+    """
     return bpe_digests(docs)
 
 
