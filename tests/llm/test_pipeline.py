@@ -1,7 +1,10 @@
 import hashlib
+import re
+from collections import Counter
 
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm.bytebpe import read_ranks
@@ -43,5 +46,45 @@ def test_awkward_rows(spark, awkward, nothing):
             assert stage(spark, df, "").count() >= 0
 
 
+def plain(rows):
+    return sorted(map(tuple, rows), key=repr)
+
+
+def test_stages_on_repeated_and_null_ids_against_brute_force(spark, awkward, nothing):
+    """Every stage on rows that share ids, texts, both or everything, held against plain loops."""
+    text = lambda seed, n=60: " ".join(f"{seed}w{i}" for i in range(n))
+    t, u, v, w = (text(x) for x in "tuvw")
+    near = t + " one more"
+    rows = [(1, t, "en", "a", 1), (1, u, "en", "a", 1), (9, t, "en", "a", 1), (9, t, "en", "a", 1), (9, t, "de", None, 2), (None, v, "en", "b", 3), (None, v, "en", "b", 3), (None, w, None, None, None)]
+    rows += [(4, near, "en", "b", 5), (4, near, "en", "b", 5), (1, near, "en", "c", 5), (3, "", None, None, 0), (2, None, "en", "a", None), (5, text("x", 30_000), "en", "b", 9), (6, text("x", 30_000), "en", "b", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("_row", F.lit("q")).withColumn("_sha", F.lit(1)).repartition(3)
+    least = lambda x: -1 if x is None else x
+    for docs in (df, awkward, nothing):
+        docs = written(docs, "docs")
+        held = [tuple(r) for r in docs.select(corpus_pipeline.COLUMNS).collect()]
+        got = plain(corpus_pipeline.quality_stage(spark, docs, "").collect())
+        assert got == plain(r for r in held if (c := counts(r[1] or ""))[0] >= 50 and 2 * c[4] <= c[0])
+        best = {}
+        for r in held:
+            best.setdefault(r[1] or "", []).append(r)
+        got = corpus_pipeline.exact_stage(spark, docs, "").collect()
+        assert {(r["doc_id"], r["text"] or "") for r in got} == {(max((r[0] for r in of), key=least), x) for x, of in best.items()} and len(got) == len(best)
+        assert {tuple(r) for r in got} <= set(held)
+        words = {i: " ".join((r[1] or "").split()) for i, r in enumerate(held)}
+        label = classes(words)
+        most = {}
+        for i, c in label.items():
+            most.setdefault(c, []).append(held[i])
+        got = corpus_pipeline.near_stage(spark, docs, "").collect()
+        smallest = lambda of: min((r[0] for r in of), key=lambda x: 1 << 60 if x is None else x)
+        assert sorted((r["doc_id"] for r in got), key=repr) == sorted((smallest(of) for of in most.values()), key=repr) and {tuple(r) for r in got} <= set(held)
+        taken = Counter(map(tuple, corpus_pipeline.mixing_stage(spark, docs, "").collect()))
+        times = Counter(held)
+        assert all(n <= 2 * times[r] for r, n in taken.items())
+        size = lambda rows: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows)
+        assert abs(size(taken.elements()) - 1.5 * size(held)) <= 0.05 * size(held) + 70
+        assert corpus_pipeline.encoding_stage(spark, docs, "").count() == len(held)
+
+
 def test_run(spark, tiny):
     assert corpus_pipeline.run(spark, tiny).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
