@@ -4,7 +4,8 @@ The score is logistic in piecewise linear functions of a text's statistics.  Wit
 counted as negatives folds into a linear term, so the unbiased risk is convex: prior * E_p[-g] + E_u[softplus(g)].  Newton
 steps minimise it over all rows; each step sums gradients and second derivatives inside the partitions and then over a
 fixed number of slots, so the driver gets a fixed amount.  The part that stands for the negatives' risk can't be negative;
-where it is, the next step raises that part alone, as the non-negative estimator does.
+where it is, the next step raises that part alone, as the non-negative estimator does.  The class prior is estimated from
+the same two kinds of rows, and no label but the positive one is ever used.
 """
 
 from __future__ import annotations
@@ -96,16 +97,16 @@ def _collect(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """A fitted score; ``slope`` and ``shift`` turn its logit into a calibrated one."""
+    """A fitted score: the probability of a positive, by the prior that it was fitted with."""
 
     def __init__(self, weights: np.ndarray, prior: float, risk: float):
         self.weights, self.prior, self.risk = weights, prior, risk
-        self.slope, self.shift = 1.0, 0.0
 
     def score(self, stats: DataFrame, id_col: str) -> DataFrame:
-        return self.logit(stats).select(F.col("id").alias(id_col), (1 / (1 + F.exp(-(F.lit(self.slope) * F.col("logit") + self.shift)))).alias("score"))
+        return self.logit(stats.select("id", *KNOTS)).select(F.col("id").alias(id_col), (1 / (1 + F.exp(-F.col("logit")))).alias("score"))
 
     def logit(self, stats: DataFrame) -> DataFrame:
+        """The first column of ``stats`` as id, which the other ones give a logit."""
         weights = self.weights
 
         def run(batches):
@@ -113,26 +114,26 @@ class Scorer:
                 g = basis([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]) @ weights
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(g)], ["id", "logit"])
 
-        return stats.select("id", *KNOTS).mapInArrow(run, "id long, logit double")
-
-    def calibrate(self, labelled: DataFrame, steps: int = 10) -> None:
-        """Platt's two numbers, with his smoothed targets, from rows of (logit, good); Newton steps on sums in SQL."""
-        n0, n1 = (labelled.agg(F.sum((~F.col("good")).cast("long")), F.sum(F.col("good").cast("long"))).first())
-        if not n0 or not n1:
-            return
-        rows = labelled.select("logit", F.when(F.col("good"), (n1 + 1) / (n1 + 2)).otherwise(1 / (n0 + 2)).alias("t"))
-        ab = np.array([1.0, 0.0])
-        for _ in range(steps):
-            x = F.col("logit")
-            s = 1 / (1 + F.exp(-(F.lit(float(ab[0])) * x + float(ab[1]))))
-            v = s * (1 - s)
-            gx, g1, hxx, hx1, h11 = rows.agg(*[F.avg(c) for c in ((s - F.col("t")) * x, s - F.col("t"), v * x * x, v * x, v)]).first()
-            step = np.linalg.solve(np.array([[hxx, hx1], [hx1, h11]]) + 1e-6 * np.eye(2), [gx, g1])
-            ab = ab - step * min(1.0, 2 / max(np.abs(step).max(), 1e-9))
-            if np.abs(step).max() < 1e-4:
-                break
-        if ab[0] > 0:
-            self.slope, self.shift = float(ab[0]), float(ab[1])
+        return stats.mapInArrow(run, f"id {stats.schema[0].dataType.simpleString()}, logit double")
+
+
+def class_prior(logits: DataFrame, width: float = 0.125, most: float = 40.0, gamma: float = 0.01, delta: float = 0.1) -> float:
+    """Share of positives in unlabelled text, from rows of (positive, logit): the best bin estimate.
+
+    Above any bound there are at least prior * (share of the positives above) of all rows, and equal where no negative is.
+    So the least ratio of the two shares estimates the prior; the bound is chosen with an allowance for chance, which keeps
+    it from bounds that few rows exceed.  Logits are counted in bins of ``width`` up to ``most``, so the driver gets a fixed
+    number of counts.
+    """
+    place = F.floor(F.greatest(F.least("logit", F.lit(most)), F.lit(-most)) / width).alias("bin")
+    counts = logits.groupBy(place).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("positive").cast("long")).alias("m")).orderBy(F.desc("bin")).collect()
+    n, m = (np.cumsum([r[c] for r in counts]) for c in ("n", "m"))
+    if not len(n) or not m[-1]:
+        return 0.5
+    above, good = n / n[-1], np.maximum(m / m[-1], 1e-12)
+    chance = sum(np.sqrt(np.log(4 / delta) / (2 * k[-1])) for k in (n, m))
+    at = np.argmin((above + (1 + gamma) * chance) / good)
+    return float(min(max(above[at] / good[at], 0.02), 0.98))
 
 
 def fit(rows: DataFrame, prior: float, steps: int = 16, strength: float = 10.0, least: float = 3e-4) -> Scorer:
@@ -184,25 +185,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """One row per row of ``docs``: id, held_out, score, predicted.
 
     Rows whose id has fold 0 are held out: their labels are never seen.  Of the others, label 1 makes a trusted positive;
-    label 0 is used for three numbers alone: the class prior, which is the share of 1 among them, and the slope and shift
-    that calibrate the fitted score.  All documents are the
-    unlabelled text.  Without any positive the score is the prior (0.5 if that is unknown too).  Null and empty texts have
+    label 0 is not used at all.  All documents are the unlabelled text.  A first fit, with a prior of one half, orders the
+    rows; the prior is estimated along that order, and the fit with it gives the scores.
+    Without any positive the score is 0.5.  Null and empty texts have
     statistics of 0 and a score like others; a null id is not held out and has no label; repeated ids repeat their score;
     where a document has several labels the largest counts.  Other columns are not read.
     """
     stats = written(statistics(docs, id_col, text_col), "statistics")
-    known = labels.select(F.col(id_col).cast("long").alias("_lid"), F.col(label_col).cast("int").alias("_label")).where(F.col("_lid").isNotNull() & F.col("_label").isNotNull() & (fold(F.col("_lid")) != 0))
-    known = known.groupBy("_lid").agg(F.max("_label").alias("_label"))
-    n, good = known.agg(F.count(F.lit(1)), F.sum("_label")).first()
+    known = labels.select(F.col(id_col).cast("long").alias("_lid"), F.col(label_col).cast("int").alias("_label")).where((F.col("_label") == 1) & (fold(F.col("_lid")) != 0))
+    known = known.select("_lid").distinct()
     held = F.coalesce(fold(F.col(id_col)) == 0, F.lit(False))
-    prior = min(max((good or 0) / n, 0.02), 0.98) if n else 0.5
-    if not good:
-        scored = stats.select(F.col("id").alias(id_col), F.lit(prior).alias("score"))
+    rows = written(stats.join(known, F.col("id") == F.col("_lid"), "left").select(F.col("_lid").isNotNull().alias("positive"), *KNOTS), "rows")
+    if rows.where("positive").isEmpty():
+        scored = stats.select(F.col("id").alias(id_col), F.lit(0.5).alias("score"))
     else:
-        rows = written(stats.join(known, F.col("id") == F.col("_lid"), "left").select("id", *KNOTS, F.coalesce(F.col("_label") == 1, F.lit(False)).alias("positive"), "_label"), "rows")
-        scorer = fit(rows, prior)
-        labelled = rows.where(F.col("_label").isNotNull())
-        logits = scorer.logit(labelled).withColumnRenamed("id", "_gid").join(known, F.col("_gid") == F.col("_lid"))
-        scorer.calibrate(written(logits.select("logit", (F.col("_label") == 1).alias("good")), "logits"))
-        scored = scorer.score(stats, id_col)
+        order = fit(rows, 0.5)
+        scored = fit(rows, class_prior(order.logit(rows).withColumnRenamed("id", "positive"))).score(stats, id_col)
     return scored.select(id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
