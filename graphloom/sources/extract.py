@@ -87,8 +87,37 @@ def extract(path: str, text: str | None, language: str | None) -> Extraction:
 # --- Python ---------------------------------------------------------------------------------------------------------
 
 
+def _readable_python(text: str) -> tuple[ast.Module, str | None]:
+    """The tree of what can be read, and the first error.
+
+    A line that can't be read counts as ``pass``; if that does not mend its top-level block, the block is blanked.
+    """
+    lines, tried, error = text.split("\n"), set(), None
+    while True:
+        try:
+            return ast.parse("\n".join(lines)), error
+        except SyntaxError as e:
+            error = error or f"SyntaxError: {e}"
+            at = min(max((e.lineno or 1) - 1, 0), len(lines) - 1)
+        while at > 0 and not lines[at].strip():
+            at -= 1
+        first = at
+        while first > 0 and (not lines[first].strip() or lines[first][0] in " \t)]}"):
+            first -= 1
+        if first not in tried and at != first:
+            tried.add(first)
+            lines[at] = re.match(r"\s*", lines[at]).group() + "pass"
+            continue
+        last = first + 1
+        while last < len(lines) and (not lines[last].strip() or lines[last][0] in " \t)]}"):
+            last += 1
+        if not any(lines[first:last]):
+            first, last = 0, len(lines)
+        lines[first:last] = [""] * (last - first)
+
+
 def _python(out: Extraction, text: str) -> None:
-    tree = ast.parse(text)
+    tree, out.error = _readable_python(text)
     lines = text.split("\n")
 
     def above(line: int) -> str | None:
@@ -234,6 +263,7 @@ GRAMMARS = {
             ("constant", rf"{_MODS}\b(?:const|static)\s+(?P<name>[A-Z][A-Z0-9_]*)\s*:"),
         ),
         quotes='"',
+        arrow="|",
         exported="pub",
     ),
     "java": Grammar(
@@ -267,13 +297,17 @@ GRAMMARS = {
         arrow="=>",
         exported="public",
     ),
-    "php": Grammar((("class", rf"{_MODS}\bclass\s+(?P<name>{_ID})(?P<bases>[^{{;]*)\{{"), ("interface", rf"\binterface\s+(?P<name>{_ID})(?P<bases>[^{{;]*)\{{"), ("function", rf"{_MODS}\bfunction\s+&?(?P<name>{_ID})\s*(?P<params>\()")), quotes="\"'", exported="public"),
+    "php": Grammar((("class", rf"{_MODS}\bclass\s+(?P<name>{_ID})(?P<bases>[^{{;]*)\{{"), ("interface", rf"\binterface\s+(?P<name>{_ID})(?P<bases>[^{{;]*)\{{"), ("function", rf"{_MODS}\bfunction\s+&?(?P<name>{_ID})\s*(?P<params>\()")), line=r"//|#(?!\[)", quotes="\"'", exported="public"),
     "swift": Grammar((("class", rf"{_MODS}\b(?:class|struct|extension|actor)\s+(?P<name>{_ID})[^{{;()]*\{{"), ("interface", rf"{_MODS}\bprotocol\s+(?P<name>{_ID})[^{{;]*\{{"), ("function", rf"{_MODS}\bfunc\s+(?P<name>{_ID})\s*{_GEN}\s*(?P<params>\()")), quotes='"', exported="public"),
     "kotlin": Grammar((("class", rf"{_MODS}\b(?:class|object)\s+(?P<name>{_ID})[^{{\n]*"), ("interface", rf"{_MODS}\binterface\s+(?P<name>{_ID})[^{{\n]*"), ("function", rf"{_MODS}\bfun\s+{_GEN}\s*(?:{_ID}\.)?(?P<name>{_ID})\s*(?P<params>\()")), quotes='"', exported="!private"),
     "ruby": Grammar((("class", r"(?m)^[ \t]*(?:class|module)\s+(?P<name>[A-Z]\w*)"), ("function", r"(?m)^[ \t]*def\s+(?:self\.)?(?P<name>[a-z_]\w*[?!=]?)(?P<params>\()?")), line="#", quotes="\"'", exported="*", ruby=True),
 }
 NOT_CALLS = frozenset("if for while switch catch return function sizeof new throw else do await typeof super constructor match fn func def elif and or not with in is import require_relative class struct enum interface foreach using lock when where guard defer async unless until case print_r isset empty array list const var type import package".split())
 CALL = re.compile(rf"(?<![\w$])(?P<name>{_ID})\s*{_GEN}\s*\(")
+RUBY_WORDS = frozenset("alias and begin break case class def defined? do else elsif end ensure false for if in module next nil not or redo require rescue retry return self super then true undef unless until when while yield".split())
+#: A call without brackets: a name and, on the same line, the start of an argument; and a message to an object.
+RUBY_COMMAND = re.compile(rf"(?<![\w.:@$])([a-z_]\w*[?!]?)(?=[ \t]+(?!(?:{'|'.join(sorted(RUBY_WORDS - {'nil', 'true', 'false', 'self', 'not', 'defined?'}))})\b)(?::[\w'\"]|[\w'\"@]))")
+RUBY_MESSAGE = re.compile(r"(?<=\.)(?<!\.\.)([A-Za-z_]\w*(?:[?!]|(?!\w|[ \t]*\()))")
 BLOCK_KINDS = ("class", "interface", "enum", "impl")
 
 
@@ -312,8 +346,9 @@ class Braces:
 
 
 def blank(text: str, line: str, block: tuple[str, str] | None, quotes: str) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with comments and the insides of strings as spaces, and the comments as (start, end, text)."""
-    parts = [re.escape(line) + r"[^\n]*"]
+    """The text with comments and the insides of strings as spaces, and the comments as (start, end, text); ``line`` is the
+    pattern that opens a line comment."""
+    parts = [rf"(?:{line})[^\n]*"]
     if block:
         parts.append(re.escape(block[0]) + r"(?s:.*?)" + re.escape(block[1]))
     strings = [rf"{q}(?:\\(?s:.)|[^{q}\\" + ("" if q == "`" else r"\n") + rf"])*{q}" for q in quotes]
@@ -335,7 +370,7 @@ def doc_above(comments: list[tuple[int, int, str]], text: str, start: int) -> st
     """The comments that end right above a definition, cleaned; a blank line stops."""
     at = text.rfind("\n", 0, start) + 1
     found: list[str] = []
-    for a, b, body in reversed([c for c in comments if c[1] <= at]):
+    for a, b, body in map(comments.__getitem__, range(bisect_right(comments, at, key=lambda c: c[1]) - 1, -1, -1)):
         if text[b:at].strip() or text[b:at].count("\n") > 1 or text[text.rfind("\n", 0, a) + 1 : a].strip():
             break
         if body.startswith("/*"):
@@ -460,7 +495,7 @@ def _scan(out: Extraction, text: str) -> None:
             for e in re.finditer(r"(?m)^\s*\*?([A-Z]\w*)\s*$", plain[body + 1 : end]):
                 out.inherit(i, e[1], "implements", line)
     if grammar.arrow:
-        anonymous = {"=>": rf"(?:\([^()]*\)|{_ID})\s*(?::[^=\n(){{}}]+)?=>", "->": rf"(?:\([^()]*\)|{_ID})\s*->", "func(": r"(?<=[^\n])\bfunc\s*\(", "[](": r"\[[^\]\n]*\]\s*\("}[grammar.arrow]
+        anonymous = {"=>": rf"(?:\([^()]*\)|{_ID})\s*(?::[^=\n(){{}}]+)?=>", "->": rf"(?:\([^()]*\)|{_ID})\s*->", "func(": r"(?<=[^\n])\bfunc\s*\(", "[](": r"\[[^\]\n]*\]\s*\(", "|": r"(?<=[(,={;>])\s*(?:move\s+)?\|[^|;{}]*\|"}[grammar.arrow]
         for m in re.finditer(anonymous, plain):
             tail = plain[m.end() :]
             skipped = len(tail) - len(tail.lstrip())
@@ -469,6 +504,8 @@ def _scan(out: Extraction, text: str) -> None:
                 opening = plain.find("{", m.end())
                 if opening < 0:
                     continue
+            if grammar.arrow == "|" and plain.startswith("->", opening):
+                opening = max(opening, plain.find("{", opening))
             if plain[opening : opening + 1] == "{":
                 end = braces.end(opening)
             else:
@@ -476,8 +513,9 @@ def _scan(out: Extraction, text: str) -> None:
                 while end < len(plain) and not (depth == 0 and plain[end] in ",;)\n}"):
                     depth += {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}.get(plain[end], 0)
                     end += 1
-            line = at.line(m.start())
-            owners.append((m.start(), end, out.add("function", f"anonymous_at_line_{line}", line, at.line(end), start_column=at.column(m.start()))))
+            start = m.end() - len(m.group().lstrip())
+            line = at.line(start)
+            owners.append((start, end, out.add("function", f"anonymous_at_line_{line}", line, at.line(end), start_column=at.column(start))))
     defined = {f[0] for f in found}
     for m in CALL.finditer(plain):
         if m["name"] in NOT_CALLS or m.start("name") in defined or re.search(r"\b(?:func|function|def|fun|fn)\s+$", plain[max(0, m.start() - 12) : m.start()]):
@@ -491,10 +529,14 @@ def _scan(out: Extraction, text: str) -> None:
             continue
         out.ref(source, m["name"], "function", at.line(m.start()), at.column(m.start()))
     if grammar.ruby:
-        for m in re.finditer(r"(?<![\w.:@])([a-z_]\w*[?!]?)(?=\s+[\w:'\"@]|\s*$)", plain, re.M):
-            if any(n["name"] == m[1] for n in out.nodes) and not re.search(r"\bdef\s+(?:self\.)?$", plain[max(0, m.start() - 12) : m.start()]):
-                inside = [o for o in owners if o[0] < m.start() <= o[1]]
-                out.ref(min(inside, key=lambda o: o[1] - o[0])[2] if inside else out.file_id, m[1], "function", at.line(m.start()), at.column(m.start()))
+        own = {n["name"] for n in out.nodes}
+        calls = {m.start(1): m[1] for m in RUBY_COMMAND.finditer(plain) if m[1] not in RUBY_WORDS and m[1] not in NOT_CALLS}
+        calls |= {m.start(1): m[1] for m in RUBY_MESSAGE.finditer(plain) if m[1] not in NOT_CALLS}
+        calls |= {m.start(1): m[1] for m in re.finditer(r"(?m)(?<![\w.:@])([a-z_]\w*[?!]?)[ \t]*$", plain) if m[1] in own}
+        for start, name in sorted(calls.items()):
+            if start not in defined and not re.search(r"\bdef\s+(?:\w+\.)?$", plain[max(0, start - 80) : start]):
+                inside = [o for o in owners if o[0] < start <= o[1]]
+                out.ref(min(inside, key=lambda o: o[1] - o[0])[2] if inside else out.file_id, name, "function", at.line(start), at.column(start))
     for a, b, body in comments:
         _comment(out, body, at.line(a), at.line(b))
     _imports(out, text, plain, at)
