@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,19 +57,25 @@ def query_terms(query: str) -> list[str]:
 
 
 def matches_terms(columns: list[Column], query: str) -> Column:
-    """Every term occurs in some column, the last as a prefix; a query without a term matches nothing."""
+    """Every term occurs in some column, the last as a prefix; a query without a term matches nothing.
+
+    A row's columns are lowered once for all terms and searched in place: a token stands where no letter or digit touches it,
+    and its letters with any accent that the tokenizer folds.
+    """
     terms = query_terms(query)
     if not terms:
         return F.lit(False)
-    texts = [searchable(c) for c in columns]
-    hit = F.lit(True)
-    for i, term in enumerate(terms):
-        needle = f" {term}" + " " * (i < len(terms) - 1)
-        some = F.lit(False)
-        for text in texts:
-            some = some | F.contains(text, F.lit(needle))
-        hit = hit & some
-    return hit
+    patterns = [_token_pattern(term, prefix=i == len(terms) - 1) for i, term in enumerate(terms)]
+    texts = F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in columns])
+    some = lambda t, pattern: F.exists(t, lambda x: x.rlike(pattern))
+    return let(texts, lambda t: reduce(Column.__and__, [some(t, p) for p in patterns]))
+
+
+def _token_pattern(term: str, prefix: bool) -> str:
+    """Where the tokens of a term stand next to each other in a lower-case text."""
+    spellings = {c: f"[{c}{''.join(a for a, p in zip(ACCENTED, PLAIN) if p == c)}]" for c in PLAIN}
+    inner = r"[^\p{L}\p{N}]+".join("".join(spellings.get(c) or re.escape(c) for c in token) for token in term.split())
+    return r"(?<![\p{L}\p{N}])" + inner + ("" if prefix else r"(?![\p{L}\p{N}])")
 
 
 # Identifier shapes, in the order in which they are looked for; the last is any word.  They stand between

@@ -145,3 +145,12 @@ def test_sync_status(spark):
     snap = lambda rows: spark.createDataFrame(rows, "path string, content_hash string")
     out = sync.file_status(snap([("a", "1"), ("b", "1"), ("c", "1")]), snap([("b", "1"), ("c", "2"), ("d", "1")]))
     assert {r["path"]: r["status"] for r in out.collect()} == {"a": "removed", "b": "unchanged", "c": "modified", "d": "added"}
+
+
+def test_full_text_folds_accents_and_keeps_tokens_whole(spark):
+    from graphloom.functions.text import matches_terms
+
+    df = spark.createDataFrame([(1, "Un CAFÉ, noir"), (2, "cafés"), (3, "a-cafe_noirs"), (4, "cafe9 noir"), (5, None), (6, "noir cafe"), (7, "")], "id int, text string")
+    found = lambda query: [r[0] for r in df.where(matches_terms([F.col("text"), F.lit("x")], query)).orderBy("id").collect()]
+    assert found("café noir") == [1, 3, 6] and found("cafe_noir") == [1, 3] and found("caf") == [1, 2, 3, 4, 6] and found("x") == [1, 2, 3, 4, 5, 6, 7]
+    assert found("noir cafe") == [1, 4, 6] and found("AND (") == []
