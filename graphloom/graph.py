@@ -209,6 +209,10 @@ class CodeGraph:
         path = traversal.shortest_path(self.edges, start, end, max_depth).select("pos", "id", F.col("kind").alias("via"))
         return self.nodes.join(path, "id").orderBy("pos")
 
+    def path_edges(self, path: DataFrame) -> DataFrame:
+        """Every edge that touches a node of a path, be it on the path or not."""
+        return traversal.path_neighbourhood(self.edges, path)
+
     def build_context(self, task: str, max_nodes: int = 20, include_code: bool = True) -> context.TaskContext:
         vectors = self.store.table("embeddings") if self.config.embed_symbols else None
         vector = embed.embed_one(task, self.model) if vectors is not None else None

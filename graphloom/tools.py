@@ -88,6 +88,43 @@ TOOLS: dict[str, Callable[[CodeGraph, dict], str]] = {
 }
 
 
+_ROOT = {"projectPath": {"type": "string", "description": "root of another indexed tree"}}
+_FIELDS = {
+    "query": {"type": "string", "description": "what to look for"},
+    "task": {"type": "string", "description": "what is to be done, in words"},
+    "symbol": {"type": "string", "description": "name of a definition"},
+    "from": {"type": "string", "description": "name of the definition where the path starts"},
+    "to": {"type": "string", "description": "name of the definition where the path ends"},
+    "kind": {"type": "string", "description": "only this kind of node"},
+    "limit": {"type": "number", "description": "most rows, 1 to 100"},
+    "depth": {"type": "number", "description": "most edges away", "default": 2},
+    "maxNodes": {"type": "number", "description": "most nodes", "default": 20},
+    "includeCode": {"type": "boolean", "description": "with source code"},
+    "budget": {"type": "string", "description": "how much to tell", "enum": list(BUDGETS), "default": "medium"},
+}
+#: What each tool needs, and what it may be given; every tool takes projectPath.
+PARAMETERS: dict[str, tuple[str, str]] = {
+    "search": ("query", "kind limit"),
+    "signature_search": ("query", "limit"),
+    "context": ("task", "maxNodes includeCode"),
+    "callers": ("symbol", "kind limit"),
+    "callees": ("symbol", "kind limit"),
+    "impact": ("symbol", "kind depth"),
+    "node": ("symbol", "kind includeCode"),
+    "status": ("", ""),
+    "dead_code": ("", "limit"),
+    "cycles": ("", ""),
+    "path": ("from to", "kind"),
+    "explore": ("query", "budget"),
+}
+
+
+def input_schema(tool: str) -> dict:
+    """The parameters of a tool as a JSON schema."""
+    needed, optional = (x.split() for x in PARAMETERS[tool])
+    return {"type": "object", "properties": {k: _FIELDS[k] for k in (*needed, *optional)} | _ROOT, "required": needed}
+
+
 def call(graph: CodeGraph, tool: str, args: dict, fresh: bool = False) -> str:
     """The answer of a tool; failures are answers too.  With ``fresh`` the graph is brought up to the tree first."""
     if tool not in TOOLS:
@@ -114,7 +151,7 @@ def serve(graphs: OpenGraphs, root: str, lines: IO[str] = sys.stdin, out: IO[str
         if method == "initialize":
             reply = {"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"name": "graphloom", "version": "0.1"}}
         elif method == "tools/list":
-            reply = {"tools": [{"name": n, "inputSchema": {"type": "object"}} for n in TOOLS]}
+            reply = {"tools": [{"name": n, "inputSchema": input_schema(n)} for n in TOOLS]}
         elif method == "tools/call":
             args = params.get("arguments") or {}
             text = call(graphs.get(args.get("projectPath") or root), params.get("name", ""), args, fresh=True)

@@ -52,6 +52,32 @@ def test_cpp_methods_outside_their_class():
     assert [(r["ref_name"], r["source_id"]) for r in out.refs] == [("lower", n["dim"]["id"])]
 
 
+def test_python_with_errors():
+    out = extract("a.py", "def good():\n    return one()\n\ndef bad(:\n    return 1\n\nclass Kept:\n    def first(self):\n        x = = 2\n        two()\n    def second(self):\n        pass\n\ndef last():\n    three()\n", "python")
+    assert [n["name"] for n in out.nodes if n["kind"] in ("function", "class", "method")] == ["good", "Kept", "first", "second", "last"]
+    assert [r["ref_name"] for r in out.refs] == ["one", "two", "three"] and out.error.startswith("SyntaxError")
+    for text in ("(", '"""', "  x", "x = (\n1\n", "\t(\n )\n", "if x:\n"):
+        assert [n["kind"] for n in extract("a.py", text, "python").nodes][:1] == ["file"] and extract("a.py", text, "python").error.startswith("SyntaxError")
+
+
+def test_ruby_calls_without_brackets():
+    out, n = found("a.rb", "class Shop\n  attr_reader :stock\n  def run(list)\n    order = Order.new(1)\n    puts order.total\n    list.each do |x|\n      log x if x.ready?\n    end\n    save! list unless 1..list.size\n    return stock\n  end\nend\n")
+    assert [(r["ref_name"], r["source_id"]) for r in out.refs if r["source_id"] == n["run"]["id"]] == [(c, n["run"]["id"]) for c in ("puts", "total", "each", "log", "ready?", "save!", "size")]
+    assert "attr_reader" in [r["ref_name"] for r in out.refs]
+
+
+def test_php_hash_comments():
+    out, n = found("a.php", "<?php\n# Adds it's numbers.\nfunction add($a) {\n  return plus($a); # call no(1)\n}\n#[Pure]\nfunction other() { last(); }\n")
+    assert n["add"]["docstring"] == "Adds it's numbers." and [r["ref_name"] for r in out.refs] == ["plus", "last"]
+
+
+def test_rust_closures():
+    out, n = found("a.rs", "fn run(v: Vec<u8>) {\n    v.iter().map(|x| twice(x));\n    let go = move || -> u8 {\n        once()\n    };\n    if a || b { other(); }\n}\n")
+    owner = {r["ref_name"]: r["source_id"] for r in out.refs}
+    assert owner["twice"] == n["anonymous_at_line_2"]["id"] and owner["once"] == n["anonymous_at_line_3"]["id"] and owner["other"] == n["run"]["id"]
+    assert [x["name"] for x in out.nodes if x["kind"] == "function"] == ["run", "anonymous_at_line_2", "anonymous_at_line_3"]
+
+
 def test_one_writer_at_a_time(spark, tmp_path):
     (tmp_path / "a.py").write_text("def go():\n    pass\n")
     graph = CodeGraph.init(spark, str(tmp_path))
@@ -168,6 +194,8 @@ def test_questions(tree):
     add = "function:lib/math.ts:add:1"
     assert sorted(r["id"] for r in graph.callers(add).collect()) == ["function:lib/math.ts:sub:2", "function:main.ts:main:2"]
     assert [r["id"] for r in graph.find_path("function:main.ts:unused:3", add).collect()] == ["function:main.ts:unused:3", "function:main.ts:main:2", add]
+    near = graph.path_edges(graph.find_path("function:main.ts:main:2", add)).collect()
+    assert ("function:lib/math.ts:sub:2", add) in [(r["source"], r["target"]) for r in near]
     assert "function:main.ts:unused:3" in [r["id"] for r in graph.dead_code().collect()]
     assert [r["path"] for r in graph.circular_dependencies().collect()] == [["x.ts", "y.ts"]]
     assert graph.node_source(add).startswith("export function add") and graph.stats()["files"] == 10
@@ -186,6 +214,8 @@ def test_tools(tree):
     lines = [json.dumps({"jsonrpc": "2.0", "id": i, "method": m, "params": p}) for i, (m, p) in enumerate([("initialize", {}), ("tools/list", {}), ("tools/call", {"name": "cycles", "arguments": {}}), ("huh", {})])]
     tools.serve(OpenGraphs(graph.spark), str(root), [*lines, "not json", ""], out)
     replies = [json.loads(x) for x in out.getvalue().splitlines()]
+    schemas = {t["name"]: t["inputSchema"] for t in replies[1]["result"]["tools"]}
+    assert set(schemas) == set(tools.TOOLS) and schemas["path"]["required"] == ["from", "to"] and "projectPath" in schemas["status"]["properties"]
     assert len(replies[1]["result"]["tools"]) == 12 and "x.ts -> y.ts -> x.ts" in replies[2]["result"]["content"][0]["text"]
     assert replies[3]["error"]["code"] == -32601 and replies[4]["error"]["code"] == -32700
 
