@@ -31,6 +31,7 @@ class Extraction:
     imports: list[dict] = field(default_factory=list)
     error: str | None = None
     known: set[str] = field(default_factory=set)
+    types: dict[str, str] = field(default_factory=dict)  # the first of each name
 
     @property
     def file_id(self) -> str:
@@ -45,6 +46,8 @@ class Extraction:
         row = dict.fromkeys(NODE_FIELDS) | {"id": i, "kind": kind, "name": name, "file_path": self.path, "start_line": line, "end_line": end, "start_column": 0, "end_column": 0, "language": self.language}
         row |= dict.fromkeys(("is_exported", "is_async", "is_static", "is_abstract"), False) | more
         self.nodes.append(row)
+        if kind in ("class", "interface", "enum"):
+            self.types.setdefault(name, i)
         self.edges.append({"source": self.file_id, "target": i, "kind": "contains", "line": None, "column": None})
         return i
 
@@ -60,7 +63,7 @@ class Extraction:
 
     def inherit(self, source: str, base: str, kind: str, line: int) -> None:
         """An edge if the file itself defines the base, else a reference."""
-        own = next((n["id"] for n in self.nodes if n["name"] == base and n["kind"] in ("class", "interface", "enum")), None)
+        own = self.types.get(base)
         if own:
             self.edges.append({"source": source, "target": own, "kind": kind, "line": line, "column": 0})
         else:
@@ -163,7 +166,7 @@ def _python(out: Extraction, text: str) -> None:
             else:
                 if isinstance(child, ast.Assign | ast.AnnAssign) and not inside:
                     for target in child.targets if isinstance(child, ast.Assign) else [child.target]:
-                        if isinstance(target, ast.Name) and not any(n["kind"] == "function" and n["start_line"] == line and n["name"] == target.id for n in out.nodes):
+                        if isinstance(target, ast.Name) and node_id("function", out.path, target.id, line) not in out.known:
                             out.add("constant" if target.id.isupper() else "property" if classes else "variable", target.id, line, end, is_exported=not target.id.startswith("_"))
                 if isinstance(child, ast.Call):
                     called = child.func
