@@ -255,7 +255,8 @@ def normalise(archives: DataFrame, source: str, folder: str, level: int = 6) ->
                 size = target.get_file_info(f"{out}/{name}").size
                 yield pa.RecordBatch.from_pydict({"source": [old], "archive": [name], "sidecar": [f"{name}.index"], "records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
-    dealt = archives.select("archive").repartition("archive")
+    # Ranges of a given number are left as they are dealt, about an archive each; few rows would else be put into one task.
+    dealt = archives.select("archive").repartitionByRange(max(1, archives.count()), "archive")
     return written(dealt.mapInArrow(rewrite, "source string, archive string, sidecar string, records long, bytes long"), "normalised")
 
 
@@ -274,7 +275,7 @@ def read_records(index: DataFrame, folder: str, stretch: int = 64 << 20) -> Data
     """Read the records of ``index`` from their places in the archives in ``folder``, each as a gzip member of its own.
 
     Columns: archive, offset, page_id, record_type, digest and payload_bytes as the record states them, refers_to, and
-    payload (null for revisits).  An archive is dealt out in stretches of about ``stretch`` compressed bytes.
+    payload (null for revisits).  Places are dealt out by range, at most about ``stretch`` compressed bytes to a task.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,5 +310,7 @@ def read_records(index: DataFrame, folder: str, stretch: int = 64 << 20) -> Data
             file.close()
         yield batch_of()
 
-    dealt = index.select("archive", "offset", "length").repartition("archive", F.floor(F.col("offset") / stretch)).sortWithinPartitions("archive", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // stretch))
+    dealt = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(read, "archive string, offset long, page_id long, record_type string, digest string, payload_bytes long, refers_to long, payload binary")
