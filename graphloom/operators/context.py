@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import STOP_WORDS, line_slice, symbol_tokens_of
 from graphloom.operators import search, traversal
+from graphloom.operators.textindex import TextIndex
 from graphloom.schemas import BUDGETS
 
 FENCES = {"typescript": "ts", "javascript": "js", "python": "py", "go": "go", "rust": "rs", "java": "java", "c": "c", "cpp": "cpp", "csharp": "cs"}
@@ -16,7 +17,7 @@ MOST_CHARS = 15_000
 TRUNCATED = "[output truncated]\n"
 
 
-def entry_points(nodes: DataFrame, task: str, most: int, vectors: DataFrame | None = None, vector: list[float] | None = None, stop_words: tuple[str, ...] = STOP_WORDS, per_token: int = 5) -> DataFrame:
+def entry_points(nodes: DataFrame, task: str, most: int, vectors: DataFrame | None = None, vector: list[float] | None = None, stop_words: tuple[str, ...] = STOP_WORDS, per_token: int = 5, index: TextIndex | None = None) -> DataFrame:
     """Ranked nodes for a task: exact names of its tokens, full text of all of it, nearest vectors, then substrings of the
     first token; columns of nodes, score, tier and tier_rank."""
     tokens = symbol_tokens_of(task, stop_words) or task.split()[:1]
@@ -26,7 +27,7 @@ def entry_points(nodes: DataFrame, task: str, most: int, vectors: DataFrame | No
         named = part if named is None else named.unionByName(part)
     cols = nodes.columns
     tiers = [] if named is None else [(1.0, named)]
-    tiers.append((0.8, search.by_text(nodes, task, limit=most).withColumn("_token", F.lit(0))))
+    tiers.append((0.8, search.by_text(nodes, task, limit=most, index=index).withColumn("_token", F.lit(0))))
     if vectors is not None and vector is not None:
         tiers.append((None, search.by_vector(nodes, vectors, vector, most).select(*cols, "score").withColumn("_token", F.lit(0))))
     if tokens:
@@ -62,9 +63,9 @@ class TaskContext:
         return "\n".join(lines)
 
 
-def build_context(nodes: DataFrame, edges: DataFrame, task: str, max_nodes: int = 20, sources: DataFrame | None = None, vectors: DataFrame | None = None, vector: list[float] | None = None) -> TaskContext:
+def build_context(nodes: DataFrame, edges: DataFrame, task: str, max_nodes: int = 20, sources: DataFrame | None = None, vectors: DataFrame | None = None, vector: list[float] | None = None, index: TextIndex | None = None) -> TaskContext:
     """Entry points, up to ``max_nodes`` together with what lies within two edges of them, and their code."""
-    entries = entry_points(nodes, task, max_nodes, vectors, vector).drop("tier_rank", "tier")
+    entries = entry_points(nodes, task, max_nodes, vectors, vector, index=index).drop("tier_rank", "tier")
     ranked = entries.collect()  # at most max_nodes rows
     spark = nodes.sparkSession
     entries = spark.createDataFrame(ranked, entries.schema)
@@ -81,9 +82,9 @@ def truncated(text: str, most: int = MOST_CHARS) -> str:
     return text if len(text) <= most else TRUNCATED + text[:most]
 
 
-def explore(nodes: DataFrame, edges: DataFrame, sources: DataFrame, query: str, budget: str = "medium", vectors: DataFrame | None = None, vector: list[float] | None = None) -> str:
+def explore(nodes: DataFrame, edges: DataFrame, sources: DataFrame, query: str, budget: str = "medium", vectors: DataFrame | None = None, vector: list[float] | None = None, index: TextIndex | None = None) -> str:
     """Markdown for a question: entry points with their code, related nodes, and who uses whom among them."""
-    context = build_context(nodes, edges, query, BUDGETS[budget], sources, vectors, vector)
+    context = build_context(nodes, edges, query, BUDGETS[budget], sources, vectors, vector, index)
     rows = context.code.select("id", "kind", "name", "file_path", "start_line", "end_line", "language", "signature", "code").collect()
     if not rows:
         return context.summary()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.schemas import CALLABLE, USE_KINDS
@@ -124,13 +124,25 @@ def first_match(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
-def innermost(spans: DataFrame, points: DataFrame, key: str, width: int) -> DataFrame:
+def innermost(spans: DataFrame, points: DataFrame, key: str) -> DataFrame:
     """Each point (key, at, point_id) with the narrowest span (key, start, end, span_id) that holds it.
 
-    An interval join by buckets of ``width``: a span is listed under every bucket that it touches, so only spans near a
-    point meet it; spans many buckets wide cost a row for each.
+    An interval join by dyadic levels: a span of width w stands at the level of the smallest power of two above w, where it
+    touches two buckets at most, so it is one row or two however wide it is.  A point looks into one bucket of each level at
+    which its key has spans: no more levels than a number has bits.  Spans that end before they start hold nothing.
     """
-    listed = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    met = points.withColumn("_bucket", F.floor(F.col("at") / width)).join(listed, [key, "_bucket"]).where("start <= at and at <= end")
+    wide = F.col("end") - F.col("start")
+    # The number of binary digits of the width, exactly; 2 ** level is then the first power above it.
+    level = F.when(wide > 0, F.length(F.bin(wide))).otherwise(0).cast("int")
+    leveled = spans.where("start <= end").withColumn("_level", level)
+    levels = leveled.groupBy(key).agg(F.collect_set("_level").alias("_levels"))
+    listed = leveled.withColumn("_bucket", F.explode(F.array_distinct(F.array(_bucket("start"), _bucket("end")))))
+    probes = points.join(levels, key).withColumn("_level", F.explode("_levels")).withColumn("_bucket", _bucket("at"))
+    met = probes.join(listed, [key, "_level", "_bucket"]).where("start <= at and at <= end")
     best = met.groupBy("point_id").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("w"), "span_id")).alias("_best"))
     return best.select("point_id", F.col("_best.span_id").alias("span_id"))
+
+
+def _bucket(column: str) -> Column:
+    """The bucket of a whole number at level ``_level``: its bits above the level's, rounded down for negative numbers too."""
+    return F.expr(f"shiftright(cast({column} as bigint), _level)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import contains_like, matches_terms, query_terms, searchable
 from graphloom.functions.vectors import l2_distance
 from graphloom.operators.reads import one_of
+from graphloom.operators.textindex import TextIndex
 
 TEXT_COLUMNS = ("name", "qualified_name", "docstring", "signature")
 SCORES = {"exact": 1.0, "text": 0.8, "like": 0.5}
@@ -26,8 +27,13 @@ def by_like(nodes: DataFrame, query: str, kinds=(), languages=(), limit: int | N
     return _first(nodes, contains_like(F.col(column), query), kinds, languages, limit, order)
 
 
-def by_text(nodes: DataFrame, query: str, kinds=(), languages=(), limit: int | None = 20, order=("id",)) -> DataFrame:
-    """Nodes in whose text columns every term occurs, the last as a prefix.  Not ranked."""
+def by_text(nodes: DataFrame, query: str, kinds=(), languages=(), limit: int | None = 20, order=("id",), index: TextIndex | None = None) -> DataFrame:
+    """Nodes in whose text columns every term occurs, the last as a prefix.  Not ranked.
+
+    With a stored ``index`` over the nodes' texts these are not read; what ``nodes`` lacks is not found.
+    """
+    if index is not None:
+        return _first(nodes.join(index.search(query), "id", "left_semi"), F.lit(True), kinds, languages, limit, order)
     columns = [F.col(c) for c in TEXT_COLUMNS if c in nodes.columns]
     return _first(nodes, matches_terms(columns, query), kinds, languages, limit, order)
 
@@ -96,10 +102,10 @@ def merge_tiers(tiers: list[tuple[float | None, DataFrame]], limit: int, order=(
     return once.orderBy("tier", "tier_rank").limit(limit).drop("_seen")
 
 
-def tiered(nodes: DataFrame, query: str, limit: int = 10, kinds=(), languages=(), vectors: DataFrame | None = None, vector: list[float] | None = None, order=("id",)) -> DataFrame:
+def tiered(nodes: DataFrame, query: str, limit: int = 10, kinds=(), languages=(), vectors: DataFrame | None = None, vector: list[float] | None = None, order=("id",), index: TextIndex | None = None) -> DataFrame:
     """Exact names, full text, nearest vectors, then substrings of names, as one ranked union."""
     cols = [c for c in nodes.columns]
-    tiers = [(SCORES["exact"], by_name(nodes, query, kinds, languages, limit, order)), (SCORES["text"], by_text(nodes, query, kinds, languages, limit, order))]
+    tiers = [(SCORES["exact"], by_name(nodes, query, kinds, languages, limit, order)), (SCORES["text"], by_text(nodes, query, kinds, languages, limit, order, index))]
     if vectors is not None and vector is not None:
         tiers.append((None, by_vector(nodes, vectors, vector, limit, kinds, languages).select(*cols, "score")))
     tiers.append((SCORES["like"], by_like(nodes, query, kinds, languages, limit, order)))

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import paths, text, vectors
 from graphloom.operators import cycles, reads, resolve, search, sync, traversal
+from graphloom.operators.textindex import TextIndex
+from graphloom.operators.vectorindex import VectorIndex
 from graphloom.sources import views
-from graphloom.storage import written
+from graphloom.storage import shared_folder, written
 from graphloom.streaming.debounce import session_bursts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,7 +221,7 @@ FROM points JOIN spans USING (k) WHERE s <= pos AND pos <= e) WHERE r = 1"""
 def innermost_interval_join(spark, d):
     spans = views.table(spark, d, "orders").selectExpr("o_custkey as k", "o_orderkey as span_id", "o_orderkey % 1000 as start", "o_orderkey % 1000 + 1 + o_orderkey % 97 * (o_orderkey % 3) as end")
     points = views.table(spark, d, "events").selectExpr("user_id as k", "event_id as point_id", "event_id % 1000 as at")
-    return reads.innermost(spans, points, "k", 64)
+    return reads.innermost(spans, points, "k")
 
 
 # --- graphs ---------------------------------------------------------------------------------------------------------
@@ -385,9 +387,25 @@ def search_like_wildcard(spark, d):
     return search.by_like(views.commerce_nodes(spark, d), "_R%000_1", limit=40)
 
 
+STORED: dict[tuple[str, str, str], object] = {}
+
+
+def stored(spark, d: str, name: str, build: Callable[[], object]):
+    """What an application's queries on one folder share: an index is built by the first that needs it."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in STORED:
+        STORED[key] = build()
+    return STORED[key]
+
+
+def text_index(spark, d) -> TextIndex:
+    """The names and texts of all documents, in the shared folder."""
+    return stored(spark, d, "text", lambda: TextIndex.build(views.text_nodes(spark, d), f"{shared_folder(spark)}-text", search.TEXT_COLUMNS))
+
+
 @query(f"WITH {TEXT_NODES} SELECT id, language FROM nodes WHERE contains({searchable_sql('name')}, ' ther') OR contains({searchable_sql('docstring')}, ' ther')")
 def search_fts_prefix(spark, d):
-    return search.by_text(views.text_nodes(spark, d), "ther", limit=None).select("id", "language")
+    return search.by_text(views.text_nodes(spark, d), "ther", limit=None, index=text_index(spark, d)).select("id", "language")
 
 
 def _fts_sql(terms: list[str]) -> str:
@@ -397,18 +415,28 @@ def _fts_sql(terms: list[str]) -> str:
 
 @query(f"WITH {TEXT_NODES} SELECT id, language FROM nodes WHERE {_fts_sql([' the ', ' erth ', ' onnt'])}")
 def search_fts_all_terms(spark, d):
-    return search.by_text(views.text_nodes(spark, d), "the AND (erth) onnt", limit=None).select("id", "language")
+    return search.by_text(views.text_nodes(spark, d), "the AND (erth) onnt", limit=None, index=text_index(spark, d)).select("id", "language")
 
 
 @query(f"WITH {TEXT_NODES} SELECT id, language FROM nodes WHERE {_fts_sql([' of the ', ' un'])} AND language IN ('en', 'de')")
 def search_fts_phrase(spark, d):
-    return search.by_text(views.text_nodes(spark, d), "of_the un", languages=("en", "de"), limit=None).select("id", "language")
+    return search.by_text(views.text_nodes(spark, d), "of_the un", languages=("en", "de"), limit=None, index=text_index(spark, d)).select("id", "language")
 
 
 @query(f"WITH {TEXT_NODES} SELECT DISTINCT id FROM nodes WHERE {_fts_sql([' the ', ' erth ', ' onnt'])}")
 def search_fts_postings(spark, d):
-    """The same terms through the inverted index."""
-    return search.by_postings(search.postings(views.text_nodes(spark, d)), "the erth onnt")
+    """The same terms in an index that came about by changes: two thirds of the documents, a third of them under the text of
+    their neighbour, then the right texts and the rest, and documents that are not there taken out."""
+
+    def build() -> TextIndex:
+        nodes = views.text_nodes(spark, d)
+        third = lambda r: nodes.where(F.substring("id", 5, 8).cast("long") % 3 == r)
+        wrong = third(0).withColumn("docstring", F.concat(F.lit("the erth onnt "), "docstring"))
+        index = TextIndex.build(wrong.unionByName(third(1)), f"{shared_folder(spark)}-text", search.TEXT_COLUMNS)
+        more = third(2).withColumn("id", F.concat(F.lit("old:"), "id")).unionByName(third(2))
+        return index.add(more).change(third(0), more.where("id like 'old:%'"))
+
+    return stored(spark, d, "changed text", build).search("the erth onnt")
 
 
 @query("SELECT p_partkey AS id, p_type AS signature, 1.0 AS score FROM part WHERE translate(p_type, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%e%' AND translate(p_type, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%o%' AND translate(p_type, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%m%'")
@@ -426,6 +454,24 @@ def search_semantic_knn(spark, d):
     return search.nearest(views.table(spark, d, "embeddings"), QUERY_VECTOR, 20, "vec_id")
 
 
+_APART = _DISTANCE.replace(f"embedding, {QUERY_VECTOR}", "q.embedding, v.embedding")
+
+
+def vector_index(spark, d) -> VectorIndex:
+    vectors = lambda: views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return stored(spark, d, "vectors", lambda: VectorIndex.build(vectors(), f"{shared_folder(spark)}-vectors"))
+
+
+@query(
+    f"""SELECT query, place, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS place
+FROM (SELECT q.vec_id AS query, v.vec_id AS id, {_APART} AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)) WHERE place <= 10"""
+)
+def search_knn_batch(spark, d):
+    """The ten nearest of every fiftieth vector, itself among them, through the stored cells."""
+    queries = views.table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    return vector_index(spark, d).search(queries, 10).withColumn("place", F.col("place").cast("long"))
+
+
 @query(f"SELECT id, kind, distance FROM (SELECT vec_id AS id, CAST(label AS VARCHAR) AS kind, {_DISTANCE} AS distance FROM embeddings ORDER BY distance, id LIMIT 30) WHERE kind IN ('1', '3', '5')")
 def search_semantic_filtered_after_k(spark, d):
     nodes = views.vector_nodes(spark, d)
