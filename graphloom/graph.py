@@ -4,18 +4,31 @@ from __future__ import annotations
 
 import os
 from collections import OrderedDict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import context, cycles, embed, reads, resolve, search, sync, traversal
 from graphloom.schemas import EMBEDDABLE, ORDER
-from graphloom.sources import files
-from graphloom.sources.store import Config, Store, empty
+from graphloom.operators.textindex import TextIndex
+from graphloom.sources import files, tree
+from graphloom.sources.store import BUCKET_BYTES, LEAST_BUCKETS, PATH_OF, Config, Store, empty
 from graphloom.storage import written
 
 FOLDER = ".graphloom"
+#: A text index with more segments is made one at the next sync.
+MOST_SEGMENTS = 16
+
+
+@dataclass
+class SyncReport:
+    """What a sync did: files opened, references resolved, buckets written for changed files and for edges."""
+
+    read: int = 0
+    resolved: int = 0
+    touched: list[int] = field(default_factory=list)
+    relinked: list[int] = field(default_factory=list)
 
 
 @dataclass
@@ -35,6 +48,7 @@ class CodeGraph:
         self.spark, self.root, self.store = spark, root.rstrip("/"), store
         self.config = store.config()
         self.model = model or embed.hashed_model(self.config.embedding_dimensions)
+        self.last_sync = SyncReport()
 
     # --- life cycle
 
@@ -44,7 +58,7 @@ class CodeGraph:
         if store.exists():
             raise FileExistsError(f"{root} has a graph already")
         store.save_config(config or Config())
-        store.commit({})
+        store.clear()
         return cls(spark, root, store, model)
 
     @classmethod
@@ -70,8 +84,8 @@ class CodeGraph:
 
     # --- tables
 
-    def _table(self, name: str) -> DataFrame:
-        found = self.store.table(name)
+    def _table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        found = self.store.table(name, buckets)
         if found is None:
             raise LookupError("nothing is indexed yet")
         return found
@@ -82,91 +96,175 @@ class CodeGraph:
 
     @property
     def edges(self) -> DataFrame:
-        return self._table("edges")
+        return self._table("edges").drop("file_path")
 
     @property
     def sources(self) -> DataFrame:
         return self._table("sources")
 
+    @property
+    def embeddings(self) -> DataFrame | None:
+        found = self.store.table("embeddings") if self.config.embed_symbols else None
+        return found.drop("file_path") if found is not None else None
+
+    @property
+    def text(self) -> TextIndex | None:
+        """The text index as the current state has it."""
+        state = self.store.state().get("text")
+        return TextIndex(self.spark, f"{self.store.path}/text", state=state) if state else None
+
+    def _commit(self, tables: dict, buckets: int | None, base: int, text: TextIndex) -> None:
+        self.store.commit(tables, buckets, base, text=text.state())
+        text.forget({s for v in self.store.manifests.numbers() for s in self.store.state(v).get("text", {}).get("segments", [])})
+
     # --- indexing
 
-    def _scan(self) -> DataFrame:
-        return files.scan_files(self.spark, self.root, (*self.config.exclude, f"{FOLDER}/**"), self.config.max_file_size, tuple(self.config.languages))
+    def _listed(self) -> DataFrame:
+        """The tree's files as they are now, and when they were listed; no file is opened."""
+        exclude = (*self.config.exclude, f"{FOLDER}/**")
+        return written(tree.listing(self.spark, self.root, exclude, self.config.max_file_size, tuple(self.config.languages)).withColumn("listed", F.current_timestamp()), "listed")
 
-    def _derive(self, tables: dict[str, DataFrame]) -> DataFrame:
-        """All edges from what files define themselves (contained) and from all references, which are kept for good."""
-        known = tables["files"].select("path")
-        imports = resolve.source_files(tables["imports"], known)
-        linked = resolve.resolve_all(tables["refs"], tables["nodes"], known, imports)
-        return reads.prune_dangling(reads.dedupe_edges(tables["own"].unionByName(linked)), tables["nodes"])
+    def _read(self, listed: DataFrame) -> DataFrame:
+        return written(tree.read_texts(listed, self.root), "sources")
 
-    def _embed(self, nodes: DataFrame, have: DataFrame | None) -> DataFrame:
+    def _embedded(self, nodes: DataFrame, have: DataFrame | None) -> DataFrame:
+        """(node_id, embedding, file_path) of the nodes that ``have`` lacks, and the rows of ``have``."""
         some = nodes.where(F.col("kind").isin(*EMBEDDABLE))
         if have is not None:
             some = sync.missing_embeddings(nodes, have)
         new = embed.embed_texts(some, "id", embed.node_text(), self.model, self.config.embedding_batch_size)
+        new = new.join(nodes.select(F.col("id").alias("node_id"), "file_path"), "node_id")
         return new if have is None else have.unionByName(new)
 
-    def _commit(self, tables: dict[str, DataFrame], have: DataFrame | None) -> dict[str, DataFrame]:
-        tables["edges"] = written(self._derive(tables), "edges")
-        tables["embeddings"] = self._embed(tables["nodes"], have) if self.config.embed_symbols else empty(self.spark)
-        self.store.commit(tables)
-        return tables
+    @staticmethod
+    def _file_rows(made: files.Extracted, texts: DataFrame, listed: DataFrame) -> DataFrame:
+        stamps = listed.select("path", "length", "modified", "listed")
+        return made.files.join(stamps.join(texts.select("path"), "path", "left_semi"), "path")
+
+    @staticmethod
+    def _own_rows(made: files.Extracted) -> DataFrame:
+        """What files define themselves, with the file."""
+        return made.edges.join(made.nodes.select(F.col("id").alias("source"), "file_path").distinct(), "source")
+
+    @staticmethod
+    def _edge_rows(own: DataFrame, links: DataFrame) -> DataFrame:
+        """Edges from what files define and from what references lead to; equal ones have one source and so one file."""
+        columns = ["file_path", "source", "target", "kind", "line", "column"]
+        return reads.dedupe_edges(own.select(columns).unionByName(links.select(columns).distinct()))
 
     def index_all(self) -> IndexResult:
-        """Reads, extracts and links the whole tree into a new snapshot; one index or sync runs at a time."""
+        """Reads, extracts and links the whole tree into a new state; one index or sync runs at a time."""
         with self.store.lock():
             return self._index_all()
 
     def _index_all(self) -> IndexResult:
-        everything = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root).where(~F.col("path").contains(f"/{FOLDER}/")).count()
-        texts = written(files.sources(self._scan()), "sources")
-        made = files.extract_all(texts)
-        tables = {"files": made.files, "nodes": made.nodes, "own": made.edges, "refs": made.refs, "imports": made.imports, "sources": texts}
-        tables = self._commit(tables, None)
+        base = self.store.version()
+        everything = tree.all_files(self.spark, self.root).where(~F.col("path").startswith(f"{FOLDER}/")).count()
+        listed = self._listed()
+        texts = self._read(listed)
+        made = files.extract_all(texts.select("path", "language", "content_hash", "text"))
+        known = made.files.select("path")
+        links = written(resolve.links(made.refs, made.nodes, known, resolve.source_files(made.imports, known)), "links")
+        own = written(self._own_rows(made), "own")
+        edges = written(reads.prune_dangling(self._edge_rows(own, links), made.nodes), "edges")
+        tables = {"files": self._file_rows(made, texts, listed), "nodes": made.nodes, "own": own, "refs": made.refs, "imports": made.imports, "links": links, "edges": edges, "sources": texts.drop("length", "modified")}
+        tables["embeddings"] = self._embedded(made.nodes, None) if self.config.embed_symbols else empty(self.spark).withColumn("file_path", F.lit("").cast("string"))
+        size = listed.agg(F.sum("length")).first()[0] or 0
+        text = TextIndex.build(made.nodes, f"{self.store.path}/text", search.TEXT_COLUMNS, kept=True)
+        self._commit({k: (v, None) for k, v in tables.items()}, max(LEAST_BUCKETS, size // BUCKET_BYTES), base, text)
         indexed, errored = made.files.count(), made.errors.count()
-        return IndexResult(errored == 0 or indexed > errored, indexed - errored, everything - indexed, errored, made.nodes.count(), tables["edges"].count())
+        return IndexResult(errored == 0 or indexed > errored, indexed - errored, everything - indexed, errored, made.nodes.count(), edges.count())
+
+    def _looks(self) -> tuple[DataFrame, DataFrame]:
+        """The tree as listed, and (path, look) of files whose time or length says that they may have changed: 'new', 'gone' or
+        'other'.  A file that was changed within two seconds of its last listing may have changed again at the same time and
+        counts too.  No file is opened."""
+        listed = self._listed()
+        old = self._table("files").select(F.col("path").alias("_old"), F.col("length").alias("_length"), F.col("modified").alias("_modified"), F.col("listed").alias("_listed"))
+        both = old.join(listed, F.col("_old") == F.col("path"), "full_outer")
+        racy = F.col("_modified") >= F.col("_listed") - F.expr("interval 2 seconds")
+        other = ~F.col("length").eqNullSafe(F.col("_length")) | ~F.col("modified").eqNullSafe(F.col("_modified")) | F.coalesce(racy, F.lit(True))
+        look = F.when(F.col("_old").isNull(), "new").when(F.col("path").isNull(), "gone").when(other, "other")
+        return listed, both.select(F.coalesce("path", "_old").alias("path"), look.alias("look")).where("look is not null")
 
     def sync(self) -> dict[str, int]:
-        """Brings the snapshot up to the tree: only new and changed files are parsed, and only new or changed nodes are
-        embedded; the result equals that of a full index.  Counts by status."""
+        """Brings the state up to the tree; the result equals that of a full index.  Counts by status.
+
+        Only files that look changed are opened, only changed ones parsed; references are resolved again only if a definition,
+        import or file changed that they may lead to; only touched buckets are written.  ``last_sync`` tells what was done.
+        """
         with self.store.lock():
             return self._sync()
 
     def _sync(self) -> dict[str, int]:
-        old = self.store.table("files")
-        if old is None:
+        base = self.store.version()
+        if self.store.table("files") is None:
             return {"added": self._index_all().files_indexed}
-        texts = written(files.sources(self._scan()), "sources")
-        status = written(sync.file_status(old, texts), "status")
+        listed, looks = self._looks()
+        looks = written(looks, "looks")
+        texts = self._read(listed.join(looks.where("look <> 'gone'"), "path", "left_semi"))
+        stored = self._table("files").select("path", "content_hash")
+        status = written(sync.file_status(stored.join(looks, "path", "left_semi"), texts), "status")
         counts = {r["status"]: r["n"] for r in sync.status_counts(status).collect()}
+        same = stored.count() - sum(counts.get(k, 0) for k in ("removed", "modified"))
+        counts |= {"unchanged": same} if same else {}
+        self.last_sync = SyncReport(read=texts.count())
         if not set(counts) - {"unchanged"}:
             return counts
-        fresh = status.where("status in ('added', 'modified')").select("path")
-        same = status.where("status = 'unchanged'").select("path")
-        made = files.extract_all(texts.join(fresh, "path", "left_semi"))
-        keep = lambda name, column: self._table(name).join(same.select(F.col("path").alias(column)), column, "left_semi")
-        owner = self._table("own").join(self._table("nodes").select(F.col("id").alias("source"), "file_path"), "source").join(same.select(F.col("path").alias("file_path")), "file_path", "left_semi").drop("file_path")
-        merged = {
-            "files": keep("files", "path").unionByName(made.files),
-            "nodes": keep("nodes", "file_path").unionByName(made.nodes),
-            "own": owner.unionByName(made.edges),
-            "refs": keep("refs", "file_path").unionByName(made.refs),
-            "imports": keep("imports", "file_path").unionByName(made.imports),
-            "sources": texts,
-        }
-        merged = {k: written(v, k) for k, v in merged.items()}
-        have = self.store.table("embeddings")
-        if have is not None:
-            stale = sync.stale_embeddings(self.nodes, merged["nodes"])
-            have = written(have.join(stale, F.col("node_id") == F.col("id"), "left_anti"), "embeddings")
-        self._commit(merged, have)
+        buckets = self.store.state(base)["buckets"]
+        touched_by = lambda df, column: sorted({r[0] for r in df.select(Store.bucket_of(F.col(column), buckets)).distinct().collect()})
+        changed = status.where("status <> 'unchanged'").select("path", "status")
+        touched = touched_by(changed, "path")
+        fresh = texts.join(changed, "path", "left_semi")
+        made = files.extract_all(fresh.select("path", "language", "content_hash", "text"))
+        new = {"files": self._file_rows(made, fresh, listed), "nodes": made.nodes, "own": self._own_rows(made), "refs": made.refs, "imports": made.imports, "sources": fresh.drop("length", "modified")}
+
+        def merged(name: str) -> DataFrame:
+            column = PATH_OF.get(name, "file_path")
+            rest = self._table(name, touched).join(changed.select(F.col("path").alias(column)), column, "left_anti")
+            return written(rest.unionByName(new[name]).select(*rest.columns), name)
+
+        now = {name: merged(name) for name in new}
+        others = [b for b in range(buckets) if b not in set(touched)]
+        whole = {name: self._table(name, others).unionByName(now[name]) for name in ("files", "nodes", "refs", "imports")}
+
+        was = self._table("nodes", touched).join(changed.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+        names = written(resolve.changed_names(was, made.nodes), "names")
+        moved = changed.where("status <> 'modified'").select("path")
+        moved = None if moved.isEmpty() else written(moved, "moved")
+        depend = resolve.dependents(whole["refs"], whole["imports"], names, moved)
+        refs = written(depend.unionByName(resolve.with_ids(made.refs)).dropDuplicates(["ref_id"]), "dependents")
+        known = whole["files"].select("path")
+        imports = written(resolve.source_files(whole["imports"].join(refs.select("file_path").distinct(), "file_path", "left_semi"), known), "imports")
+        found = written(resolve.links(refs.drop("ref_id"), resolve.wanted(whole["nodes"], refs, imports), known, imports), "links")
+        relinked = sorted({*touched, *touched_by(refs, "file_path")})
+        kept = self._table("links", relinked).join(changed.select(F.col("path").alias("file_path")), "file_path", "left_anti").join(refs.select("ref_id"), "ref_id", "left_anti")
+        links = written(kept.unionByName(found), "links")
+        own = self._table("own", [b for b in relinked if b not in set(touched)]).unionByName(now["own"])
+        edges = written(reads.prune_dangling(self._edge_rows(own, links), whole["nodes"].select("id")), "edges")
+
+        tables = {name: (df, touched) for name, df in now.items()} | {"links": (links, relinked), "edges": (edges, relinked)}
+        if self.config.embed_symbols:
+            gone = written(sync.stale_embeddings(was, made.nodes), "stale")
+            have = self._table("embeddings", touched).join(gone, F.col("node_id") == F.col("id"), "left_anti")
+            tables["embeddings"] = (written(self._embedded(now["nodes"], written(have, "embeddings")), "embeddings"), touched)
+        text = self.text.change(made.nodes, was.select("id"))
+        if len(text.segments) > MOST_SEGMENTS:
+            text = text.compact()
+        self._commit(tables, None, base, text)
+        self.last_sync = SyncReport(self.last_sync.read, refs.count(), touched, relinked)
         return counts
 
     def is_dirty(self) -> bool:
-        """Whether any file's hash differs from the snapshot's."""
-        old = self.store.table("files")
-        return old is None or not sync.file_status(old, files.sources(self._scan())).where("status <> 'unchanged'").isEmpty()
+        """Whether any file differs from the state's.  Files are opened only if their time or length differs."""
+        if self.store.table("files") is None:
+            return True
+        listed, looks = self._looks()
+        looks = written(looks, "looks")
+        if not looks.where("look <> 'other'").isEmpty():
+            return True
+        texts = tree.read_texts(listed.join(looks, "path", "left_semi"), self.root)
+        return not sync.file_status(self._table("files").join(looks, "path", "left_semi"), texts).where("status <> 'unchanged'").isEmpty()
 
     def sync_if_dirty(self) -> dict[str, int]:
         return self.sync() if self.is_dirty() else {}
@@ -174,9 +272,9 @@ class CodeGraph:
     # --- queries
 
     def search_nodes(self, query: str, limit: int = 10, kinds=(), languages=()) -> DataFrame:
-        vectors = self.store.table("embeddings") if self.config.embed_symbols else None
+        vectors = self.embeddings
         vector = embed.embed_one(query, self.model) if vectors is not None else None
-        return search.tiered(self.nodes, query, limit, kinds, languages, vectors, vector, ORDER)
+        return search.tiered(self.nodes, query, limit, kinds, languages, vectors, vector, ORDER, self.text)
 
     def search_by_signature(self, query: str, limit: int = 10, kinds=("function", "method")) -> DataFrame:
         return search.by_signature(self.nodes, query, kinds, limit, ORDER)
@@ -214,14 +312,14 @@ class CodeGraph:
         return traversal.path_neighbourhood(self.edges, path)
 
     def build_context(self, task: str, max_nodes: int = 20, include_code: bool = True) -> context.TaskContext:
-        vectors = self.store.table("embeddings") if self.config.embed_symbols else None
+        vectors = self.embeddings
         vector = embed.embed_one(task, self.model) if vectors is not None else None
-        return context.build_context(self.nodes, self.edges, task, max_nodes, self.sources if include_code else None, vectors, vector)
+        return context.build_context(self.nodes, self.edges, task, max_nodes, self.sources if include_code else None, vectors, vector, self.text)
 
     def explore(self, query: str, budget: str = "medium") -> str:
-        vectors = self.store.table("embeddings") if self.config.embed_symbols else None
+        vectors = self.embeddings
         vector = embed.embed_one(query, self.model) if vectors is not None else None
-        return context.explore(self.nodes, self.edges, self.sources, query, budget, vectors, vector)
+        return context.explore(self.nodes, self.edges, self.sources, query, budget, vectors, vector, self.text)
 
     def node(self, node_id: str) -> DataFrame:
         return reads.node_by_id(self.nodes, node_id)

@@ -50,8 +50,9 @@ def ffi_files(refs: DataFrame, files: DataFrame) -> DataFrame:
     return refs.where(F.col("spec").rlike("^[./]")).select("ref_id", at.alias("path")).join(files.select("path").distinct(), "path").select("ref_id", F.col("path").alias("target_file"))
 
 
-def source_files(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """``imports`` (file_path, language, local, original, module) with the file that each module is, where there is one.
+def module_candidates(imports: DataFrame) -> DataFrame:
+    """``imports`` (file_path, language, local, original, module) of modules that may be files of the tree, with ``_key`` and
+    ``_paths``, the paths that the module may be at, in order.
 
     Relative modules start at the importing file's directory; other ones at the root, then at src/.  Bare words of
     JavaScript, TypeScript and Go are packages outside.
@@ -65,9 +66,15 @@ def source_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     endings = F.array(F.lit(""))
     for language, some in LANGUAGE_ENDINGS.items():
         endings = F.when(F.col("language") == language, F.array(*map(F.lit, some))).otherwise(endings)
-    keyed = imports.where(~outside).withColumn("_key", _identity("file_path", "language", "local", "module"))
-    every = keyed.select("_key", F.posexplode(F.flatten(F.transform(starts, lambda s: F.transform(endings, lambda e: F.concat(s, e))))).alias("ord", "path"))
-    return keyed.join(first_existing(every, files, "_key"), "_key").drop("_key")
+    every = F.flatten(F.transform(starts, lambda s: F.transform(endings, lambda e: F.concat(s, e))))
+    return imports.where(~outside).select("*", _identity("file_path", "language", "local", "module").alias("_key"), every.alias("_paths"))
+
+
+def source_files(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """``imports`` with the file that each module is, where there is one."""
+    keyed = module_candidates(imports)
+    every = keyed.select("_key", F.posexplode("_paths").alias("ord", "path"))
+    return keyed.drop("_paths").join(first_existing(every, files, "_key"), "_key").drop("_key")
 
 
 def _identity(*columns: str) -> Column:
@@ -143,9 +150,14 @@ def inheritance(refs: DataFrame, defs: DataFrame, imports: DataFrame | None = No
     return _ranked(parts)
 
 
-def resolve_all(refs: DataFrame, nodes: DataFrame, files: DataFrame, imports: DataFrame | None = None) -> DataFrame:
-    """(source, target, kind, line, column): the edges of all references that can be resolved."""
-    keyed = refs.withColumn("ref_id", _identity("source_id", "ref_name", "ref_kind", "file_path", "line", "column"))
+def with_ids(refs: DataFrame) -> DataFrame:
+    """References with ``ref_id``, 128 bits of what they are."""
+    return refs.withColumn("ref_id", _identity("source_id", "ref_name", "ref_kind", "file_path", "line", "column"))
+
+
+def links(refs: DataFrame, nodes: DataFrame, files: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """(ref_id, file_path, source, target, kind, line, column): what each reference that can be resolved leads to."""
+    keyed = with_ids(refs)
     spec = keyed.withColumn("spec", F.col("ref_name"))
     file_nodes = nodes.where("kind = 'file'").select(F.col("file_path").alias("target_file"), "id")
     to_file = lambda df: df.join(file_nodes, "target_file").select("ref_id", "id")
@@ -161,4 +173,49 @@ def resolve_all(refs: DataFrame, nodes: DataFrame, files: DataFrame, imports: Da
     kind = F.lit("calls")
     for ref_kind, edge_kind in EDGE_OF.items():
         kind = F.when(F.col("ref_kind") == ref_kind, edge_kind).otherwise(kind)
-    return keyed.join(found, "ref_id").select(F.col("source_id").alias("source"), F.col("id").alias("target"), kind.alias("kind"), "line", "column").distinct()
+    return keyed.join(found, "ref_id").select("ref_id", "file_path", F.col("source_id").alias("source"), F.col("id").alias("target"), kind.alias("kind"), "line", "column").distinct()
+
+
+def resolve_all(refs: DataFrame, nodes: DataFrame, files: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """(source, target, kind, line, column): the edges of all references that can be resolved."""
+    return links(refs, nodes, files, imports).select("source", "target", "kind", "line", "column").distinct()
+
+
+def changed_names(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(name), in lower case, of definitions that came, went or moved between two tables of nodes.
+
+    A strategy looks at a definition's name, kind, file and order alone, so references to other names resolve as before.
+    """
+    seen = ["id", "kind", "name", "file_path", "start_line", "start_column"]
+    a, b = old.select(seen).distinct(), new.select(seen).distinct()
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).select(F.lower("name").alias("name")).distinct()
+
+
+def dependents(refs: DataFrame, imports: DataFrame, names: DataFrame, moved: DataFrame | None) -> DataFrame:
+    """The references, with ids, that may resolve in another way once definitions of ``names`` (name, in lower case) changed and
+    the files of ``moved`` (path) appeared or went; None if none did.
+
+    They are those of a changed name; those of a name that their file imports from a changed name; and, where files moved, those
+    in files one of whose imports may be such a file, and modules that may be one.
+    """
+    keyed = with_ids(refs)
+    parts = [keyed.join(names, F.lower("ref_name") == F.col("name"), "left_semi")]
+    renamed = imports.where(~F.col("original").eqNullSafe(F.col("local"))).join(names, F.lower("original") == F.col("name"), "left_semi").select(F.col("file_path").alias("_at"), F.col("local").alias("_local"))
+    parts.append(keyed.join(renamed, (F.col("file_path") == F.col("_at")) & (F.col("ref_name") == F.col("_local")), "left_semi"))
+    if moved is not None:
+        near = module_candidates(imports).select(F.col("file_path").alias("_at"), F.explode("_paths").alias("path")).join(moved, "path", "left_semi").select("_at").distinct()
+        parts.append(keyed.join(near, F.col("file_path") == F.col("_at"), "left_semi"))
+        at = paths.joined(paths.dirname(F.col("file_path")), F.col("ref_name"))
+        tried = keyed.where("ref_kind in ('module', 'ffi')").withColumn("_tried", F.explode(F.array(*[F.concat(at, F.lit(e)) for e in MODULE_ENDINGS])))
+        parts.append(tried.join(moved, F.col("_tried") == F.col("path"), "left_semi").drop("_tried"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.dropDuplicates(["ref_id"])
+
+
+def wanted(nodes: DataFrame, refs: DataFrame, imports: DataFrame) -> DataFrame:
+    """The nodes that resolving ``refs`` may look at: definitions that share a name, blind to case, with one of them or with
+    what its file imports, and files."""
+    names = refs.select(F.lower("ref_name").alias("_w")).unionByName(imports.select(F.lower("original").alias("_w"))).distinct()
+    return nodes.where("kind <> 'file'").join(names, F.lower("name") == F.col("_w"), "left_semi").unionByName(nodes.where("kind = 'file'"))

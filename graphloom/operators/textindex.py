@@ -35,32 +35,47 @@ def placed_tokens(columns: list[Column]) -> Column:
 
 
 class TextIndex:
-    """The index in a folder, at its current state or at a given one.
+    """The index in a folder, at its current state, at the one of a number, or at a ``state`` that the caller keeps.
 
-    ``id`` columns may have any type that can be compared; texts may be null.  An id stands for one row.
+    ``id`` columns may have any type that can be compared; texts may be null.  An id stands for one row.  Changes give the
+    index after them; its state is committed to the folder, unless the caller keeps states itself.
     """
 
-    def __init__(self, spark: SparkSession, path: str, version: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, version: int | None = None, state: dict | None = None):
         self.spark, self.path = spark, path.rstrip("/")
         self.manifests = Manifests(spark, self.path)
-        self.version = self.manifests.version() if version is None else version
-        state = self.manifests.manifest(self.version) if self.version else {}
+        self.kept = state is not None
+        self.version = 0 if self.kept else self.manifests.version() if version is None else version
+        state = state if self.kept else self.manifests.manifest(self.version) if self.version else {}
         self.segments: list[str] = state.get("segments", [])
         self.columns: list[str] = state.get("columns", [])
         #: What the last search opened, for tests and curious users.
         self.opened: list[str] = []
 
     @classmethod
-    def build(cls, nodes: DataFrame, path: str, columns: tuple[str, ...]) -> TextIndex:
-        """A new state that holds ``nodes`` alone: (id, ``columns``).  Columns that the table lacks are passed over."""
-        index = cls(nodes.sparkSession, path)
+    def build(cls, nodes: DataFrame, path: str, columns: tuple[str, ...], kept: bool = False) -> TextIndex:
+        """A state that holds ``nodes`` alone: (id, ``columns``).  Columns that the table lacks are passed over.  ``kept``: the
+        caller keeps states."""
+        index = cls(nodes.sparkSession, path, state={} if kept else None)
         index.columns = [c for c in columns if c in nodes.columns]
         return index._committed([index._segment(nodes, None)])
 
     def _committed(self, segments: list[str]) -> TextIndex:
-        self.manifests.commit({"segments": segments, "columns": self.columns}, self.version)
+        state = {"segments": segments, "columns": self.columns}
+        if self.kept:
+            return TextIndex(self.spark, self.path, state=state)
+        self.manifests.commit(state, self.version)
         return TextIndex(self.spark, self.path, self.version + 1)
 
+    def state(self) -> dict:
+        return {"segments": self.segments, "columns": self.columns}
+
+    def forget(self, needed: set[str]) -> None:
+        """Remove the segments that no state needs."""
+        for name in self.manifests.names():
+            if name.startswith("segment-") and name not in needed:
+                self.manifests.delete(name)
+
     def _segment(self, nodes: DataFrame | None, gone: DataFrame | None) -> str:
         """Write a segment: the postings of some nodes, and the ids that it hides in earlier segments."""
         name = f"segment-{uuid.uuid4().hex}"

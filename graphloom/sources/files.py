@@ -1,4 +1,4 @@
-"""Source trees as DataFrames: scanning, reading, and extraction into the tables of a graph."""
+"""Extraction of source texts into the tables of a graph."""
 
 from __future__ import annotations
 
@@ -6,33 +6,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions import paths
-from graphloom.schemas import EXCLUDE, MAX_FILE_SIZE
 from graphloom.sources.extract import NODE_FIELDS, extract
 from graphloom.storage import written
 
 
-def scan_files(spark: SparkSession, root: str, exclude: tuple[str, ...] = EXCLUDE, max_size: int = MAX_FILE_SIZE, languages: tuple[str, ...] = ()) -> DataFrame:
-    """(path, language, length, modified, _full): the files of a tree that are not excluded, not larger than ``max_size``
-    and in a known language; contents stay unread until a column needs them.  Null rows and unreadable files are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
-    bare = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    base = root.split("://", 1)[-1].rstrip("/") if "://" in root else root.rstrip("/")
-    relative = F.when(bare.contains(base + "/"), F.substring_index(bare, base + "/", -1)).otherwise(paths.basename(bare))
-    out = files.select(relative.alias("path"), "length", F.col("modificationTime").alias("modified"), F.col("content").alias("_content")).withColumn("language", paths.language_of(F.col("path")))
-    out = out.where((F.col("length") <= max_size) & F.col("language").isNotNull() & ~paths.excluded(F.col("path"), exclude))
-    return out.where(F.col("language").isin(*languages)) if languages else out
-
-
-def sources(scanned: DataFrame) -> DataFrame:
-    """(path, language, content_hash, text) of scanned files; binaries have no text."""
-    binary = F.col("path").rlike(r"\.(node|wasm)$")
-    return scanned.select("path", "language", F.sha2("_content", 256).alias("content_hash"), F.when(~binary, F.decode("_content", "UTF-8")).alias("text"))
-
-
 _NODE = pa.struct([(n, pa.bool_() if n.startswith("is_") else pa.int32() if n.endswith(("line", "column")) else pa.string()) for n in NODE_FIELDS])
 _EDGE = pa.struct([("source", pa.string()), ("target", pa.string()), ("kind", pa.string()), ("line", pa.int32()), ("column", pa.int32())])
 _REF = pa.struct([("source_id", pa.string()), ("ref_name", pa.string()), ("ref_kind", pa.string()), ("file_path", pa.string()), ("line", pa.int32()), ("column", pa.int32())])

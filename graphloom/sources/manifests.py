@@ -40,6 +40,14 @@ class Manifests:
     def bytes(self, name: str) -> int:
         return self._fs.getContentSummary(self.at(name)).getLength() if self.exists(name) else 0
 
+    def names(self, name: str = "") -> list[str]:
+        """What a folder holds."""
+        return [x.getPath().getName() for x in self._fs.listStatus(self.at(name))] if self.exists(name) else []
+
+    def touch(self, name: str) -> None:
+        if self.exists(name):
+            self._fs.setTimes(self.at(name), int(time.time() * 1000), -1)
+
     def read(self, name: str) -> dict | None:
         if not self.exists(name):
             return None
@@ -61,8 +69,7 @@ class Manifests:
 
     def numbers(self) -> list[int]:
         """Numbers of the states that have a manifest."""
-        names = [x.getPath().getName() for x in self._fs.listStatus(self.at())] if self.exists("") else []
-        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"manifest-([0-9]+)\.json", n)))
+        return sorted(int(m[1]) for n in self.names() if (m := re.fullmatch(r"manifest-([0-9]+)\.json", n)))
 
     def version(self) -> int:
         return max(self.numbers(), default=0)

@@ -1,26 +1,32 @@
-"""A graph's tables on disk: snapshots, and a manifest that names the current one.
+"""A graph's tables on disk: parts by bucket, and manifests that say which parts are current.
 
-A snapshot is written whole into its own folder; only then a manifest of its own appears beside it under a new name, and the
-one with the largest number counts, so readers see the old tables or the new ones and never a mixture or nothing.  An old snapshot is removed once the next one is current and kept snapshots exceed ``keep``.
+Every table has a path column, and a row stands in the bucket of its path's hash.  A commit writes the buckets that changed
+into a part of its own and a manifest that lists, for each table and bucket, the part to read; other buckets keep theirs.
+Readers see the tables of one manifest, never a mixture.  A manifest has one successor, so a writer that started from an older
+state is told so.
 """
 
 from __future__ import annotations
 
-import json
-import re
-import time
-from collections.abc import Iterator
+import threading
+import uuid
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.schemas import EMBEDDINGS, EXCLUDE, EXTENSIONS, MAX_FILE_SIZE
+from graphloom.sources.manifests import Manifests
 
-TABLES = ("files", "nodes", "edges", "refs", "imports", "embeddings", "sources")
-#: What edges are nearly always filtered by; kinds are few, so the folders are.
-PARTITIONED = {"edges": ["kind"]}
+#: The path that a table's rows belong to, and how they are ordered in a file, so that filters on it skip row groups.
+PATH_OF = {"files": "path", "sources": "path"}
+ORDER_OF = {"nodes": ["name"], "edges": ["kind", "source"], "refs": ["ref_name"]}
+#: Bytes of source text for each bucket, and the fewest buckets.
+BUCKET_BYTES = 32 << 20
+LEAST_BUCKETS = 8
 
 
 @dataclass
@@ -35,94 +41,102 @@ class Config:
 
 
 class Store:
-    """Snapshots under a path that Spark can write, local or not."""
+    """States under a path that Spark can write, local or not; the last ``keep`` stay readable."""
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 2):
         self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
-        jvm = spark.sparkContext._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _read(self, name: str) -> dict | None:
-        at = self._path(f"{self.path}/{name}")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            return json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-        finally:
-            stream.close()
-
-    def _write(self, name: str, content: dict) -> None:
-        """By renaming a finished file into place."""
-        part, final = self._path(f"{self.path}/.{name}.part"), self._path(f"{self.path}/{name}")
-        stream = self._fs.create(part, True)
-        stream.write(bytearray(json.dumps(content, indent=1).encode()))
-        stream.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        self._fs.rename(part, final)
-
-    def _manifests(self) -> list[int]:
-        """Numbers of the snapshots that have a manifest."""
-        folder = self._path(self.path)
-        names = [x.getPath().getName() for x in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
-        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"manifest-([0-9]+)\.json", n)))
+        self.manifests = Manifests(spark, self.path)
 
     @contextmanager
-    def lock(self, stale_s: float = 3600) -> Iterator[None]:
-        """Held by one writer at a time; another one's raises.  A lock that is older than ``stale_s`` is its owner's no more."""
-        at = self._path(f"{self.path}/.lock")
-        if self._fs.exists(at) and time.time() - self._fs.getFileStatus(at).getModificationTime() / 1000 > stale_s:
-            self._fs.delete(at, False)
-        try:
-            self._fs.create(at, False).close()
-        except Exception as e:
-            raise RuntimeError(f"another index or sync is writing to {self.path}") from e
-        try:
-            yield
-        finally:
-            self._fs.delete(at, False)
+    def lock(self, stale_s: float = 3600, beat_s: float = 60) -> Iterator[None]:
+        """Held by one writer at a time, whose heart beats, so that a long run isn't taken for a lost one."""
+        with self.manifests.lock(stale_s):
+            done = threading.Event()
+
+            def beat() -> None:
+                while not done.wait(beat_s):
+                    self.manifests.touch(".lock")
+
+            heart = threading.Thread(target=beat, daemon=True)
+            heart.start()
+            try:
+                yield
+            finally:
+                done.set()
+                heart.join()
 
     def exists(self) -> bool:
-        return bool(self._manifests())
+        return bool(self.manifests.numbers())
 
     def config(self) -> Config:
         known = Config().__dict__
-        return Config(**{k: v for k, v in (self._read("config.json") or {}).items() if k in known})
+        return Config(**{k: v for k, v in (self.manifests.read("config.json") or {}).items() if k in known})
 
     def save_config(self, config: Config) -> None:
-        self._write("config.json", asdict(config))
+        self.manifests.write("config.json", asdict(config))
 
     def version(self) -> int:
-        return max(self._manifests(), default=0)
-
-    def table(self, name: str) -> DataFrame | None:
-        version = self.version()
-        at = f"{self.path}/snapshot={version}/{name}"
-        return self.spark.read.parquet(at) if version and self._fs.exists(self._path(at)) else None
-
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        version = self.version() + 1
-        for name, df in tables.items():
-            writer = df.write.mode("overwrite")
-            if name in PARTITIONED:
-                writer = writer.partitionBy(*PARTITIONED[name])
-            writer.parquet(f"{self.path}/snapshot={version}/{name}")
-        self._write(f"manifest-{version}.json", {"schema_version": 2, "snapshot": version, "tables": sorted(tables)})
-        for old in self._manifests():
-            if old <= version - self.keep:
-                self._fs.delete(self._path(f"{self.path}/manifest-{old}.json"), False)
-                self._fs.delete(self._path(f"{self.path}/snapshot={old}"), True)
+        return self.manifests.version()
+
+    def state(self, version: int | None = None) -> dict:
+        return self.manifests.manifest(version)
+
+    @staticmethod
+    def bucket_of(path: Column, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+    def table(self, name: str, buckets: Iterable[int] | None = None, version: int | None = None) -> DataFrame | None:
+        """A table, or some of its buckets; none if the state has no such table."""
+        parts = self.state(version).get("tables", {}).get(name)
+        if parts is None:
+            return None
+        chosen = parts["parts"] if buckets is None else {str(b): parts["parts"][str(b)] for b in buckets if str(b) in parts["parts"]}
+        schema = T.StructType.fromJson(parts["schema"])
+        if not chosen:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}/{part}/_bucket={b}" for b, part in chosen.items()])
+
+    def commit(self, tables: dict[str, tuple[DataFrame, Iterable[int] | None]], buckets: int | None = None, after: int | None = None, **more: object) -> int:
+        """The next state: for each table its rows, and the buckets that they are all of (None: all buckets).
+
+        Tables that aren't named stay, unless ``buckets`` deals everything anew.  ``after`` is the state that the rows
+        were made from; Conflict if it isn't the current one.
+        """
+        after = self.version() if after is None else after
+        old = self.state(after) if after else {}
+        new = {k: v for k, v in old.items() if k != "tables"} | {"schema_version": 3, "buckets": buckets or old.get("buckets", LEAST_BUCKETS)} | more
+        new["tables"] = {} if buckets else dict(old.get("tables", {}))
+        for name, (df, touched) in tables.items():
+            part = f"part-{uuid.uuid4().hex}"
+            count = len(set(touched)) if touched is not None else new["buckets"]
+            rows = df.withColumn("_bucket", self.bucket_of(F.col(PATH_OF.get(name, "file_path")), new["buckets"]))
+            # A bucket's rows are one task's, of about BUCKET_BYTES of source text.
+            rows = rows.repartition(max(1, count), "_bucket").sortWithinPartitions("_bucket", *ORDER_OF.get(name, []))
+            rows.write.partitionBy("_bucket").parquet(f"{self.path}/{name}/{part}")
+            kept = {} if touched is None else {b: p for b, p in new["tables"].get(name, {"parts": {}})["parts"].items() if int(b) not in set(touched)}
+            written = {b.removeprefix("_bucket="): part for b in self.manifests.names(f"{name}/{part}") if b.startswith("_bucket=")}
+            new["tables"][name] = {"schema": df.schema.jsonValue(), "parts": kept | written}
+        version = self.manifests.commit(new, after)
+        self._forget(version)
         return version
 
+    def _forget(self, version: int) -> None:
+        """Remove states that are too old, and parts that no state left names."""
+        for old in self.manifests.numbers():
+            if old <= version - self.keep:
+                self.manifests.forget(old)
+        named = {f"{name}/{part}" for v in self.manifests.numbers() for name, t in self.state(v).get("tables", {}).items() for part in t["parts"].values()}
+        for name in self.state(version).get("tables", {}):
+            for part in self.manifests.names(name):
+                if part.startswith("part-") and f"{name}/{part}" not in named:
+                    self.manifests.delete(f"{name}/{part}")
+
     def clear(self) -> None:
-        self.commit({})
+        self.commit({}, buckets=LEAST_BUCKETS)
 
     def size(self) -> int:
-        """Bytes of the current snapshot; 0 if there is none."""
-        at = self._path(f"{self.path}/snapshot={self.version()}")
-        return self._fs.getContentSummary(at).getLength() if self._fs.exists(at) else 0
+        """Bytes of the current state's tables; 0 if there are none."""
+        return sum(self.manifests.bytes(f"{name}/{part}/_bucket={b}") for name, t in self.state().get("tables", {}).items() for b, part in t["parts"].items())
 
 
 def empty(spark: SparkSession, schema: T.StructType = EMBEDDINGS) -> DataFrame:
