@@ -1,8 +1,8 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 A document of a source with target t and size s should be taken t / s times.  The whole part is certain; the fraction is
-rounded so that a source's words hardly change: two documents with a fraction trade words, at random but with the right
-mean, until one of them has a whole number of copies, and the other goes on to the next.  Buckets of a source do this apart
+rounded so that a source's words hardly change: a document trades words with another one, or with several smaller ones at once,
+at random but with the right mean, until one side has a whole number of copies, and the other goes on.  Buckets of a source do this apart
 and leave at most one document open; these meet in buckets of the next level, as a tree, until a source has one left.
 """
 
@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import WORD, text_or_empty, written
@@ -21,9 +22,12 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 
-_NAMES = ("id", "source", "size", "source_size", "target", "bucket", "open", "draw", "copies")
-_SCHEMA = "id long, source string, size long, source_size long, target double, bucket long, open double, draw double, copies int"
-_ARROW = pa.schema([("id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("source_size", pa.int64()), ("target", pa.float64()), ("bucket", pa.int64()), ("open", pa.float64()), ("draw", pa.float64()), ("copies", pa.int32())])
+#: A fraction that is nearer than this to a whole number is one, but for rounding.
+WHOLE = 1e-9
+
+_NAMES = ("id", "source", "size", "source_size", "target", "bucket", "open", "draw", "copies", "final")
+_SCHEMA = "id long, source string, size long, source_size long, target double, bucket long, open double, draw double, copies int, final double"
+_ARROW = pa.schema([("id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("source_size", pa.int64()), ("target", pa.float64()), ("bucket", pa.int64()), ("open", pa.float64()), ("draw", pa.float64()), ("copies", pa.int32()), ("final", pa.float64())])
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -63,19 +67,45 @@ def settled(row: list, p: float) -> list:
     return row
 
 
+def trade_with_rest(p: float, size: int, q: np.ndarray, sizes: np.ndarray, draw: float) -> tuple[float, np.ndarray] | None:
+    """A fraction made whole by a trade of words with the first of ``q``, as few as can take as much: each gives or takes in
+    proportion to its words and to how far it is from whole.  None if all of them can't.  Words and means stay."""
+    room = np.minimum(q, 1 - q)
+    most = np.cumsum(room * sizes)
+    up, down = (1 - p) * size, p * size
+    n = int(np.searchsorted(most, max(up, down) * (1 + 1e-9)))
+    if n == len(q):
+        return None
+    room[n + 1 :] = 0
+    taken = draw * (up + down) < down
+    return (1.0, np.maximum(q - room * (up / most[n]), 0)) if taken else (0.0, np.minimum(q + room * (down / most[n]), 1))
+
+
 def round_bucket(rows: list[list], last: bool) -> list[list]:
     """The rows of one bucket, largest first, all settled but one at most, and with ``last`` all of them.
 
-    The last open row of a source has no one to trade with: the words by which its rounding misses are evened out by
-    turning decisions of this bucket around, largest first, where that brings the source nearer to its target.  Both
-    sides, and each decision as the first to turn, are tried; the way that misses least is taken.
+    A row trades with the next smaller ones, as few as can make it whole, as long as there are enough; then the rest trade in
+    pairs, the one that stays open going on to the next.  The last open row of a source has no one to trade with and is taken with the probability
+    that it has come to.  So every row's mean stays what it was, and a source misses its target by less than the words of
+    that one row, which is small where small rows are left to make larger ones whole.
     """
-    out, held = [], None
-    for row in rows:
-        if row[6] <= 0:
-            out.append(settled(row, 0.0))
-        elif row[2] <= 0:  # no words to trade
-            out.append(settled(row, float(row[7] < row[6])))
+    out = [settled(r, float(r[2] <= 0 and r[9] < r[6])) for r in rows if r[6] <= 0 or r[2] <= 0]
+    rows = [r for r in rows if r[6] > 0 and r[2] > 0]
+    sizes, q = np.array([r[2] for r in rows], float), np.array([r[6] for r in rows], float)
+    at = 0
+    while at + 1 < len(rows):
+        if WHOLE < q[at] < 1 - WHOLE:
+            made = trade_with_rest(q[at], sizes[at], q[at + 1 :], sizes[at + 1 :], rows[at][7])
+            if made is None:
+                break
+            q[at], q[at + 1 :] = made
+        out.append(settled(rows[at], q[at]))
+        at += 1
+    held = None
+    for row, p in zip(rows[at:], q[at:].tolist()):
+        row[6] = p
+        if not WHOLE < p < 1 - WHOLE:
+            out.append(settled(row, p))
         elif held is None:
             held = row
         else:
@@ -83,25 +113,18 @@ def round_bucket(rows: list[list], last: bool) -> list[list]:
             still = [r for r in (held, row) if 0.0 < r[6] < 1.0]
             out += [settled(r, r[6]) for r in (held, row) if not 0.0 < r[6] < 1.0]
             held = still[0] if still else None
-    if held is None:
-        return out
-    if not last:
-        return [*out, held]
-    free = [(r, -r[2] if r[8] > int(r[9]) else r[2]) for r in sorted(out, key=lambda r: (-r[2], r[7])) if r[10] > 0]
-    best = None
-    for up in (0.0, 1.0):
-        for first in (None, *range(len(free))):
-            turned = [] if first is None else [first]
-            miss = (up - held[6]) * held[2] + sum(free[i][1] for i in turned)
-            for i, (_, words) in enumerate(free):
-                if i != first and abs(miss + words) < abs(miss):
-                    miss += words
-                    turned.append(i)
-            if best is None or (abs(miss), len(turned)) < best[:2]:
-                best = (abs(miss), len(turned), up, turned)
-    for row, words in map(free.__getitem__, best[3]):
-        row[8] += 1 if words > 0 else -1
-    return [*out, settled(held, best[2])]
+    if held is not None:
+        out.append(settled(held, float(held[9] < held[6])) if last else held)
+    return out
+
+
+def _uniform(seed: int, step: int = 0) -> Column:
+    """A number from 0 to 1 by a row's id and size, of its own for each step.
+
+    The digest mixes better than xxhash64, whose values for neighbouring seeds go together.
+    """
+    digest = F.sha2(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size").cast("string"), F.lit(f"{seed}:{step}")), 256)
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def _round(last: bool):
@@ -118,8 +141,7 @@ def _round(last: bool):
                 if key != (row[1], row[5]):
                     out += round_bucket(bucket, last)
                     bucket, key = [], (row[1], row[5])
-                # What the row was before: its whole copies and its fraction.
-                bucket.append([*row, row[8], row[6]])
+                bucket.append(row)
             yield batch(out)
         yield batch(round_bucket(bucket, last))
 
@@ -147,12 +169,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         (rate - F.floor(rate)).alias("open"),
         F.lit(0.0).alias("draw"),
         F.floor(rate).cast("int").alias("copies"),
+        _uniform(seed).alias("final"),
     )
     width = targets.agg(F.max(buckets)).first()[0] or 1
     done, depth = [], 0
     while True:
-        draw = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.col("size"), F.lit(seed + 1 + depth)), 11) / float(1 << 53)
-        dealt = level.withColumn("draw", draw).repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.desc("size"), "draw", "id")
+        dealt = level.withColumn("draw", _uniform(seed, depth + 1)).repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.desc("size"), "draw", "id")
         out = written(dealt.select(*_NAMES).mapInArrow(_round(width == 1), _SCHEMA), f"level{depth}")
         done.append(out.where(F.col("open") == 0))
         if width == 1:

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,71 @@ def test_trades_keep_words_and_means():
     assert abs(total[0] - 0.3) < 0.01 and abs(total[1] - 0.6) < 0.01
 
 
+def test_a_trade_with_the_rest_keeps_words_and_means():
+    rng = np.random.default_rng(2)
+    done = 0
+    for _ in range(300):
+        sizes, q, p, size = rng.integers(1, 50, 9).astype(float), rng.random(9), rng.random(), int(rng.integers(1, 90))
+        ends = [mixing.trade_with_rest(p, size, q, sizes, d) for d in (0.0, 0.9999999)]
+        if ends[0]:
+            done += 1
+            (one, low), (zero, high) = ends
+            assert (one, zero) == (1.0, 0.0) and min(low.min(), high.min()) >= -1e-12 and max(low.max(), high.max()) <= 1 + 1e-12
+            assert np.allclose(p * low + (1 - p) * high, q)
+            assert all(abs(x * size + r @ sizes - p * size - q @ sizes) < 1e-9 for x, r in ends)
+    assert 50 < done < 300
+
+
+def rounded(sizes, fractions, fan, rng):
+    """Copies of each row by the buckets and levels of a source, with draws of our own."""
+    level = [[i, "s", n, 0, 0.0, rng.randrange(-(-len(sizes) // fan)), p, 0.0, 0, rng.random()] for i, (n, p) in enumerate(zip(sizes, fractions))]
+    width, done = -(-len(sizes) // fan), []
+    while True:
+        buckets = defaultdict(list)
+        for row in level:
+            row[7] = rng.random()
+            buckets[row[5]].append(row)
+        out = [r for rows in buckets.values() for r in mixing.round_bucket(sorted(rows, key=lambda r: (-r[2], r[7])), width == 1)]
+        done += [r for r in out if r[6] == 0]
+        if width == 1:
+            return {r[0]: r[8] for r in done}
+        level = [r for r in out if r[6] > 0]
+        for row in level:
+            row[5] //= fan
+        width = -(-width // fan)
+
+
+@pytest.mark.parametrize("sizes, fraction, seeds", [([7], 0.3, 6000), ([1000] + [10] * 20, 0.1, 6000), ([3, 50, 4, 4, 900], 0.37, 6000), ([5] * 100, 0.37, 6000), ([1 + i * i % 700 for i in range(50)], 0.5, 6000), ([1 + i * 7919 % 1000 for i in range(5000)], 0.62, 300)])
+def test_every_document_keeps_its_mean(sizes, fraction, seeds):
+    """Also ties and single rows; words miss the target by less than the largest document, and by little where there are many."""
+    rng = random.Random(len(sizes))
+    total, miss = [0] * len(sizes), 0
+    for _ in range(seeds):
+        copies = rounded(sizes, [fraction] * len(sizes), 16, rng)
+        assert len(copies) == len(sizes) and set(copies.values()) <= {0, 1}
+        off = abs(sum(copies[i] * n for i, n in enumerate(sizes)) - fraction * sum(sizes))
+        assert off < max(sizes)
+        miss += off / seeds
+        for i, c in copies.items():
+            total[i] += c
+    sigma = (fraction * (1 - fraction) / seeds) ** 0.5
+    assert all(abs(t / seeds - fraction) < max(0.03 if seeds > 1000 else 0, 5 * sigma) for t in total)
+    for some in (range(0, len(sizes), 2), sorted(range(len(sizes)), key=lambda i: sizes[i])[: len(sizes) // 4 or 1]):
+        assert abs(sum(total[i] for i in some) / seeds / len(some) - fraction) < 0.03
+    if len(sizes) >= 50:
+        assert miss < 0.01 * sum(sizes)
+
+
+def test_means_hold_over_seeds_on_spark(spark):
+    df = spark.createDataFrame([(i, "w " * n, "s") for i, n in enumerate([100, *[4] * 9])] + [(50 + i, "w " * 7, "t") for i in range(3)], "doc_id long, text string, source string").repartition(1).cache()
+    seeds = 60
+    mean = lambda rows, some: sum(r["copies"] for r in rows if some(r["doc_id"])) / seeds / len({r["doc_id"] for r in rows if some(r["doc_id"])})
+    rows = [r for seed in range(seeds) for r in mixing.mix(df, seed=seed, fan=4, share=0.4, weights=(1,)).select("doc_id", "copies", "target", "source_size").collect()]
+    for low, high in ((0, 1), (1, 10), (50, 53)):
+        want = next(r["target"] / r["source_size"] for r in rows if low <= r["doc_id"] < high)
+        assert abs(mean(rows, lambda i: low <= i < high) - want) < 5 * (0.25 / seeds / (1 if high == 1 else 3)) ** 0.5
+
+
 def test_query_results(spark, documents):
     rows = mixing.mix(documents).collect()
     assert len(rows) == 1000
