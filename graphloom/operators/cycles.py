@@ -5,21 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.storage import written
-
-
-def trimmed(pairs: DataFrame, rounds: int = 8) -> DataFrame:
-    """Without vertices that lack edges in or out, which no cycle passes; stops early when nothing more goes."""
-    before = pairs.count()
-    for _ in range(rounds):
-        ins = pairs.select(F.col("target").alias("source")).distinct()
-        outs = pairs.select(F.col("source").alias("target")).distinct()
-        pairs = written(pairs.join(ins, "source", "left_semi").join(outs, "target", "left_semi"), "trimmed")
-        after = pairs.count()
-        if after == before:
-            break
-        before = after
-    return pairs
+from graphloom.operators.components import strong_components, within_components
+from graphloom.storage import kept
 
 
 def canonical_rotation(path: Column) -> Column:
@@ -32,15 +19,19 @@ def canonical_rotation(path: Column) -> Column:
 def simple_cycles(pairs: DataFrame, most: int = 50) -> DataFrame:
     """(path, length): each simple cycle of (source, target) once, from its smallest vertex, at most ``most`` vertices long.
 
-    Paths grow from a vertex over larger ones only, so a cycle is met from its smallest vertex alone; self-loops are no
-    cycles.  The number of paths may be exponential in dense graphs; ``most`` bounds the rounds.
+    Paths grow from a vertex over larger ones of its strongly connected component only, so a cycle is met from its smallest
+    vertex alone and no path leaves for a place that it can't return from; self-loops are no cycles.  The number of cycles
+    may be exponential in dense graphs: ``cyclic_groups`` tells their components alone.  ``most`` bounds the rounds.
     """
-    pairs = trimmed(written(pairs.where("source <> target").select("source", "target").distinct(), "pairs"))
+    pairs, rows = kept(pairs.where("source <> target").select("source", "target").distinct(), "pairs", True)
+    few = rows is not None
+    pairs = kept(within_components(pairs, strong_components(pairs)).select("source", "target"), "pairs", few)[0]
     paths = pairs.where("source < target").select(F.array("source", "target").alias("path"))
     found, length = None, 2
     while length <= most:
-        paths = written(paths, f"paths{length}")
-        if paths.isEmpty():
+        paths, rows = kept(paths, f"paths{length}", few)
+        few = rows is not None
+        if rows is not None and not rows:
             break
         tail = paths.select("path", F.element_at("path", -1).alias("source"), F.element_at("path", 1).alias("_first"))
         grown = tail.join(pairs, "source")
@@ -53,6 +44,16 @@ def simple_cycles(pairs: DataFrame, most: int = 50) -> DataFrame:
     return found
 
 
+def cyclic_groups(pairs: DataFrame) -> DataFrame:
+    """(component, id, n_ids, n_edges): the vertices that lie on cycles, by strongly connected component: what there is to
+    know where cycles are too many to list."""
+    pairs, rows = kept(pairs.where("source <> target").select("source", "target").distinct(), "pairs", True)
+    found = kept(strong_components(pairs), "strong", rows is not None)[0]
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n_ids"))
+    inner = within_components(pairs, found).groupBy("component").agg(F.count(F.lit(1)).alias("n_edges"))
+    return found.join(sizes, "component").join(inner, "component").select("component", "id", "n_ids", "n_edges")
+
+
 def circular_dependencies(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
     """Cycles of files that import from each other."""
     from graphloom.operators.reads import import_graph

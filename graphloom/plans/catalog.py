@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths, text, vectors
-from graphloom.operators import cycles, reads, resolve, search, sync, traversal
+from graphloom.operators import components, cycles, reads, resolve, search, sync, traversal
+from graphloom.operators.adjacency import Adjacency
 from graphloom.operators.textindex import TextIndex
 from graphloom.operators.vectorindex import VectorIndex
 from graphloom.sources import views
@@ -83,6 +84,26 @@ def trade(spark, d):
     return views.trade_nodes(spark, d), written(views.trade_edges(spark, d), "trade")
 
 
+STORED: dict[tuple[str, str, str], object] = {}
+
+
+def stored(spark, d: str, name: str, build: Callable[[], object]):
+    """What an application's queries on one folder share: an index is built by the first that needs it."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in STORED:
+        STORED[key] = build()
+    return STORED[key]
+
+
+def commerce_walks(spark, d) -> Adjacency:
+    """The edges of the commerce graph, sorted both ways in the shared folder."""
+    return stored(spark, d, "commerce", lambda: Adjacency.build(views.commerce_edges(spark, d), f"{shared_folder(spark)}-commerce"))
+
+
+def trade_walks(spark, d) -> Adjacency:
+    return stored(spark, d, "trade", lambda: Adjacency.build(views.trade_edges(spark, d), f"{shared_folder(spark)}-trade"))
+
+
 # --- reads ----------------------------------------------------------------------------------------------------------
 
 PART, ORDER_KIND = "part:1", "imports"
@@ -90,7 +111,7 @@ PART, ORDER_KIND = "part:1", "imports"
 
 @query(f"WITH {COMMERCE_NODES} SELECT * FROM nodes WHERE id = 'nation:7'")
 def node_by_id(spark, d):
-    return reads.node_by_id(views.commerce_nodes(spark, d), "nation:7")
+    return reads.node_by_id(views.commerce_nodes(spark, d, "nation:7"), "nation:7")
 
 
 @query(f"WITH {COMMERCE_NODES} SELECT * FROM nodes WHERE kind = 'supplier'")
@@ -105,12 +126,12 @@ def nodes_by_group(spark, d):
 
 @query(f"WITH {COMMERCE_EDGES} SELECT * FROM edges WHERE source = 'nation:3'")
 def edges_out(spark, d):
-    return reads.edges_out(views.commerce_edges(spark, d), "nation:3")
+    return reads.edges_out(views.commerce_edges(spark, d, source="nation:3"), "nation:3")
 
 
 @query(f"WITH {COMMERCE_EDGES} SELECT * FROM edges WHERE target = '{PART}'")
 def edges_in(spark, d):
-    return reads.edges_in(views.commerce_edges(spark, d), PART)
+    return reads.edges_in(views.commerce_edges(spark, d, target=PART), PART)
 
 
 @query(f"WITH {COMMERCE_EDGES} SELECT * FROM edges WHERE source IN ('part:1', 'nation:2', 'part:9') OR target IN ('part:1', 'nation:2', 'part:9')")
@@ -121,12 +142,12 @@ def edges_for_nodes(spark, d):
 
 @query(f"WITH {COMMERCE_NODES}, {COMMERCE_EDGES} SELECT n.* FROM nodes n JOIN edges e ON e.source = n.id WHERE e.target = 'order:5' AND e.kind = 'calls'")
 def callers(spark, d):
-    return reads.callers(*commerce(spark, d), "order:5", None)
+    return reads.callers(views.commerce_nodes(spark, d, kinds=("customer",)), views.commerce_edges(spark, d, target="order:5"), "order:5", None)
 
 
 @query(f"WITH {COMMERCE_NODES}, {COMMERCE_EDGES} SELECT n.* FROM nodes n JOIN edges e ON e.target = n.id WHERE e.source = 'customer:7' AND e.kind = 'calls' ORDER BY n.id LIMIT 20")
 def callees(spark, d):
-    return reads.callees(*commerce(spark, d), "customer:7", 20)
+    return reads.callees(views.commerce_nodes(spark, d, kinds=("order",)), views.commerce_edges(spark, d, source="customer:7"), "customer:7", 20)
 
 
 @query(f"WITH {TRADE_NODES}, {TRADE_EDGES} SELECT DISTINCT a.file_path AS source_file, b.file_path AS target_file FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE a.file_path <> b.file_path")
@@ -243,7 +264,7 @@ def _impact(depth: int):
 
     @query(sql, f"impact_radius_d{depth}")
     def impact(spark, d):
-        return traversal.impact_radius(*commerce(spark, d), PART, depth)
+        return traversal.impact_radius(views.commerce_nodes(spark, d), commerce_walks(spark, d), PART, depth)
 
 
 for _depth in (1, 2, 3):
@@ -255,8 +276,7 @@ for _depth in (1, 2, 3):
     + " SELECT id, depth FROM level ORDER BY depth, id LIMIT 8"
 )
 def bfs_both_capped(spark, d):
-    nodes, edges = trade(spark, d)
-    return traversal.search(edges, traversal.seeds_of(spark, ["0"]), 2, "both", None, nodes, 8).select("id", "depth")
+    return traversal.search(trade_walks(spark, d), traversal.seeds_of(spark, ["0"]), 2, "both", None, views.trade_nodes(spark, d), 8).select("id", "depth")
 
 
 @query(
@@ -285,13 +305,13 @@ SELECT depth AS pos, id FROM back"""
 
 @query(_path_sql("0", "23"))
 def shortest_path(spark, d):
-    return traversal.shortest_path(trade(spark, d)[1], "0", "23").select("pos", "id")
+    return traversal.shortest_path(trade_walks(spark, d), "0", "23").select("pos", "id")
 
 
 @query("SELECT CAST(0 AS INT) AS pos, CAST(NULL AS VARCHAR) AS id WHERE false")
 def shortest_path_unreachable(spark, d):
     """No edge leaves a supplier, so nothing is reached: empty on purpose."""
-    return traversal.shortest_path(views.commerce_edges(spark, d), "supplier:1", "part:1").select("pos", "id")
+    return traversal.shortest_path(commerce_walks(spark, d), "supplier:1", "part:1").select("pos", "id")
 
 
 HIERARCHY_EDGES = """
@@ -333,6 +353,33 @@ def cycles_sessions(spark, d):
     return cycles.simple_cycles(views.session_edges(spark, d)).select(F.array_join("path", ">").alias("cycle"), F.col("length").cast("long").alias("length"))
 
 
+@query(
+    f"""WITH RECURSIVE {TRADE_EDGES}, walk AS (SELECT DISTINCT source AS a, target AS b FROM edges),
+reach(a, b) AS (SELECT a, b FROM walk UNION SELECT reach.a, walk.b FROM reach JOIN walk ON reach.b = walk.a),
+mutual AS (SELECT x.a AS id, x.b AS other FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a),
+found AS (SELECT id, max(other) AS component FROM mutual GROUP BY id)
+SELECT component, id, (SELECT count(*) FROM found g WHERE g.component = f.component) AS n_ids,
+  (SELECT count(*) FROM walk JOIN found s ON s.id = a JOIN found t ON t.id = b WHERE s.component = f.component AND t.component = f.component) AS n_edges FROM found f"""
+)
+def cyclic_groups_trade(spark, d):
+    return cycles.cyclic_groups(trade_walks(spark, d).edges())
+
+
+@query(
+    f"""WITH RECURSIVE {TRADE_EDGES}, walk AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
+reach(id, other) AS (SELECT a, b FROM walk UNION SELECT id, b FROM reach JOIN walk ON other = a)
+SELECT id, least(id, min(other)) AS component FROM reach GROUP BY id"""
+)
+def components_trade(spark, d):
+    return components.components(trade_walks(spark, d).edges())
+
+
+@query("SELECT 'customer:' || c_custkey AS id, 'customer:' || c_custkey AS component FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey FROM orders")
+def components_orders(spark, d):
+    """A star for every customer with orders."""
+    return components.components(commerce_walks(spark, d).edges().where("kind = 'calls'"))
+
+
 @query("SELECT event_id, CASE WHEN b || ',' || c || ',' || a < a || ',' || b || ',' || c AND b || ',' || c || ',' || a <= c || ',' || a || ',' || b THEN b || ',' || c || ',' || a WHEN c || ',' || a || ',' || b < a || ',' || b || ',' || c THEN c || ',' || a || ',' || b ELSE a || ',' || b || ',' || c END AS canonical FROM (SELECT event_id, event_type AS a, 'k' || user_id % 10 AS b, 'z' || event_id % 7 AS c FROM events)")
 def canonical_rotation(spark, d):
     events = views.table(spark, d, "events").select("event_id", F.array("event_type", F.concat(F.lit("k"), F.col("user_id") % 10), F.concat(F.lit("z"), F.col("event_id") % 7)).alias("path"))
@@ -355,7 +402,7 @@ best AS (SELECT id, entry, depth FROM (SELECT id, entry, min(depth) AS depth, ro
 SELECT n.id, n.name, best.entry, best.depth FROM best JOIN nodes n USING (id) WHERE n.id NOT IN (SELECT id FROM entry) ORDER BY entry, depth, id LIMIT 9"""
 )
 def context_expand(spark, d):
-    nodes, edges = trade(spark, d)
+    nodes, edges = views.trade_nodes(spark, d), trade_walks(spark, d)
     entries = spark.createDataFrame([("1", 0), ("7", 1)], "id string, entry int")
     return traversal.expand(nodes, edges, entries, 9).select("id", "name", "entry", "depth")
 
@@ -387,17 +434,6 @@ def search_like_wildcard(spark, d):
     return search.by_like(views.commerce_nodes(spark, d), "_R%000_1", limit=40)
 
 
-STORED: dict[tuple[str, str, str], object] = {}
-
-
-def stored(spark, d: str, name: str, build: Callable[[], object]):
-    """What an application's queries on one folder share: an index is built by the first that needs it."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in STORED:
-        STORED[key] = build()
-    return STORED[key]
-
-
 def text_index(spark, d) -> TextIndex:
     """The names and texts of all documents, in the shared folder."""
     return stored(spark, d, "text", lambda: TextIndex.build(views.text_nodes(spark, d), f"{shared_folder(spark)}-text", search.TEXT_COLUMNS))

@@ -6,6 +6,8 @@ the tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,25 @@ def _key(kind: str, column: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
 
 
-def commerce_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, kind, name, file_path): regions, nations, customers, suppliers, parts, orders; file_path is what they belong to."""
+def _only(df: DataFrame, kind: str, column: str, node_id: str | None) -> DataFrame | None:
+    """Rows whose vertex of a kind is ``node_id``, by the bare key, which the scan can filter; None if it is of another kind."""
+    if node_id is None:
+        return df
+    its_kind, _, key = node_id.partition(":")
+    return df.where(F.col(column) == F.lit(key).cast(df.schema[column].dataType)) if its_kind == kind else None
+
+
+def _whole(parts: list[DataFrame | None], empty: str, spark: SparkSession) -> DataFrame:
+    some = [p for p in parts if p is not None]
+    return reduce(DataFrame.unionAll, some) if some else spark.createDataFrame([], empty)
+
+
+def commerce_nodes(spark: SparkSession, sf_dir: str, node_id: str | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """(id, kind, name, file_path): regions, nations, customers, suppliers, parts, orders; file_path is what they belong to.
+
+    With ``node_id`` only the table of its kind is read, and of it only row groups that may hold the key; with ``kinds`` only
+    the tables of these.
+    """
     plan = [
         ("region", "region", "r_regionkey", F.col("r_name"), F.lit("world")),
         ("nation", "nation", "n_nationkey", F.col("n_name"), _key("region", "n_regionkey")),
@@ -28,28 +47,37 @@ def commerce_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("part", "part", "p_partkey", F.col("p_name"), F.col("p_brand")),
         ("orders", "order", "o_orderkey", F.col("o_orderpriority"), _key("customer", "o_custkey")),
     ]
-    out = None
+    parts = []
     for source, kind, key, name, group in plan:
-        one = table(spark, sf_dir, source).select(_key(kind, key).alias("id"), F.lit(kind).alias("kind"), name.alias("name"), group.alias("file_path"))
-        out = one if out is None else out.unionAll(one)
-    return out
+        if not kinds or kind in kinds:
+            rows = _only(table(spark, sf_dir, source), kind, key, node_id)
+            parts.append(None if rows is None else rows.select(_key(kind, key).alias("id"), F.lit(kind).alias("kind"), name.alias("name"), group.alias("file_path")))
+    return _whole(parts, "id string, kind string, name string, file_path string", spark)
 
 
-def commerce_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def commerce_edges(spark: SparkSession, sf_dir: str, source: str | None = None, target: str | None = None) -> DataFrame:
     """(source, target, kind, line): containment, customers' orders (calls), the parts of orders (imports, one for each
-    line item, so they repeat), and the suppliers of parts (extends)."""
+    line item, so they repeat), and the suppliers of parts (extends).  With an end given, only the tables that have edges of
+    its kind are read, filtered by its key."""
     none = F.lit(None).cast("int")
     get = lambda name: table(spark, sf_dir, name)
-    edge = lambda df, a, b, kind, line=none: df.select(a.alias("source"), b.alias("target"), F.lit(kind).alias("kind"), line.alias("line"))
     items = get("lineitem")
-    return (
-        edge(get("nation"), _key("region", "n_regionkey"), _key("nation", "n_nationkey"), "contains")
-        .unionAll(edge(get("customer"), _key("nation", "c_nationkey"), _key("customer", "c_custkey"), "contains"))
-        .unionAll(edge(get("supplier"), _key("nation", "s_nationkey"), _key("supplier", "s_suppkey"), "contains"))
-        .unionAll(edge(get("orders"), _key("customer", "o_custkey"), _key("order", "o_orderkey"), "calls"))
-        .unionAll(edge(items, _key("order", "l_orderkey"), _key("part", "l_partkey"), "imports", F.col("l_linenumber")))
-        .unionAll(edge(items.select("l_partkey", "l_suppkey").distinct(), _key("part", "l_partkey"), _key("supplier", "l_suppkey"), "extends"))
-    )
+    plan = [
+        (get("nation"), ("region", "n_regionkey"), ("nation", "n_nationkey"), "contains", none),
+        (get("customer"), ("nation", "c_nationkey"), ("customer", "c_custkey"), "contains", none),
+        (get("supplier"), ("nation", "s_nationkey"), ("supplier", "s_suppkey"), "contains", none),
+        (get("orders"), ("customer", "o_custkey"), ("order", "o_orderkey"), "calls", none),
+        (items, ("order", "l_orderkey"), ("part", "l_partkey"), "imports", F.col("l_linenumber")),
+        (items, ("part", "l_partkey"), ("supplier", "l_suppkey"), "extends", none),
+    ]
+    parts = []
+    for rows, a, b, kind, line in plan:
+        rows = _only(rows, *a, source)
+        rows = _only(rows, *b, target) if rows is not None else None
+        if rows is not None and kind == "extends":
+            rows = rows.select(a[1], b[1]).distinct()
+        parts.append(None if rows is None else rows.select(_key(*a).alias("source"), _key(*b).alias("target"), F.lit(kind).alias("kind"), line.alias("line")))
+    return _whole(parts, "source string, target string, kind string, line int", spark)
 
 
 def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,3 +31,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}-{label}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that the driver may hold between two rounds instead of a table.
+FEW = 1000
+
+
+def kept(df: DataFrame, label: str, few: bool) -> tuple[DataFrame, list | None]:
+    """``df`` cut off from its lineage, and its rows if there are few.
+
+    Where the caller expects few, for instance behind a small table, ``df`` is asked for a few rows more than that: if it has
+    no more, they are all, and nothing is written.  Otherwise it is a table in the shared folder.
+    """
+    if few:
+        rows = df.limit(FEW + 1).collect()
+        if len(rows) <= FEW:
+            return df.sparkSession.createDataFrame(rows, df.schema), rows
+    df = written(df, label)
+    rows = df.limit(FEW + 1).collect()
+    return df, rows if len(rows) <= FEW else None
