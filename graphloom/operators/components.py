@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from graphloom.storage import kept
 
 
-def _mark(pairs: DataFrame) -> tuple:
-    """Number of rows and a sum of their hashes: what tells whether a round changed anything."""
+def _mark(pairs: DataFrame, rows: list | None) -> object:
+    """What tells whether a round changed anything: the rows if there are few, else their number and a sum of their hashes."""
+    if rows is not None:
+        return frozenset(rows)
     row = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*pairs.columns).cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]
 
@@ -34,16 +36,16 @@ def components(pairs: DataFrame, most: int = 100) -> DataFrame:
         # Smaller neighbours of a vertex, and itself, to the smallest of them.
         least = large.groupBy("v").agg(F.min("m").alias("_m"))
         small = large.join(least, "v").where("m <> _m").select(F.col("m").alias("v"), F.col("_m").alias("m"))
-        links = kept(small.unionByName(least.select("v", F.col("_m").alias("m"))).distinct(), "links", few)[0]
-        now = _mark(links)
+        links, rows = kept(small.unionByName(least.select("v", F.col("_m").alias("m"))).distinct(), "links", few)
+        now = _mark(links, rows)
         if now == before:
             return loops.join(links, F.col("id") == F.col("v"), "left").select("id", F.coalesce("m", "id").alias("component"))
         before = now
     raise RuntimeError(f"components are not settled after {most} rounds")
 
 
-def trimmed(pairs: DataFrame, few: bool = False) -> DataFrame:
-    """Without vertices that lack edges in or out, which no cycle passes, until there is none."""
+def trimmed(pairs: DataFrame, few: bool = False) -> tuple[DataFrame, int]:
+    """Edges without vertices that lack edges in or out, which no cycle passes, until there is none; and their number."""
     before = None
     while True:
         ins = pairs.select(F.col("target").alias("source")).distinct()
@@ -51,7 +53,7 @@ def trimmed(pairs: DataFrame, few: bool = False) -> DataFrame:
         pairs, rows = kept(pairs.join(ins, "source", "left_semi").join(outs, "target", "left_semi"), "trimmed", few)
         now = pairs.count() if rows is None else len(rows)
         if now in (0, before):
-            return pairs
+            return pairs, now
         before = now
 
 
@@ -68,15 +70,15 @@ def strong_components(pairs: DataFrame) -> DataFrame:
     keep = lambda df, label: kept(df, label, few)
     done = None
     while True:
-        left = trimmed(left, few)
-        if left.isEmpty():
+        left, n = trimmed(left, few)
+        if not n:
             break
         colour = keep(left.select(F.col("source").alias("id")).distinct().select("id", F.col("id").alias("colour")), "colours")[0]
         before = None
         while True:
             sent = left.join(colour, F.col("source") == F.col("id")).select(F.col("target").alias("id"), "colour")
-            colour = keep(colour.unionByName(sent).groupBy("id").agg(F.max("colour").alias("colour")), "colours")[0]
-            now = _mark(colour)
+            colour, rows = keep(colour.unionByName(sent).groupBy("id").agg(F.max("colour").alias("colour")), "colours")
+            now = _mark(colour, rows)
             if now == before:
                 break
             before = now
@@ -92,7 +94,7 @@ def strong_components(pairs: DataFrame) -> DataFrame:
             found = found.unionByName(level)
         done = found if done is None else done.unionByName(found)
         gone = found.select("id")
-        left = left.join(gone, F.col("source") == F.col("id"), "left_anti").join(gone, F.col("target") == F.col("id"), "left_anti")
+        left = keep(left.join(gone, F.col("source") == F.col("id"), "left_anti").join(gone, F.col("target") == F.col("id"), "left_anti"), "left")[0]
     if done is None:
         return pairs.select(F.col("source").alias("id"), F.col("source").alias("component")).limit(0)
     sized = done.groupBy("colour").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")

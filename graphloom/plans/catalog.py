@@ -17,7 +17,7 @@ from graphloom.operators.adjacency import Adjacency
 from graphloom.operators.textindex import TextIndex
 from graphloom.operators.vectorindex import VectorIndex
 from graphloom.sources import views
-from graphloom.storage import shared_folder, written
+from graphloom.storage import shared_folder
 from graphloom.streaming.debounce import session_bursts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,8 +80,7 @@ def commerce(spark, d):
 
 
 def trade(spark, d):
-    """The edges are written first: operators that work in rounds read them again and again."""
-    return views.trade_nodes(spark, d), written(views.trade_edges(spark, d), "trade")
+    return views.trade_nodes(spark, d), trade_walks(spark, d).edges()
 
 
 STORED: dict[tuple[str, str, str], object] = {}
@@ -152,7 +151,7 @@ def callees(spark, d):
 
 @query(f"WITH {TRADE_NODES}, {TRADE_EDGES} SELECT DISTINCT a.file_path AS source_file, b.file_path AS target_file FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE a.file_path <> b.file_path")
 def import_graph(spark, d):
-    return reads.import_graph(*trade(spark, d))
+    return reads.import_graph(views.trade_nodes(spark, d), trade_walks(spark, d).edges())
 
 
 @query(
@@ -345,7 +344,7 @@ SELECT array_to_string(path, '>') AS cycle, len(path) AS length FROM p JOIN e ON
 
 @query(_cycles_sql(TRADE_EDGES, 50))
 def cycles_trade(spark, d):
-    return cycles.simple_cycles(views.trade_edges(spark, d)).select(F.array_join("path", ">").alias("cycle"), F.col("length").cast("long").alias("length"))
+    return cycles.simple_cycles(trade_walks(spark, d).edges()).select(F.array_join("path", ">").alias("cycle"), F.col("length").cast("long").alias("length"))
 
 
 @query(_cycles_sql(SESSION_EDGES, 50))

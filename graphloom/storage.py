@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +40,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
 FEW = 1000
 
 
+def literal_rows(spark: SparkSession, rows: list[Row], schema: StructType) -> DataFrame:
+    """A few rows as a literal of one partition: joins and groups of such tables need no shuffle, and Catalyst knows that they are
+    small.  Columns are texts, numbers and arrays of these."""
+    said = json.dumps([r.asDict(recursive=True) for r in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(said), ArrayType(schema))))
+
+
 def kept(df: DataFrame, label: str, few: bool) -> tuple[DataFrame, list | None]:
     """``df`` cut off from its lineage, and its rows if there are few.
 
@@ -46,7 +56,7 @@ def kept(df: DataFrame, label: str, few: bool) -> tuple[DataFrame, list | None]:
     if few:
         rows = df.limit(FEW + 1).collect()
         if len(rows) <= FEW:
-            return df.sparkSession.createDataFrame(rows, df.schema), rows
+            return literal_rows(df.sparkSession, rows, df.schema), rows
     df = written(df, label)
     rows = df.limit(FEW + 1).collect()
     return df, rows if len(rows) <= FEW else None
