@@ -35,8 +35,12 @@ def logged_events(spark: SparkSession, folder: str, exclude: tuple[str, ...] = E
 
 
 def bursts(events: DataFrame, quiet: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
-    """Debounced in event time: one row for changes that follow each other within ``quiet``."""
-    return session_bursts(events.withColumn("key", F.lit("tree")), quiet, ["key"], "ts", late)
+    """Debounced in event time: one row for changes of a top folder that follow each other within ``quiet``.
+
+    Folders are keys of their own, so a busy tree is no single group; ``on_change`` acts once for all bursts that end together.
+    """
+    folder = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1)).otherwise("")
+    return session_bursts(events.withColumn("key", folder), quiet, ["key"], "ts", late)
 
 
 def on_change(events: DataFrame, act: Callable[[], object], every: str = "2 seconds", checkpoint: str | None = None) -> StreamingQuery:

@@ -5,6 +5,7 @@ import json
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom import tools
 from graphloom.functions import paths
@@ -247,6 +248,12 @@ def test_streamed_bursts_equal_batch(spark, tmp_path):
     assert sorted(r["n_events"] for r in spark.table("bursts").collect()) == [1, 2, 3]
 
 
+def test_bursts_are_told_by_folder(spark):
+    rows = [("a/x.ts", 0), ("a/b/y.ts", 1), ("c/z.ts", 1), ("a/x.ts", 9), ("r.ts", 9), ("s.ts", 10)]
+    events = spark.createDataFrame([(p, "modified", f"2024-01-01 00:00:{t:02d}") for p, t in rows], "path string, event string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted((r["key"], r["n_events"]) for r in watch.bursts(events, "3 seconds").collect()) == [("", 2), ("a", 1), ("a", 2), ("c", 1)]
+
+
 def test_changes_call_back(spark, tmp_path):
     folder = tmp_path / "log"
     folder.mkdir()
