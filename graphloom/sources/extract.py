@@ -314,6 +314,9 @@ RUBY_MESSAGE = re.compile(r"(?<=\.)(?<!\.\.)([A-Za-z_]\w*(?:[?!]|(?!\w|[ \t]*\()
 BLOCK_KINDS = ("class", "interface", "enum", "impl")
 
 
+SPACE = re.compile(r"\s*")
+
+
 class Places:
     def __init__(self, text: str):
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
@@ -348,6 +351,23 @@ class Braces:
         return self.close.get(at, max(at, self.length - 1))
 
 
+class Around:
+    """The last-begun of some intervals (begin, end, value) that hold a place; places are asked for in ascending order.
+
+    One sweep: an interval that is over is dropped from the top of a stack and never looked at again.
+    """
+
+    def __init__(self, intervals: list[tuple[int, int, object]]):
+        self.waiting, self.open = sorted(intervals, key=lambda x: -x[0]), []
+
+    def __call__(self, place: int) -> object | None:
+        while self.waiting and self.waiting[-1][0] < place:
+            self.open.append(self.waiting.pop())
+        while self.open and self.open[-1][1] < place:
+            self.open.pop()
+        return self.open[-1][2] if self.open else None
+
+
 def blank(text: str, line: str, block: tuple[str, str] | None, quotes: str) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with comments and the insides of strings as spaces, and the comments as (start, end, text); ``line`` is the
     pattern that opens a line comment."""
@@ -441,14 +461,16 @@ def _scan(out: Extraction, text: str) -> None:
     found.sort(key=lambda f: f[0])
     blocks = [f for f in found if f[3] in BLOCK_KINDS]
     owners: list[tuple[int, int, str]] = []
+    calling_lines = {at.line(f[0]) for f in found if f[3] in ("arrow", "function")}
+    block_around = Around([(b[2], b[1], b) for b in blocks if b[3] != "enum"])
+    call_around = Around([(f[0], f[1] - 1, f) for f in found if f[3] in ("function", "method", "arrow")])
     for start, end, body, kind, name, m in found:
-        if kind == "variable" and any(k in ("arrow", "function") and at.line(s) == at.line(start) for s, _, _, k, _, _ in found):
+        around, inner = block_around(start), call_around(start) is not None
+        if kind == "variable" and at.line(start) in calling_lines:
             continue
-        around = [b for b in blocks if b[2] < start <= b[1] and b[3] != "enum"]
         mods = m.groupdict().get("mods") or ""
         head = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
-        owner = m.groupdict().get("owner") or (around[-1][4] if around else None)
-        inner = any(s < start and start < e and k in ("function", "method", "arrow") for s, e, _, k, _, _ in found)
+        owner = m.groupdict().get("owner") or (around[4] if around else None)
         node_kind = {"arrow": "function", "impl": "class", "typedef": "class"}.get(kind, kind)
         if kind in ("function", "arrow") and owner and kind == "function" and not inner:
             node_kind = "method"
@@ -478,8 +500,9 @@ def _scan(out: Extraction, text: str) -> None:
             inside = plain[body + 1 : end].split(";")[0]
             for e in re.finditer(rf"(?:^|,)\s*(?:\[[^\]]*\]\s*|#\[[^\]]*\]\s*)*({_ID})", inside):
                 out.add("enum_member", e[1], at.line(body + 1 + e.start(1)), at.line(body + 1 + e.end(1)), qualified_name=f"{name}.{e[1]}", start_column=at.column(body + 1 + e.start(1)))
+    made = {o[0]: o[2] for o in reversed(owners)}
     for start, end, body, kind, name, m in blocks:
-        i = next(o for s, _, o in owners if s == start)
+        i = made[start]
         line = at.line(start)
         bases = m.groupdict().get("bases") or ""
         if out.language in ("csharp", "cpp"):
@@ -500,9 +523,7 @@ def _scan(out: Extraction, text: str) -> None:
     if grammar.arrow:
         anonymous = {"=>": rf"(?:\([^()]*\)|{_ID})\s*(?::[^=\n(){{}}]+)?=>", "->": rf"(?:\([^()]*\)|{_ID})\s*->", "func(": r"(?<=[^\n])\bfunc\s*\(", "[](": r"\[[^\]\n]*\]\s*\(", "|": r"(?<=[(,={;>])\s*(?:move\s+)?\|[^|;{}]*\|"}[grammar.arrow]
         for m in re.finditer(anonymous, plain):
-            tail = plain[m.end() :]
-            skipped = len(tail) - len(tail.lstrip())
-            opening = m.end() + skipped
+            opening = SPACE.match(plain, m.end()).end()
             if grammar.arrow in ("func(", "[]("):
                 opening = plain.find("{", m.end())
                 if opening < 0:
@@ -520,11 +541,11 @@ def _scan(out: Extraction, text: str) -> None:
             line = at.line(start)
             owners.append((start, end, out.add("function", f"anonymous_at_line_{line}", line, at.line(end), start_column=at.column(start))))
     defined = {f[0] for f in found}
+    owner_of = Around(owners)
     for m in CALL.finditer(plain):
+        source = owner_of(m.start()) or out.file_id
         if m["name"] in NOT_CALLS or m.start("name") in defined or re.search(r"\b(?:func|function|def|fun|fn)\s+$", plain[max(0, m.start() - 12) : m.start()]):
             continue
-        inside = [o for o in owners if o[0] < m.start() <= o[1]]
-        source = min(inside, key=lambda o: o[1] - o[0])[2] if inside else out.file_id
         if m["name"] == "require":
             spec = re.match(r"""\s*['"]([^'"]+)['"]""", text[m.end() :])
             if spec and spec[1].endswith(BINARY):
@@ -536,10 +557,11 @@ def _scan(out: Extraction, text: str) -> None:
         calls = {m.start(1): m[1] for m in RUBY_COMMAND.finditer(plain) if m[1] not in RUBY_WORDS and m[1] not in NOT_CALLS}
         calls |= {m.start(1): m[1] for m in RUBY_MESSAGE.finditer(plain) if m[1] not in NOT_CALLS}
         calls |= {m.start(1): m[1] for m in re.finditer(r"(?m)(?<![\w.:@])([a-z_]\w*[?!]?)[ \t]*$", plain) if m[1] in own}
+        owner_of = Around(owners)
         for start, name in sorted(calls.items()):
+            source = owner_of(start) or out.file_id
             if start not in defined and not re.search(r"\bdef\s+(?:\w+\.)?$", plain[max(0, start - 80) : start]):
-                inside = [o for o in owners if o[0] < start <= o[1]]
-                out.ref(min(inside, key=lambda o: o[1] - o[0])[2] if inside else out.file_id, name, "function", at.line(start), at.column(start))
+                out.ref(source, name, "function", at.line(start), at.column(start))
     for a, b, body in comments:
         _comment(out, body, at.line(a), at.line(b))
     _imports(out, text, plain, at)

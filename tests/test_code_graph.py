@@ -79,6 +79,17 @@ def test_rust_closures():
     assert [x["name"] for x in out.nodes if x["kind"] == "function"] == ["run", "anonymous_at_line_2", "anonymous_at_line_3"]
 
 
+def test_time_follows_the_number_of_definitions():
+    def seconds(n):
+        text = "class A {\n" + "".join(f"  m{i}() {{ return this.m{i - 1}(); }}\n" for i in range(n)) + "}\n"
+        began = time.process_time()
+        out = extract("a.ts", text, "typescript")
+        assert len(out.refs) == n - 1 and out.refs[-1]["source_id"].split(":")[-2].endswith(f"m{n - 1}")
+        return time.process_time() - began
+
+    assert seconds(8000) < 12 * seconds(1000) + 0.5
+
+
 def test_one_writer_at_a_time(spark, tmp_path):
     (tmp_path / "a.py").write_text("def go():\n    pass\n")
     graph = CodeGraph.init(spark, str(tmp_path))
