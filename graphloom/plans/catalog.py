@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths, text, vectors
-from graphloom.operators import components, cycles, reads, resolve, search, sync, traversal
+from graphloom.operators import components, cycles, measure, reads, resolve, search, sync, traversal
 from graphloom.operators.adjacency import Adjacency
 from graphloom.operators.textindex import TextIndex
 from graphloom.operators.vectorindex import VectorIndex
@@ -458,6 +458,20 @@ def search_fts_phrase(spark, d):
     return search.by_text(views.text_nodes(spark, d), "of_the un", languages=("en", "de"), limit=None, index=text_index(spark, d)).select("id", "language")
 
 
+_MEASURED = {"ther": [" ther"], "the AND (erth) onnt": [" the ", " erth ", " onnt"], "of_the un": [" of the ", " un"]}
+
+
+@query(
+    f"WITH {TEXT_NODES} "
+    + " UNION ALL ".join(f"SELECT '{q}' AS query, count(*) AS rows, count(DISTINCT file_path) AS files FROM nodes WHERE {_fts_sql(terms)}" for q, terms in _MEASURED.items())
+)
+def measured_searches(spark, d):
+    """Rows and distinct sources of three searches, told by the runs themselves."""
+    nodes, index = views.text_nodes(spark, d), text_index(spark, d)
+    found, _ = measure.profile({q: (lambda q=q: search.by_text(nodes, q, limit=None, index=index)) for q in _MEASURED})
+    return spark.createDataFrame([(m.query, m.rows, m.files) for m in found], "query string, rows long, files long")
+
+
 @query(f"WITH {TEXT_NODES} SELECT DISTINCT id FROM nodes WHERE {_fts_sql([' the ', ' erth ', ' onnt'])}")
 def search_fts_postings(spark, d):
     """The same terms in an index that came about by changes: two thirds of the documents, a third of them under the text of

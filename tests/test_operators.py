@@ -154,3 +154,12 @@ def test_full_text_folds_accents_and_keeps_tokens_whole(spark):
     found = lambda query: [r[0] for r in df.where(matches_terms([F.col("text"), F.lit("x")], query)).orderBy("id").collect()]
     assert found("café noir") == [1, 3, 6] and found("cafe_noir") == [1, 3] and found("caf") == [1, 2, 3, 4, 6] and found("x") == [1, 2, 3, 4, 5, 6, 7]
     assert found("noir cafe") == [1, 4, 6] and found("AND (") == []
+
+
+def test_measured_queries(spark):
+    from graphloom.operators import measure
+
+    nodes = spark.createDataFrame([(str(i), f"f{i % 3}.ts") for i in range(10)], "id string, file_path string").repartition(3)
+    found, mean = measure.profile({"all": lambda: nodes, "some": lambda: nodes.where("id < '3'").orderBy("id").limit(2), "none": lambda: nodes.limit(0)}, repeat=2)
+    assert [(m.query, m.rows, m.files) for m in found] == [("all", 10, 3), ("some", 2, 2), ("none", 0, 0)]
+    assert mean > 0 and all(m.millis > 0 for m in found) and measure.measured("about", lambda: nodes, exact=False).files == 3
