@@ -7,6 +7,8 @@ import sys
 from collections.abc import Callable
 from typing import IO
 
+from pyspark.sql import functions as F
+
 from graphloom.graph import CodeGraph, OpenGraphs
 from graphloom.operators.context import truncated
 from graphloom.schemas import BUDGETS
@@ -58,11 +60,30 @@ def _context(graph: CodeGraph, args: dict) -> str:
     return "\n".join(parts)
 
 
+#: Rows of a list that may be long.
+SHOWN_ROWS = 100
+
+
 def _path(graph: CodeGraph, args: dict) -> str:
+    """The path, and the edges that touch its nodes beside it."""
     rows = graph.find_path(_symbol(graph, args, "from"), _symbol(graph, args, "to")).collect()
     if not rows:
         return "no path"
-    return "\n".join(("" if r["via"] is None else f"-[{r['via']}]-> ") + _line(r) for r in rows) + f"\n{len(rows) - 1} edges"
+    ids = [r["id"] for r in rows]
+    on_path = F.lit(False)
+    for x, y in zip(ids, ids[1:]):
+        on_path = on_path | ((F.col("source") == x) & (F.col("target") == y))
+    around = graph.edges.where((F.col("source").isin(*ids) | F.col("target").isin(*ids)) & ~on_path).select("source", "kind", "target").distinct()
+    total = around.count()
+    beside = [f"{r['source']} -[{r['kind']}]-> {r['target']}" for r in around.orderBy("source", "target", "kind").limit(SHOWN_ROWS).collect()]
+    path = "\n".join(("" if r["via"] is None else f"-[{r['via']}]-> ") + _line(r) for r in rows) + f"\n{len(rows) - 1} edges"
+    return "\n".join([path, *([f"\nbeside it: {total}", *beside] if beside else []), *([f"... and {total - SHOWN_ROWS} more"] if total > SHOWN_ROWS else [])])
+
+
+def _cycles(graph: CodeGraph, args: dict) -> str:
+    rows = graph.circular_dependencies().orderBy("length", "path").limit(SHOWN_ROWS + 1).collect()
+    lines = [" -> ".join([*r["path"], r["path"][0]]) for r in rows[:SHOWN_ROWS]]
+    return "\n".join([*lines, *(["... and more"] if len(rows) > SHOWN_ROWS else [])]) or "no cycles"
 
 
 def _impact(graph: CodeGraph, args: dict) -> str:
@@ -82,7 +103,7 @@ TOOLS: dict[str, Callable[[CodeGraph, dict], str]] = {
     "node": _node,
     "status": _status,
     "dead_code": lambda g, a: _lines(g.dead_code(clamp(a.get("limit"), 20)), "no dead code"),
-    "cycles": lambda g, a: "\n".join(" -> ".join([*r["path"], r["path"][0]]) for r in g.circular_dependencies().orderBy("length", "path").collect()) or "no cycles",
+    "cycles": _cycles,
     "path": _path,
     "explore": lambda g, a: g.explore(a["query"], a.get("budget", "medium") if a.get("budget", "medium") in BUDGETS else "medium"),
 }

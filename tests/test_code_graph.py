@@ -222,6 +222,8 @@ def test_tools(tree):
     for tool, args in {"search": {"query": "add"}, "signature_search": {"query": "-> number"}, "context": {"task": "add numbers in main"}, "callers": {"symbol": "add"}, "callees": {"symbol": "main"}, "impact": {"symbol": "add"}, "node": {"symbol": "Dog", "includeCode": True}, "status": {}, "dead_code": {}, "cycles": {}, "path": {"from": "main", "to": "add"}, "explore": {"query": "add", "budget": "small"}}.items():
         assert not tools.call(graph, tool, args).startswith("Error"), tool
     assert tools.call(graph, "nope", {}).startswith("Error")
+    told = tools.call(graph, "path", {"from": "unused", "to": "main"})
+    assert "function:main.ts:main:2 -[calls]-> function:lib/math.ts:add:1" in told and "1 edges" in told and "unused:3 -[calls]->" not in told
     out = io.StringIO()
     lines = [json.dumps({"jsonrpc": "2.0", "id": i, "method": m, "params": p}) for i, (m, p) in enumerate([("initialize", {}), ("tools/list", {}), ("tools/call", {"name": "cycles", "arguments": {}}), ("huh", {})])]
     tools.serve(OpenGraphs(graph.spark), str(root), [*lines, "not json", ""], out)
