@@ -89,7 +89,7 @@ def round_bucket(rows: list[list], last: bool) -> list[list]:
     that it has come to.  So every row's mean stays what it was, and a source misses its target by less than the words of
     that one row, which is small where small rows are left to make larger ones whole.
     """
-    out = [settled(r, float(r[2] <= 0 and r[9] < r[6])) for r in rows if r[6] <= 0 or r[2] <= 0]
+    out = [settled(r, 0.0) for r in rows if r[6] <= 0 or r[2] <= 0]
     rows = [r for r in rows if r[6] > 0 and r[2] > 0]
     sizes, q = np.array([r[2] for r in rows], float), np.array([r[6] for r in rows], float)
     at = 0
@@ -151,7 +151,7 @@ def _round(last: bool):
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, fan: int = 256, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """One row per row of ``docs``: id, source, size, source_size, target (of the source), copies, taken = copies * size.
 
-    Sizes are words; null and empty texts have none and nothing of them is taken.  Null sources are a source.  All draws
+    Sizes are words; null and empty texts have none and get no copy.  Null sources are a source.  All draws
     are hashes of ids, and buckets are dealt by hash, so neither partitions nor lost tasks change the result; rows that
     repeat id, source and size are interchangeable.  Buckets trade from the largest document to the smallest, so the one that
     stays open tends to be small.  A source of any size is dealt into buckets of about ``fan`` rows.
@@ -184,4 +184,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = done[0]
     for more in done[1:]:
         whole = whole.unionByName(more)
+    whole = whole.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0))
     return whole.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -144,5 +144,5 @@ def test_deep_tree(spark):
 def test_awkward_rows(awkward, nothing):
     out = mixing.mix(awkward)
     rows = out.collect()
-    assert len(rows) == awkward.count() and all(r["size"] == 0 and r["taken"] == 0 for r in rows if r["doc_id"] in (2, 3, 4))
+    assert len(rows) == awkward.count() and all(r["size"] == r["taken"] == r["copies"] == 0 for r in rows if r["doc_id"] in (2, 3, 4))
     assert mixing.mix(nothing).count() == 0
