@@ -23,6 +23,7 @@ def test_against_brute_force(spark):
         lines = ["menu", f"own {i}", f"own {i}"] + (["rare"] if i % 20 == 0 else []) + (["half"] if i % 2 else [])
         rows.append((i, f"{host}{i}", page(*lines), "q", "q"))
     rows += [(100, None, None, "q", "q"), (101, "nohost", "", "q", "q"), (None, "http://hot.example/n", page("menu"), "q", "q"), (1, rows[1][1], rows[1][2], "q", "q")]
+    rows += [(200, "http://hot.example/long", page(*[f"line {i % 20_000}" for i in range(40_000)], "menu"), "q", "q")]  # a very long page
     out = linefreq.drop_site_boilerplate(pages(spark, rows), ratio=0.2, least_pages=3).collect()
     host = lambda u: (u or "").split("://")[-1].split("/")[0].lower() if "://" in (u or "") else ""
     lines = lambda h: [x.split("</p>")[0] for x in (h or "").replace("'<p>'", "").replace("<!-- <p>no</p> -->", "").split("<p>")[1:]]
