@@ -57,6 +57,7 @@ def _look_alikes() -> dict[str, str]:
 
 
 FOLD = _look_alikes()
+FOLDS = str.maketrans(FOLD)
 FOLDED = re.compile("[" + "".join(map(re.escape, FOLD)) + "]")
 
 
@@ -90,15 +91,22 @@ class Base64Token:
     """Maps characters of a decoded token to the base64 digits that carry their bytes; ``runs`` are (digit, its place)."""
 
     def __init__(self, runs: list[tuple[int, int]], phase: int, text: str, codec: str):
-        self.runs, self.phase = runs, phase
-        self.bytes_before = None
-        if codec != "utf-8" or not text.isascii():
+        self.runs, self.phase, self.text, self.codec = runs, phase, text, codec
+        self.plain = codec == "utf-8" and text.isascii()
+        self.bytes_before: list[int] | None = None
+
+    def _bytes(self, place: int) -> int:
+        """How many bytes are before a character; counted when a span asks first, since few layers hold one."""
+        if self.plain:
+            return place
+        if self.bytes_before is None:
             self.bytes_before = [0]
-            for c in text:
-                self.bytes_before.append(self.bytes_before[-1] + len(c.encode(codec, "surrogateescape" if codec == "utf-8" else "surrogatepass")))
+            for c in self.text:
+                self.bytes_before.append(self.bytes_before[-1] + len(c.encode(self.codec, "surrogateescape" if self.codec == "utf-8" else "surrogatepass")))
+        return self.bytes_before[place]
 
     def outer(self, start: int, end: int) -> tuple[int, int]:
-        a, b = (start, end) if self.bytes_before is None else (self.bytes_before[start], self.bytes_before[end])
+        a, b = self._bytes(start), self._bytes(end)
         return _place(self.runs, self.phase + a * 8 // 6), _place(self.runs, self.phase + -(-b * 8 // 6) - 1) + 1
 
 
@@ -107,6 +115,18 @@ def _place(runs: list[tuple[int, int]], digit: int) -> int:
     return at + digit - first
 
 
+class Folded:
+    """Maps a layer without look-alikes to its parent; where these stand is found when a span asks first."""
+
+    def __init__(self, text: str):
+        self.text, self.spliced = text, None
+
+    def outer(self, start: int, end: int) -> tuple[int, int]:
+        if self.spliced is None:
+            self.spliced = _splice(self.text, FOLDED, lambda c: FOLD[c])[1]
+        return self.spliced.outer(start, end)
+
+
 class Packed:
     """Maps everything in a compressed layer to the whole token that held it."""
 
@@ -260,7 +280,7 @@ def scan(text: str | None, most_bytes: int = 1 << 26) -> tuple[list[tuple[str, i
         if "\\" in layer or "&#" in layer:
             children.append(("unicode", _splice(layer, ESCAPE, _unescape)))
         if not layer.isascii() and not FOLD.keys().isdisjoint(set(layer)):
-            children.append(("folded", _splice(layer, FOLDED, lambda c: FOLD[c])))
+            children.append(("folded", (layer.translate(FOLDS), Folded(layer))))
         inner = [(name, made) for name, made in children if made]
         inner += [(name, (plain, mapping)) for name, plain, mapping in _tokens(layer, most_bytes)]
         for name, (plain, mapping) in inner:
