@@ -68,6 +68,18 @@ def test_occurrences_are_shuffled_once(spark):
     assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
 
 
+def test_texts_are_shuffled_and_not_their_tokens(spark, tmp_path, monkeypatch):
+    """Between the texts and the files no row is a single occurrence: a token of a block comes as one row."""
+    seen = []
+    monkeypatch.setattr(textindex, "written", lambda df, label: seen.append(df.localCheckpoint()) or seen[-1])
+    nodes = spark.createDataFrame([(i, "k", None, None, "one two two " * 50, "a", "q", 7) for i in range(40)], SCHEMA)
+    index = TextIndex.build(nodes, str(tmp_path), search.TEXT_COLUMNS)
+    rows = {r["token"]: r for r in seen[0].collect()}
+    assert set(rows) == {"", "one", "two"} and seen[0].count() == 3 and rows[""]["rows"] == list(range(40))
+    assert rows["two"]["ids"] == [i for i in range(40) for _ in range(100)] and len(set(zip(rows["two"]["ids"], rows["two"]["places"]))) == 4000
+    assert ids(index.search("two_one tw")) == list(range(40))
+
+
 def test_changes_and_compaction(spark, tmp_path, small_blocks):
     old, new = texts(spark, 90).cache(), texts(spark, 140, seed=2).cache()
     index = TextIndex.build(old, str(tmp_path), search.TEXT_COLUMNS)
