@@ -6,6 +6,9 @@ by Parquet's statistics.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,29 @@ class Adjacency:
         return out
 
 
+class KeyedEdges(Adjacency):
+    """The same without a copy: ``read(source, target, kinds)`` gives the edges of some kinds, or of all, that leave or enter
+    some vertices; where its tables can be filtered by key a step is a scan of these, and nothing is sorted or shuffled."""
+
+    def __init__(self, spark: SparkSession, read: Callable[[list[str] | None, list[str] | None, tuple[str, ...]], DataFrame]):
+        self.spark, self.read = spark, read
+
+    def edges(self, side: str = "out", kinds: tuple[str, ...] = ()) -> DataFrame:
+        return self.read(None, None, kinds)
+
+    def of(self, node_id: str, direction: str) -> DataFrame:
+        (side,) = WAYS[direction]
+        return self._at(side, [node_id], ())
+
+    def _at(self, side: str, few: list[str] | None, kinds: tuple[str, ...]) -> DataFrame:
+        return self.read(few if side == "out" else None, few if side == "in" else None, kinds)
+
+    def walk(self, direction: str, kinds: tuple[str, ...] | None, few: list[str] | None = None) -> DataFrame:
+        sides = [(ENDS[side], self._at(side, few, kinds or ())) for side in WAYS[direction]]
+        parts = [some.select(F.col(here).alias("_from"), F.col(there).alias("_to"), "source", "target", "kind", "line") for (here, there), some in sides]
+        return reduce(DataFrame.unionByName, parts)
+
+
 def smallest_edge(parent: Column) -> Column:
     """Of the edges between two vertices the smallest, with the vertex that it comes from."""
     return F.min(F.struct(parent.alias("parent"), "kind", "line", "source", "target"))

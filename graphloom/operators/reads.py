@@ -88,11 +88,10 @@ def insert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     return edges.unionByName(fresh, allowMissingColumns=True)
 
 
-def prune_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges both of whose ends exist."""
-    ids = nodes.select("id")
-    for end in ("source", "target"):
-        edges = edges.join(ids, F.col(end) == F.col("id"), "left_semi")
+def prune_dangling(edges: DataFrame, nodes: DataFrame, targets: DataFrame | None = None, ends: tuple[str, str] = ("source", "target")) -> DataFrame:
+    """Edges both of whose ends exist: among ``nodes`` (id), or the second among ``targets`` where these are of another table."""
+    for end, some in zip(ends, (nodes, nodes if targets is None else targets)):
+        edges = edges.join(some.select("id"), F.col(end) == F.col("id"), "left_semi")
     return edges
 
 

@@ -83,7 +83,8 @@ def search(edges: DataFrame | Adjacency, seeds: DataFrame, max_depth: int | None
 def impact_radius(nodes: DataFrame, edges: DataFrame | Adjacency, node_id: str, depth: int = 2, kinds: tuple[str, ...] = IMPACT_KINDS) -> DataFrame:
     """Nodes that depend on a node over at most ``depth`` edges, without itself."""
     reached = search(edges, seeds_of(nodes.sparkSession, [node_id]), depth, "inbound", kinds).where("depth > 0")
-    return nodes.join(reached.select("id"), "id", "left_semi")
+    # A few ids are a literal, so that the nodes are filtered where they are read.
+    return nodes.join(kept(reached.select("id"), True, "reached")[0], "id", "left_semi")
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame | Adjacency, node_id: str, max_depth: int = 2, max_nodes: int = 50, kinds: tuple[str, ...] | None = None, direction: str = "both") -> tuple[DataFrame, DataFrame]:

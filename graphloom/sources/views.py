@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.reads import prune_dangling
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,12 +22,21 @@ def _key(kind: str, column: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
 
 
-def _only(df: DataFrame, kind: str, column: str, node_id: str | None) -> DataFrame | None:
-    """Rows whose vertex of a kind is ``node_id``, by the bare key, which the scan can filter; None if it is of another kind."""
+def _only(df: DataFrame, kind: str, column: str, node_id: str | list[str] | None) -> DataFrame | None:
+    """Rows whose vertex of a kind is ``node_id``, or one of them, by the bare key, which the scan can filter; None if none is
+    of the kind."""
     if node_id is None:
         return df
-    its_kind, _, key = node_id.partition(":")
-    return df.where(F.col(column) == F.lit(key).cast(df.schema[column].dataType)) if its_kind == kind else None
+    split = [x.partition(":") for x in ([node_id] if isinstance(node_id, str) else node_id)]
+    keys = [F.lit(key).try_cast(df.schema[column].dataType) for its_kind, _, key in split if its_kind == kind and str(_number(key)) == key]
+    return df.where(F.col(column).isin(*keys)) if keys else None
+
+
+def _number(key: str) -> int | None:
+    try:
+        return int(key)
+    except ValueError:
+        return None
 
 
 def _whole(parts: list[DataFrame | None], empty: str, spark: SparkSession) -> DataFrame:
@@ -55,10 +66,11 @@ def commerce_nodes(spark: SparkSession, sf_dir: str, node_id: str | None = None,
     return _whole(parts, "id string, kind string, name string, file_path string", spark)
 
 
-def commerce_edges(spark: SparkSession, sf_dir: str, source: str | None = None, target: str | None = None) -> DataFrame:
+def commerce_edges(spark: SparkSession, sf_dir: str, source: str | list[str] | None = None, target: str | list[str] | None = None, kinds: tuple[str, ...] = (), among: dict[str, DataFrame] | None = None) -> DataFrame:
     """(source, target, kind, line): containment, customers' orders (calls), the parts of orders (imports, one for each
-    line item, so they repeat), and the suppliers of parts (extends).  With an end given, only the tables that have edges of
-    its kind are read, filtered by its key."""
+    line item, so they repeat), and the suppliers of parts (extends).  With an end given, or several, only the tables that have edges
+    of its kind are read, filtered by its key; with ``kinds`` only the tables of these.  ``among``: edges whose ends both are
+    among the keys (id) of their kind, joined by the bare keys, which are shorter than ids."""
     none = F.lit(None).cast("int")
     get = lambda name: table(spark, sf_dir, name)
     items = get("lineitem")
@@ -72,14 +84,24 @@ def commerce_edges(spark: SparkSession, sf_dir: str, source: str | None = None,
     ]
     parts = []
     for rows, a, b, kind, line in plan:
-        rows = _only(rows, *a, source)
+        rows = _only(rows, *a, source) if not kinds or kind in kinds else None
         rows = _only(rows, *b, target) if rows is not None else None
+        if rows is not None and among is not None:
+            rows = prune_dangling(rows.select(a[1], b[1], line.alias("_line")), among[a[0]], among[b[0]], (a[1], b[1]))
+            line = F.col("_line")
         if rows is not None and kind == "extends":
             rows = rows.select(a[1], b[1]).distinct()
+            line = none
         parts.append(None if rows is None else rows.select(_key(*a).alias("source"), _key(*b).alias("target"), F.lit(kind).alias("kind"), line.alias("line")))
     return _whole(parts, "source string, target string, kind string, line int", spark)
 
 
+def commerce_keys(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """(id): the bare keys of each kind of node."""
+    keys = {"region": ("region", "r_regionkey"), "nation": ("nation", "n_nationkey"), "customer": ("customer", "c_custkey"), "supplier": ("supplier", "s_suppkey"), "part": ("part", "p_partkey"), "order": ("orders", "o_orderkey")}
+    return {kind: table(spark, sf_dir, name).select(F.col(key).alias("id")) for kind, (name, key) in keys.items()}
+
+
 def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation")
     return nations.select(F.col("n_nationkey").cast("string").alias("id"), F.lit("nation").alias("kind"), F.col("n_name").alias("name"), _key("region", "n_regionkey").alias("file_path"))
