@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.vectors import l2_distance
 from graphloom.sources.manifests import Manifests
 from graphloom.storage import written
 
@@ -23,6 +22,8 @@ from graphloom.storage import written
 SAMPLE_ROWS = 20_000
 MOST_CELLS = 4096
 ROW_GROUP = 4 << 20
+#: Vectors of a cell, and queries, that a task holds at once, and pairs that it compares at once.
+MOST_HELD, MOST_ASKED, TILE = 8192, 32768, 1 << 20
 #: Distances in both precisions differ by less, in parts of the distances at hand.
 SLACK = 1e-6
 
@@ -46,8 +47,37 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7
     return centroids
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, to_cell: np.ndarray, to_centroid: np.ndarray, reach: np.ndarray, k: int, tie: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i of a and j of b that may be among the k nearest or in reach, and their distances: squares added in order, as
+    SQL adds them.  A product of matrices, a little off, tells which pairs are left out for certain."""
+    found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    a2, b2 = (a * a).sum(1), (b * b).sum(1)
+    bound = reach * (1 + SLACK) + SLACK
+    step = max(1, TILE // len(b))
+    for start in range(0, len(a), step):
+        part = slice(start, start + step)
+        off = 1e-9 * (a2[part][:, None] + b2[None] + 1)
+        square = a2[part][:, None] + b2[None] - 2 * a[part] @ b.T
+        least = square - off  # no more than the true square
+        most = bound[part]
+        if len(b) > k:
+            kth = np.partition(square + off, k - 1, axis=1)[:, k - 1]
+            most = np.minimum(most, np.sqrt(np.maximum(kth, 0)) * (1 + SLACK) + tie)
+        # Turned around, so that what is no number is kept.
+        keep = ~(least > (most * most)[:, None]) & ~(np.abs(to_cell[part][:, None] - to_centroid[None]) > (bound[part] + SLACK * to_cell[part])[:, None])
+        i, j = np.nonzero(keep)
+        total = np.zeros(len(i))
+        for x in range(a.shape[1]):
+            gap = a[start + i, x] - b[j, x]
+            total += gap * gap
+        for out, x in zip(found, (start + i, j, np.sqrt(total)), strict=True):
+            out.append(x)
+    return tuple(np.concatenate(x) for x in found)
 
 
 class VectorIndex:
@@ -119,12 +149,35 @@ class VectorIndex:
         kind = queries.schema["query"].dataType.simpleString()
         return queries.mapInArrow(probe, f"query {kind}, embedding array<double>, cell int, to_cell double, reach double")
 
-    def _met(self, probes: DataFrame, digits: int) -> DataFrame:
-        """(query, id, distance) of the probes with the vectors of their cells that may be near enough."""
-        stored = self.spark.read.parquet(f"{self.path}/vectors").withColumnRenamed("embedding", "_stored")
+    def _pairs(self, probes: DataFrame) -> DataFrame:
+        """The probes with the vectors of their cells that may be near enough."""
         near = F.abs(F.col("to_cell") - F.col("to_centroid")) <= F.col("reach") * (1 + SLACK) + SLACK + SLACK * F.col("to_cell")
-        # Distances of vectors nearer than the slack are rounded, so what may round into reach is kept.
-        return probes.join(stored, "cell").where(near).select("query", "id", F.round(l2_distance(F.col("embedding"), F.col("_stored")), digits).alias("distance"))
+        return probes.join(self.spark.read.parquet(f"{self.path}/vectors").drop("embedding"), "cell").where(near)
+
+    def _met(self, probes: DataFrame, k: int, digits: int, asked: int) -> DataFrame:
+        """(query, id, distance) of pairs of a probe and a vector of its cell, the k nearest of each part of a cell among them,
+        unless they are out of reach.
+
+        Cells are cut into parts and queries into slots, both of bounded size; a task compares a part with a slot by matrices.
+        """
+        cells = self.spark.read.parquet(f"{self.path}/cells").select("cell", (1 + F.col("n") / MOST_HELD).cast("int").alias("parts"))
+        slots = 1 + asked // MOST_ASKED
+        parts = F.broadcast(cells)  # at most MOST_CELLS rows
+        held = self.spark.read.parquet(f"{self.path}/vectors").join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+        held = held.select("id", "embedding", "to_centroid", "cell", "part", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+        sent = probes.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        sent = sent.select("query", "embedding", "to_cell", "reach", "cell", "part", F.pmod(F.xxhash64("query"), F.lit(slots)).cast("int").alias("slot"))
+
+        def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+            numbers = lambda t, c: t.column(c).to_numpy().astype(np.float64)
+            i, j, distance = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            if len(left) and len(right):
+                i, j, distance = near_pairs(_matrix(left.column("embedding")), _matrix(right.column("embedding")), numbers(left, "to_cell"), numbers(right, "to_centroid"), numbers(left, "reach"), k, 2 * 10.0**-digits)
+            return pa.table([left.column("query").take(pa.array(i)), right.column("id").take(pa.array(j)), pa.array(distance)], ["query", "id", "distance"])
+
+        key, kinds = ["cell", "part", "slot"], [df.schema[c].dataType.simpleString() for df, c in ((sent, "query"), (held, "id"))]
+        met = sent.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(compare, f"query {kinds[0]}, id {kinds[1]}, distance double")
+        return met.select("query", "id", F.round("distance", digits).alias("distance"))
 
     @staticmethod
     def _best(found: DataFrame, k: int) -> DataFrame:
@@ -139,15 +192,16 @@ class VectorIndex:
         if not len(self.centroids):
             kind = {f.name: f.dataType.simpleString() for f in self.spark.read.parquet(f"{self.path}/vectors").schema}["id"]
             return self.spark.createDataFrame([], f"query {asked.schema['query'].dataType.simpleString()}, place int, id {kind}, distance double")
-        first = written(self._best(self._met(self._probes(asked, k), digits), k), "near")
+        n = asked.count()
+        first = written(self._best(self._met(self._probes(asked, k), k, digits, n), k), "near")
         # Rounded up: the distance of the k-th, or no bound where fewer were found.
         reach = first.where(F.col("place") == k).select("query", (F.col("distance") + 10.0**-digits).alias("reach"))
-        rest = self._met(self._probes(asked.join(reach, "query", "left").select("query", "embedding", "reach"), k), digits)
+        rest = self._met(self._probes(asked.join(reach, "query", "left").select("query", "embedding", "reach"), k), k, digits, n)
         return self._best(first.drop("place").unionByName(rest), k).select("query", "place", "id", "distance")
 
     def compared(self, queries: DataFrame, k: int = 20, digits: int = 6) -> int:
         """How many pairs of a query and a vector are compared in all: for measuring how much the cells rule out."""
         asked = queries.where("embedding is not null").select("query", F.col("embedding").cast("array<double>").alias("embedding"))
-        met = self._met(self._probes(asked, k), digits)
-        reach = self._best(met, k).where(F.col("place") == k).select("query", (F.col("distance") + 10.0**-digits).alias("reach"))
-        return met.count() + self._met(self._probes(asked.join(reach, "query", "left").select("query", "embedding", "reach"), k), digits).count()
+        probes = self._probes(asked, k)
+        reach = self._best(self._met(probes, k, digits, asked.count()), k).where(F.col("place") == k).select("query", (F.col("distance") + 10.0**-digits).alias("reach"))
+        return self._pairs(probes).count() + self._pairs(self._probes(asked.join(reach, "query", "left").select("query", "embedding", "reach"), k)).count()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import search
+from graphloom.operators import search, vectorindex
 from graphloom.operators.vectorindex import VectorIndex, fit_centroids
 
 
@@ -52,6 +52,29 @@ def test_few_and_no_vectors(spark, tmp_path):
     assert VectorIndex.build(vectors.limit(0), str(tmp_path / "b")).search(queries, 10).collect() == []
 
 
+def test_small_parts_slots_and_tiles(spark, tmp_path, monkeypatch):
+    for name, most in (("MOST_HELD", 40), ("MOST_ASKED", 4), ("TILE", 50)):
+        monkeypatch.setattr(vectorindex, name, most)
+    vectors = clustered(spark, 300)
+    queries = vectors.where("id % 60 = 0 and embedding is not null").select(F.col("id").alias("query"), "embedding")
+    got = {tuple(r) for r in VectorIndex.build(vectors, str(tmp_path), 3).search(queries, 7).collect()}
+    assert got == brute(spark, vectors, queries, 7)
+
+
+def test_pairs_by_matrices():
+    """All of the k nearest, with their copies, few others, and distances summed in order."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(40, 16)) + 1000, rng.normal(size=(900, 16)) + 1000
+    b[100:130] = b[7]
+    b[200] = a[3]
+    exact = np.sqrt(sum((a[:, None, x] - b[None, :, x]) ** 2 for x in range(16)))
+    i, j, distance = vectorindex.near_pairs(a, b, np.zeros(40), np.zeros(900), np.full(40, np.inf), 5, 2e-6)
+    assert (distance == exact[i, j]).all() and len(i) < 40 * 60
+    for q in range(40):
+        kth = np.sort(exact[q])[4]
+        assert set(np.flatnonzero(exact[q] <= kth + 1e-6)) <= set(j[i == q])
+
+
 def test_centroids():
     rng = np.random.default_rng(1)
     sample = np.concatenate([rng.normal(size=(50, 3)) + 20 * i for i in range(4)])
