@@ -16,25 +16,28 @@ from graphloom.llm.queries import bpe_digests
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _numbered(docs: DataFrame, nulls: str) -> DataFrame:
+def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_row``, a number of its own for each row, in the order of ids.
 
     Where ids are unique and none is null they are the numbers.  Otherwise the rows are sorted by id, null ids coming
-    ``first`` or ``last``, and then by their other columns, numbered, and written, so that all readers see the same numbers.
+    last, and then by their other columns, numbered, and written, so that all readers see the same numbers.
     """
     docs = docs.select(COLUMNS)
     if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or doc_id is null").isEmpty():
         return docs.withColumn("_row", F.col("doc_id").cast("long"))
-    by_id = F.col("doc_id").asc_nulls_first() if nulls == "first" else F.col("doc_id").asc_nulls_last()
     # The place breaks ties of rows that are equal in all columns, so that a range of the sort never has to hold them all.
     placed = docs.withColumn("_place", F.monotonically_increasing_id()).withColumn("_sha", F.sha2("text", 256))
-    order = placed.orderBy(by_id, "_sha", "lang", "source", "n_chars", "_place").select(COLUMNS)
+    order = placed.orderBy(F.col("doc_id").asc_nulls_last(), "_sha", "lang", "source", "n_chars", "_place").select(COLUMNS)
     return written(order.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
-def _those(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose number is chosen."""
-    return docs.join(chosen.select("_row"), "_row", "left_semi").select(COLUMNS)
+def _met(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with the narrow table of what was decided on their numbers.
+
+    Both sides are dealt out by number whatever their size.  Left to itself Catalyst broadcasts a small table of decisions and
+    shuffles the texts for a larger one, so that a run on a small input tells nothing of the disk that a larger one takes.
+    """
+    return docs.join(decided.hint("merge"), "_row", how).select(COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +57,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     by language, source and length stays.  Rows that share an id and not the text are documents of their own.  An empty
     table stays empty.  Extra columns are left out.
     """
-    docs = _numbered(docs, "first")
-    return _those(docs, exact.exact_dedup(docs, id_col="_row", keep="largest").where("kept"))
+    return exact.last_of_equal(docs.select(COLUMNS), ["doc_id", "lang", "source", "n_chars"])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +67,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows with the smallest id, the first by a hash of the text, language, source and length stays.  An empty table stays
     empty.  Extra columns are left out.
     """
-    docs = _numbered(docs, "last")
-    return _those(docs, probminhash.near_duplicates(docs, id_col="_row").where("kept"))
+    docs = _numbered(docs)
+    return _met(docs, probminhash.near_duplicates(docs, id_col="_row").where("kept").select("_row"), "left_semi")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,9 +77,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts have no words and are not taken.  Rows that repeat an id or everything are taken each for itself.
     Null sources are a source.  An empty table stays empty.  Extra columns are left out.
     """
-    docs = _numbered(docs, "last")
+    docs = _numbered(docs)
     copies = mixing.mix(docs, id_col="_row").where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy"))
-    return docs.join(copies, "_row").select(COLUMNS)
+    return _met(docs, copies, "inner")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

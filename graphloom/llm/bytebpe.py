@@ -163,7 +163,7 @@ class ByteBPE:
             got = self.known.get(piece)
             if got is None:
                 got = self.encode_piece(piece)
-                if len(piece) < 64:
+                if len(piece) < 64 and len(piece) < len(chunk):  # the table of chunks keeps a piece that is all of one
                     if len(self.known) >= self.memo:
                         self.known.clear()
                     self.known[piece] = got
@@ -231,12 +231,15 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     def run(batches):
         bpe = coder(vocabulary, pattern)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 4 << 20):
                 ids, at = bpe.encode_all(part.column(1).to_pylist())
                 columns = [part.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))]
                 if decoded:
                     columns.append(bpe.decode_all(ids, at))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
+                # Arrow's pool would keep what a part has freed, also while the worker waits for a task of a later job.
+                del part, ids, at, columns
+                pa.default_memory_pool().release_unused()
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     return source.mapInArrow(run, "id long, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("id", id_col)

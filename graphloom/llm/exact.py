@@ -42,3 +42,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"),
     )
+
+
+def last_of_equal(docs: DataFrame, order: list[str], text_col: str = "text", hash_with: Callable[[Column], Column] = content_hash) -> DataFrame:
+    """Of each group of equal texts the row that is last by the columns ``order``, with these columns and its text.
+
+    For callers that need the rows that stay and no decision on the others: groups are keyed as in ``exact_dedup``, and the
+    columns of the best row so far go with its group, so a text is shuffled once and meets no table of decisions afterwards.
+    The map side leaves one row per group and task here too.
+
+    Nulls come first in every column.  Null texts count as empty; of rows that tie in the first of ``order``, one with an empty
+    text is after one with none.  Rows that tie in everything are interchangeable.  Other columns are not read.
+    """
+    rows = docs.select(F.struct(order[0], F.col(text_col).isNotNull().alias("_said"), *order[1:]).alias("_row"), text_or_empty(text_col).alias("_text"))
+    groups = rows.groupBy(hash_with(F.col("_text")).alias("_hash"), "_text").agg(F.max("_row").alias("_row"))
+    text = F.when(F.col("_row._said"), F.col("_text")).alias(text_col)
+    return groups.select(*[text if c == text_col else F.col(f"_row.{c}").alias(c) for c in docs.columns if c == text_col or c in order])

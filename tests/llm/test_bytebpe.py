@@ -77,6 +77,15 @@ def test_memo_tables_stay_bounded():
     assert max(map(len, (bpe.chunks, bpe.known, bpe.fits))) <= 50
 
 
+def test_a_piece_is_held_once():
+    """By the table of chunks where it is all of a chunk, else by that of pieces."""
+    bpe = bytebpe.ByteBPE(bytebpe.read_ranks(PATHS[0]), P.PATTERN)
+    bpe.encode("zqalpha zqbeta, zqgamma")
+    assert len(bpe.chunks) == 4 and not bpe.known
+    bpe.encode("don't")
+    assert bpe.known.keys() == {"don", "'t"}
+
+
 def test_query_against_the_library(spark, small, texts):
     lib = library(PATHS[0])
     rows = {r["doc_id"]: r for r in queries.op7_byte_bpe(spark, small).collect()}

@@ -37,3 +37,20 @@ def test_hot_group(spark):
 def test_plan_is_native(documents):
     plan = exact.exact_dedup(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_last_of_equal_against_brute_force(spark, awkward, nothing):
+    """Ties, nulls anywhere, repeated rows, and a hash under which different texts collide."""
+    texts, langs, ids = [None, "", "a", "b", "cc"], [None, "de", "en"], [None, -5, 0, 7]
+    rows = [(ids[i % 4], texts[i * 7 % 5], langs[i * 5 % 3], None if i % 11 == 0 else i % 2) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").withColumn("_row", F.lit("q")).repartition(5)
+    least = lambda r: [(x is not None, x or 0 if k != 2 else x or "") for k, x in enumerate((r[0], 0 if r[1] is not None else None, r[2], r[3]))]
+    best = {}
+    for r in rows:
+        best[r[1] or ""] = max(best.get(r[1] or "", r), r, key=least)
+    for how in (exact.content_hash, lambda t: F.unhex(F.hex(F.length(t)))):
+        got = exact.last_of_equal(df, ["doc_id", "lang", "n_chars"], hash_with=how)
+        assert got.columns == ["doc_id", "text", "lang", "n_chars"]
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(best.values(), key=repr)
+    assert exact.last_of_equal(nothing, ["doc_id", "lang"]).count() == 0
+    assert exact.last_of_equal(awkward, ["doc_id", "lang"]).count() == 7

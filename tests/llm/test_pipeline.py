@@ -92,5 +92,15 @@ def test_stages_on_repeated_and_null_ids_against_brute_force(spark, awkward, not
         assert corpus_pipeline.encoding_stage(spark, docs, "").count() == len(held)
 
 
+def test_texts_are_dealt_out_once_and_by_one_plan_at_any_size(spark, tiny):
+    """The exact stage shuffles texts in its groups alone; decisions of the others meet the texts without a broadcast."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(corpus_pipeline.exact_stage(spark, docs, "")).count("Exchange") == 1
+    for stage in (corpus_pipeline.near_stage, corpus_pipeline.mixing_stage):
+        top = re.search(r"\w+Join", plan(stage(spark, docs, "")))[0]
+        assert top == "SortMergeJoin"
+
+
 def test_run(spark, tiny):
     assert corpus_pipeline.run(spark, tiny).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
