@@ -98,8 +98,9 @@ def test_texts_are_dealt_out_once_and_by_one_plan_at_any_size(spark, tiny):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert plan(corpus_pipeline.exact_stage(spark, docs, "")).count("Exchange") == 1
     for stage in (corpus_pipeline.near_stage, corpus_pipeline.mixing_stage):
-        top = re.search(r"\w+Join", plan(stage(spark, docs, "")))[0]
-        assert top == "SortMergeJoin"
+        out = stage(spark, docs, "")
+        out.collect()  # adaptive execution may change the join
+        assert re.search(r"\w+Join", plan(out))[0] == "SortMergeJoin"
 
 
 def test_run(spark, tiny):
