@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import GAP, text_or_empty, written
+from graphloom.operators.components import components
 
 _MASK = np.uint64((1 << 50) - 1)
 
@@ -143,24 +144,24 @@ def _verify(width: int, least: float):
     return run
 
 
-def connected(links: DataFrame, left: str, right: str) -> DataFrame:
-    """(node, label): the smallest node that links lead to, for every node that has a link.
+def connected(links: DataFrame, left: str, right: str, labels: DataFrame | None = None) -> DataFrame:
+    """(node, label): the smallest node that links lead to, for every node that has a link; ``labels`` is what links that were
+    found earlier gave.
 
-    In a round each node takes the smallest label of its neighbours, of its own label, and itself, so the number of rounds
-    follows the logarithm of a component's width.  Only the number of changes reaches the driver.
+    Links are drawn between the labels of their ends, so those that gave ``labels`` are not walked again.  Components shrink to
+    stars, so a round reads no more links than the one before.
     """
-    one = links.select(F.col(left).alias("a"), F.col(right).alias("b"))
-    both = written(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
-    none = F.lit(None).cast("long").alias("old")
-    while True:
-        own = labels.select(F.col("node").alias("a"), "label", F.col("label").alias("old"))
-        walks = both.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        met = walks.join(labels, F.col("b") == F.col("node")).select("a", "label", none)
-        after = written(met.unionByName(own).groupBy("a").agg(F.min("label").alias("label"), F.max("old").alias("old")).select(F.col("a").alias("node"), "label", "old"), "labels")
-        labels = after.select("node", "label")
-        if after.where("old <> label").isEmpty():
-            return labels
+    ends = links.select(F.col(left).alias("source"), F.col(right).alias("target"))
+    if labels is None:
+        return written(components(ends).toDF("node", "label"), "labels")
+    known = ends.join(labels.toDF("source", "_s"), "source", "left").join(labels.toDF("target", "_t"), "target", "left")
+    between = written(known.select(F.coalesce("_s", "source").alias("source"), F.coalesce("_t", "target").alias("target")), "between")
+    own = labels
+    for end in between.columns:
+        own = own.unionByName(between.select(F.col(end).alias("node"), F.col(end).alias("label")))
+    # Written, so that a join by the label of a large class can be split.
+    moved = written(components(between).toDF("label", "_to"), "moved")
+    return written(own.distinct().join(moved, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
 
 
 class Members:
@@ -223,9 +224,10 @@ _CROWD = ("bucket", "label", "rep", "size", "sketch")
 _BLOCK = "bucket long, block long, low long, high long, labels binary, reps binary, sizes binary, sketches binary"
 
 
-def cut_blocks(batches, most: int, most_bytes: int = 1 << 20):
+def cut_blocks(batches, most: int, most_bytes: int = 1 << 20, chained: bool = False):
     """Of rows (bucket, label, rep, size, sketch) in order: blocks of at most ``most`` rows of one bucket, or of about
-    ``most_bytes`` of sketches, as tuples (bucket, first rep, lowest label, highest label, and four packed columns)."""
+    ``most_bytes`` of sketches, as tuples (bucket, first rep, lowest label, highest label, and four packed columns).
+    ``chained``: the last row of a block is the first one of the next block of its bucket as well."""
 
     def packed(block):
         labels, reps, sizes = (np.array([r[k] for r in block], t) for k, t in ((1, np.int64), (2, np.int64), (3, np.int32)))
@@ -236,7 +238,8 @@ def cut_blocks(batches, most: int, most_bytes: int = 1 << 20):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if rows and (rows[0][0] != row[0] or len(rows) == most or held >= most_bytes):
                 yield packed(rows)
-                rows, held = [], 0
+                rows = rows[-1:] if chained and len(rows) > 1 and rows[0][0] == row[0] else []
+                held = sum(len(r[4]) for r in rows)
             rows.append(row)
             held += len(row[4])
     if rows:
@@ -266,7 +269,7 @@ def _forest(most: int, least: float):
     """Of each block the pairs that would connect its classes, the most similar first: fewer than the block has rows."""
 
     def run(batches):
-        for some in _grouped((b for b in cut_blocks(batches, most) if b[2] != b[3]), 256):
+        for some in _grouped((b for b in cut_blocks(batches, most, chained=True) if b[2] != b[3]), 256):
             left, right = [], []
             for block in some:
                 rows = Members(*block[4:])
@@ -306,11 +309,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     First the members of each bucket, in order of the registers of other bands, are cut into blocks of at most ``block``
     rows; of a block the most similar pairs that connect it are compared, fewer than it has rows, so this work grows with
-    the input however large a bucket is.  Buckets that still hold several classes go through an exact rest: every block
-    meets itself and every other block of the bucket, unless both hold one and the same class, and every pair in different
-    classes that the sketches do not rule out is compared, the best between two classes first, then all that are still
-    apart.  So no link is lost that shares a bucket.  Blocks are dealt out in pairs, so no task gathers a bucket; the work in
-    a bucket of n members that nothing links grows with n squared, at a few bytes compared for each pair.
+    the input however large a bucket is.  A row that two blocks share connects them.  At first each text is in the fullest of
+    its buckets alone, then in all of them, where only pairs of different classes are left to compare: a large class takes
+    a few links for each member, not one for each member and bucket.  Buckets that still hold several classes go through an
+    exact rest: every block meets itself and every other block of the bucket, unless both hold one and the same class, and
+    every pair in different classes that the sketches do not rule out is compared, the best between two classes first, then
+    all that are still apart.  So no link is lost that shares a bucket.  Blocks are dealt out in pairs, so no task gathers a
+    bucket; the work in a bucket of n members that nothing links grows with n squared, at a few bytes compared for each pair.
 
     Rows with a null id are returned with the class of their copies, else with none.  Repeated rows repeat their result.
     Null texts count as empty; without documents there is no row.  Other columns are not read.
@@ -323,18 +328,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The places of the next two bands go with each bucket; sketches follow only where buckets are shared.
     other = lambda by: F.element_at("bands", ((F.col("band") + by) % bands + 1).cast("int"))
     members = stand.select("rep", "bands", F.posexplode("bands").alias("band", "bucket")).select("rep", "bucket", other(1).alias("k1"), other(2).alias("k2"))
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    crowd = written(members.join(crowded, "bucket", "left_semi"), "places")
+    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowd = written(members.join(crowded, "bucket"), "places")
+    fullest = F.max(F.struct("n", "bucket")).over(Window.partitionBy("rep"))["bucket"]
+    crowd = crowd.select("bucket", "rep", "k1", "k2", (F.col("bucket") == fullest).alias("first"))
     crowd = written(crowd.join(stand.select("rep", "size", "sketch"), "rep"), "crowd")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where(F.col("id").isNotNull())
     # Repeated ids are one document; the smallest text stands for it.
     asked = written(texts.join(crowd.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "asked")
-    nothing = no_pairs(docs)
-    found, tested, labels = nothing, nothing, None
+    tested, labels = no_pairs(docs), None
 
     def compare(pairs: DataFrame) -> bool:
         """Judge pairs that were not compared before; whether they bring links, which labels then follow."""
-        nonlocal found, tested, labels
+        nonlocal tested, labels
         fresh = written(pairs.select("rep", "leader").distinct().join(tested, ["rep", "leader"], "left_anti"), "pairs")
         if fresh.isEmpty():
             return False
@@ -342,23 +348,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         two = one.join(asked.select(F.col("id").alias("leader"), F.col("text").alias("_b")), "leader").select("rep", "leader", "a", words_hashed(F.col("_b")).alias("b"))
         judged = written(two.mapInArrow(_verify(width, least), "rep long, leader long, similarity double"), "judged")
         good = judged.where(F.col("similarity") >= least).select("rep", "leader")
-        found, tested = found.unionByName(good), tested.unionByName(judged.select("rep", "leader"))
+        tested = tested.unionByName(judged.select("rep", "leader"))
         if good.isEmpty():
             return False
-        labels = connected(found, "rep", "leader")
+        labels = connected(good, "rep", "leader", labels)
         return True
 
+    def named(members: DataFrame) -> DataFrame:
+        if labels is None:
+            return members.withColumn("label", F.col("rep"))
+        return members.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep"))
+
     order = ["bucket", "k1", "k2", "rep"]
-    dealt = crowd.withColumn("label", F.col("rep")).repartitionByRange(*order).sortWithinPartitions(*order)
-    compare(dealt.select(*_CROWD).mapInArrow(_forest(block, least), "rep long, leader long"))
-    named = crowd.select("bucket", "rep", "size", "sketch")
-    if labels is None:
-        named = named.withColumn("label", F.col("rep"))
-    else:
-        named = named.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep"))
-    several = named.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("bucket")
+    for some in (crowd.where("first"), crowd):
+        dealt = named(some).repartitionByRange(*order).sortWithinPartitions(*order)
+        compare(dealt.select(*_CROWD).mapInArrow(_forest(block, least), "rep long, leader long"))
+    classed = named(crowd.select("bucket", "rep", "size", "sketch"))
+    several = classed.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("bucket")
     order = ["bucket", "label", "rep"]
-    apart = written(named.join(several, "bucket", "left_semi").select(*_CROWD), "apart")
+    apart = written(classed.join(several, "bucket", "left_semi").select(*_CROWD), "apart")
     blocks = written(apart.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks(block), _BLOCK), "blocks")
     packed = ["labels", "reps", "sizes", "sketches"]
     again = [F.col(c).alias(f"{c}2") for c in packed]

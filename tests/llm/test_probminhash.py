@@ -89,6 +89,36 @@ def test_connected(spark):
     assert out == {i: 0 for i in range(31)} | {50: 50, 55: 50, 60: 50}
 
 
+def test_connected_goes_on_from_labels(spark):
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    labels = probminhash.connected(table([(1, 2), (2, 3), (7, 8), (20, 21)]), "a", "b")
+    out = [tuple(r) for r in probminhash.connected(table([(3, 8), (8, 3), (30, 7), (41, 40), (2, 1)]), "a", "b", labels).collect()]
+    assert sorted(out) == [(1, 1), (2, 1), (3, 1), (7, 1), (8, 1), (20, 20), (21, 20), (30, 1), (40, 40), (41, 40)]
+
+
+def test_pairs_follow_the_members_of_a_family(spark, monkeypatch):
+    """A family of near copies shares nearly all its buckets: a few pairs are compared for each member, not one in each bucket."""
+    rng = random.Random(8)
+    base, texts = [f"w{rng.randrange(5000)}" for _ in range(150)], {}
+    for i in range(600):
+        own = list(base)
+        for _ in range(rng.choice((1, 2, 3))):
+            own[rng.randrange(150)] = f"x{rng.randrange(100_000)}"
+        texts[i] = " ".join(own)
+    compared, real = [], probminhash.written
+
+    def counted(df, label):
+        out = real(df, label)
+        if label == "pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(probminhash, "written", counted)
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(as_table(spark, texts), block=32).collect()}
+    assert got == classes(texts)
+    assert sum(compared) < 4 * len(texts)
+
+
 def test_awkward_rows(spark, awkward, nothing):
     out = {(r["doc_id"], r["class_id"]) for r in probminhash.near_duplicates(awkward).collect()}
     assert out == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 5), (6, 5), (7, 7), (8, 8), (None, None), (None, 2)}
